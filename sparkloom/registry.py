@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
-PLANS: tuple[str, ...] = ("tpch",)
+PLANS: tuple[str, ...] = ("tpch", "relational", "analytics", "functions", "sources")
 
 
 def operator(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -40,3 +41,15 @@ def all_queries() -> dict[str, Query]:
 def all_oracles() -> dict[str, str]:
     _load()
     return dict(_oracles)
+
+
+def sql_operator(name: str, sql: str, oracle: str | None = "") -> None:
+    """Registers a query given as Spark SQL over the tables; its oracle is the same text unless another is given."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from sparkloom.session import TABLES, register_views
+
+        register_views(spark, sf_dir, tuple(t for t in TABLES if re.search(rf"\b{t}\b", sql)))
+        return spark.sql(sql)
+
+    operator(name, sql if oracle == "" else oracle)(query)
