@@ -121,17 +121,32 @@ def _neighbourhoods(fps: DataFrame, max_distance: int) -> DataFrame:
     return stars.filter("fp != other").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 2, hot: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for every row: component_id is the smallest id reachable over links of fingerprints."""
-    rows = cut(fingerprints(docs, width, id_col, text_col))
+def _components(rows: DataFrame, max_distance: int, hot: int, id_col: str) -> DataFrame:
+    """(fp, component_id) of all distinct fingerprints of rows."""
     fps = rows.groupBy("fp").agg(F.min(id_col).alias("rep"))
     linked = cut(links(fps.select("fp"), max_distance, hot).distinct())
     # Fingerprints are the nodes; what a component is called is settled afterwards by its smallest id.
     parts = components(linked.select(F.col("fp").alias("a"), F.col("other").alias("b")))
     named = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    return named.join(least, "component").select("fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 2, hot: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) for every row: component_id is the smallest id reachable over links of fingerprints."""
+    rows = cut(fingerprints(docs, width, id_col, text_col))
+    return rows.join(_components(rows, max_distance, hot, id_col), "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, max_distance: int = 2, hot: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their component; all columns are kept.
+
+    Rows that repeat such an id all stay, and so do rows without an id, which no component is named after.
+    """
+    rows = cut(fingerprints(docs, width, id_col, text_col))
+    stay = _components(rows, max_distance, hot, id_col).select(F.col("component_id").alias("_stays")).filter("_stays is not null").distinct()
+    named = docs.join(stay, F.col(id_col) == F.col("_stays"), "left_semi")
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,13 +74,27 @@ KINDS = (
 )
 
 
-def _starts(pieces: Column, matches: Column) -> Column:
-    """Positions of matches in code points: sums of the lengths before, in two levels so that many stay cheap."""
+def _add(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+
+
+def _with_starts(df: DataFrame, name: str) -> DataFrame:
+    """Adds the length of the text before each match, without the piece right before it, in code points.
+
+    Sums run in two levels, within chunks and over chunks, so that many matches stay cheap.  The levels
+    are columns of their own, each used twice, as the optimizer then computes them once a row.
+    """
+    matches, pieces, chunks, sums = (F.col(f"_{name}_{x}") for x in ("matches", "pieces", "chunks", "sums"))
     lengths = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / CHUNK).cast("int")), lambda c: F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)))
-    add = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
-    sums = F.transform(chunks, add)
-    return F.flatten(F.transform(chunks, lambda part, c: F.transform(part, lambda x, i: add(F.slice(sums, F.lit(1), c)) + add(F.slice(part, F.lit(1), i)))))
+    df = df.withColumn(f"_{name}_lengths", F.when(F.size(matches) > 0, lengths))
+    own = F.col(f"_{name}_lengths")
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / CHUNK).cast("int")), lambda c: F.slice(own, c * CHUNK + 1, F.lit(CHUNK)))
+    df = df.withColumn(f"_{name}_chunks", F.when(F.size(own) > 0, cut_up))
+    df = df.withColumn(f"_{name}_sums", F.when(F.size(chunks) > 0, F.transform(chunks, _add)))
+    df = df.withColumn(f"_{name}_before", F.when(F.size(sums) > 0, F.transform(sums, lambda x, c: _add(F.slice(sums, F.lit(1), c)))))
+    before = F.col(f"_{name}_before")
+    starts = F.transform(chunks, lambda part, c: F.transform(part, lambda x, i: F.get(before, c) + _add(F.slice(part, F.lit(1), i))))
+    return df.withColumn(f"_{name}_starts", F.when((F.size(chunks) > 0) & (F.size(before) > 0), F.flatten(starts)))
 
 
 def _spans(order: int, kind: Kind) -> Column:
@@ -108,7 +122,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gated = {c: F.when(F.contains(text, F.lit(k.gate)), e).otherwise(none) if k.gate else e for (c, e), k in zip(found.items(), KINDS, strict=True)}
     df = df.withColumns(gated)
     df = df.withColumns({f"_{k.name}_pieces": F.when(F.size(f"_{k.name}_matches") > 0, F.split(text, k.pattern, -1)) for k in KINDS})
-    df = df.withColumns({f"_{k.name}_starts": F.when(F.size(f"_{k.name}_matches") > 0, _starts(F.col(f"_{k.name}_pieces"), F.col(f"_{k.name}_matches"))) for k in KINDS})
+    for k in KINDS:
+        df = _with_starts(df, k.name)
     spans = F.array_sort(F.concat(*(_spans(i, k) for i, k in enumerate(KINDS))))
     return df.select(F.col(id_col), spans.alias("spans"))
 
