@@ -28,6 +28,10 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.select(id_col, "doc_len", F.explode("_t").alias("term")).groupBy("term", id_col, "doc_len").agg(F.count("*").alias("tf"))
 
 
+def _is(term: str):
+    return lambda word: word == term
+
+
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     """(id, score) of documents with a score above 0.
 
@@ -36,7 +40,7 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     """
     terms = query_tokens(query)
     split = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
-    counted = split.select(id_col, F.greatest(F.size("_t"), F.lit(1)).alias("_len"), *(F.size(F.filter("_t", lambda w, t=t: w == t)).alias(f"_tf{i}") for i, t in enumerate(terms)))
+    counted = split.select(id_col, F.greatest(F.size("_t"), F.lit(1)).alias("_len"), *(F.size(F.filter("_t", _is(t))).alias(f"_tf{i}") for i, t in enumerate(terms)))
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
     both = counted.crossJoin(F.broadcast(totals))
     score = F.lit(0.0)
