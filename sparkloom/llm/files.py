@@ -42,3 +42,8 @@ class AttemptFile:
 def open_input(path: str):
     store, inside = open_store(path)
     return store.open_input_file(inside)
+
+
+def remove_folder(path: str) -> None:
+    store, inside = open_store(path)
+    store.delete_dir(inside)

@@ -1,11 +1,12 @@
 """Token ids in a binary file format: canonical length-limited Huffman codes from global counts.
 
-Writing takes two passes over the texts.  The first counts ids over all documents (one row an id
-reaches the driver, never more than the vocabulary has), and package-merge turns the counts into code
-lengths of at most ``max_bits``.  The second deals the documents out by ranges of their id, and each
-task writes one shard: documents in ascending id, their ids as one bit stream, and the bit offset of
-every ``block``-th id as a checkpoint.  Blocks are independent: decoding looks all blocks up in one
-table at once, step by step.  A shard holds the code lengths, from which the canonical codes follow.
+Writing tokenises once: documents are dealt out by ranges of their id, and each task writes the ids of
+its range, in ascending id, to a working file and counts them.  The counts are summed by id (a row an
+id reaches the driver, never more than the vocabulary has), and package-merge turns them into code
+lengths of at most ``max_bits``.  A second stage turns each working file into one shard: the ids as
+one bit stream, with the bit offset of every ``block``-th id as a checkpoint.  Blocks are independent:
+decoding looks all blocks up in one table at once, step by step.  A shard holds the code lengths, from
+which the canonical codes follow.
 
 Shard layout (little-endian): magic, length of a JSON head, head (counts, parts and their sizes),
 compressed code lengths, document ids (int64, with a null map), ids per document (uint32), bit offset
@@ -18,10 +19,10 @@ columns play no part.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
-import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -30,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, new_folder, slices, table, texts_of, vocabulary_path
-from .files import AttemptFile, open_input
+from .common import BoundedCache, cut, new_folder, slices, table, texts_of, vocabulary_path
+from .files import AttemptFile, open_input, remove_folder
 
 MAGIC = b"SLTI0001"
 LETTER, NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
@@ -49,7 +50,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known = BoundedCache(500_000, 12_000_000)
+        self.known = BoundedCache(1_000_000, 16_000_000)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         spec = json.loads(self.library.to_str())
         split = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"].get("pretokenizers") else {}
@@ -57,16 +58,38 @@ class WordBpe:
         # The shortcut holds for this split and these normalisers only.
         self.shortcut = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def encode_new(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(self.vocabulary, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def encode_new(self, chunks: list[str]) -> list[bytes]:
+        """The ids of runs without blanks, many in one call: blanks keep them apart, word-end tokens tell where each ends."""
+        out: list[bytes] = []
+        for i in range(0, len(chunks), 4096):
+            own = chunks[i : i + 4096]
+            ids = np.array(self.library.encode(" ".join(own), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            words = np.cumsum([len(SPLIT.findall(c)) for c in own])
+            if len(ends) == words[-1] and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(ends[words - 1] * 4).tolist()]
+                out += [raw[a:b] for a, b in itertools.pairwise(at)]
+            else:
+                out += self.encode_whole(own)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        No pre-token holds a blank, so a plain text's ids are those of its runs between blanks.
+        """
         out: list = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if not self.shortcut or PLAIN.search(t)]
-        for i, ids in zip(odd, self.encode_new([texts[i] for i in odd]), strict=True):
+        for i, ids in zip(odd, self.encode_whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        split = {i: SPLIT.findall(t.lower()) for i, t in enumerate(texts) if out[i] is None}
+        split = {i: t.lower().split() for i, t in enumerate(texts) if out[i] is None}
         self.known.fill(set().union(*split.values()), self.encode_new)
         get = self.known.__getitem__
         for i, own in split.items():
@@ -172,79 +195,96 @@ class Shard:
     start: int
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int, text_col: str = "text") -> dict[int, int]:
-    """How often each id occurs over all documents, end ids included.  As many entries as the vocabulary at most."""
+def _write_work(folder: str, part: int, keys: list, texts: list[bytes]) -> tuple[str, np.ndarray]:
+    """A working file of plain ids, and how often each occurs."""
+    import zstandard
 
-    def run(batches):
-        bpe = word_bpe(path)
-        total = np.zeros(max(bpe.vocabulary, end_id + 1), dtype=np.int64)
-        for b in slices(batches):
-            texts = texts_of(b.column(0))
-            ids = np.frombuffer(b"".join(bpe.encode(texts)), dtype="<u4")
-            total += np.bincount(ids, minlength=len(total))
-            total[end_id] += len(texts)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+    n_each = np.array([len(t) // 4 for t in texts], dtype="<u4")
+    ids = np.frombuffer(b"".join(texts), dtype="<u4")
+    nulls = np.array([k is None for k in keys], dtype=np.uint8).tobytes()
+    named = np.array([0 if k is None else k for k in keys], dtype="<i8").tobytes()
+    narrow = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
+    parts = [named, nulls, n_each.tobytes(), zstandard.ZstdCompressor(level=1).compress(narrow.tobytes())]
+    head = json.dumps({"n_docs": len(keys), "n_ids": len(ids), "width": narrow.itemsize, "sizes": [len(p) for p in parts]}).encode()
+    file = AttemptFile(folder, f"work-{part:06d}", ".ids")
+    for p in (struct.pack("<I", len(head)), head, *parts):
+        file.write(p)
+    file.close()
+    return file.path, np.bincount(ids)
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {r["id"]: r["n"] for r in counts.toLocalIterator()}
 
+def _write_shard(folder: str, part: int, work: str, packed: bytes, block: int) -> str:
+    """The shard of a working file."""
+    import zstandard
 
-def _write_shard(folder: str, part: int, keys: list, texts: list[bytes], packed: bytes, codes, lengths, block: int) -> tuple[str, int, int]:
-    n_each = np.array([len(t) // 4 for t in texts], dtype="<u4")
-    ids = np.frombuffer(b"".join(texts), dtype="<u4")
-    sizes = lengths[ids]
-    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.uint64)[:-1]])[::block].astype("<u8") if len(ids) else np.zeros(0, dtype="<u8")
-    bits, body = np.zeros(0, dtype=np.uint8), []
-    for i in range(0, len(ids), 1 << 19):
-        bits = np.concatenate([bits, pack(ids[i : i + (1 << 19)], codes, lengths)])
+    lengths = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+    codes = canonical_codes(lengths)
+    with open_input(work) as f:
+        head = json.loads(f.read(struct.unpack("<I", f.read(4))[0]))
+        named, nulls, n_each, squeezed = (f.read(n) for n in head["sizes"])
+    ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(squeezed), dtype=f"<u{head['width']}")
+    bits, body, offsets, done = np.zeros(0, dtype=np.uint8), [], [], 0
+    step = max(block, (1 << 19) // block * block)
+    for i in range(0, len(ids), step):
+        own = ids[i : i + step]
+        ends = np.cumsum(lengths[own], dtype=np.uint64)
+        offsets.append(np.concatenate([[0], ends[:-1]]).astype(np.uint64)[::block] + np.uint64(done))
+        done += int(ends[-1])
+        bits = np.concatenate([bits, pack(own, codes, lengths)])
         whole = len(bits) // 8 * 8
         body.append(np.packbits(bits[:whole]).tobytes())
         bits = bits[whole:]
     body.append(np.packbits(bits).tobytes())
-    payload = b"".join(body)
-    nulls = np.array([k is None for k in keys], dtype=np.uint8).tobytes()
-    named = np.array([0 if k is None else k for k in keys], dtype="<i8").tobytes()
-    parts = [packed, named, nulls, n_each.tobytes(), offsets.tobytes(), payload]
-    head = json.dumps({"n_docs": len(keys), "n_ids": len(ids), "block": block, "sizes": [len(p) for p in parts]}).encode()
+    parts = [packed, named, nulls, n_each, np.concatenate(offsets).astype("<u8").tobytes(), b"".join(body)]
+    shard_head = json.dumps({"n_docs": head["n_docs"], "n_ids": head["n_ids"], "block": block, "sizes": [len(p) for p in parts]}).encode()
     file = AttemptFile(folder, f"shard-{part:06d}", ".slti")
-    for p in (MAGIC, struct.pack("<I", len(head)), head, *parts):
+    for p in (MAGIC, struct.pack("<I", len(shard_head)), shard_head, *parts):
         file.write(p)
     file.close()
-    return file.path, len(keys), len(ids)
+    return file.path
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, max_bits: int = 16, block: int = 1024, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[Shard]:
     """Writes the ids of all documents, each followed by end_id, in ascending order of id_col; one shard a task."""
-    counts = id_counts(docs, path, end_id, text_col)
-    size = max(max(counts, default=0), end_id) + 1
-    lengths = code_lengths(np.array([counts.get(i, 0) for i in range(size)], dtype=np.int64), max_bits)
-    packed = zlib.compress(lengths.tobytes(), 9)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(packed)  # a byte an id of the vocabulary at most
 
-    def run(batches):
+    def tokenise(batches):
         from pyspark import TaskContext
 
         bpe, end = word_bpe(path), struct.pack("<I", end_id)
-        own = np.frombuffer(zlib.decompress(shared.value), dtype=np.uint8)
-        codes = canonical_codes(own)
         keys, texts = [], []
         for b in slices(batches):
             keys += b.column(0).to_pylist()
             texts += [ids + end for ids in bpe.encode(texts_of(b.column(1)))]
         if keys:
             part = TaskContext.get().partitionId()
-            name, n_docs, n_ids = _write_shard(folder, part, keys, texts, shared.value, codes, own, block)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (name, pa.string()), (n_docs, pa.int64()), (n_ids, pa.int64()))], ["part", "path", "n_docs", "n_ids"])
+            name, counts = _write_work(f"{folder}/work", part, keys, texts)
+            seen = np.flatnonzero(counts)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pa.StructArray.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["id", "n"]))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([sum(map(len, texts)) // 4], pa.int64()), listed], ["part", "path", "n_docs", "n_ids", "counts"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = read.repartitionByRange(*([shards] if shards else []), "id").sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    written = dealt.mapInArrow(run, "part long, path string, n_docs long, n_ids long").collect()  # a row a file
+    written = cut(dealt.mapInArrow(tokenise, "part long, path string, n_docs long, n_ids long, counts array<struct<id: long, n: long>>"))
+    counts = {r["id"]: r["n"] for r in written.select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n")).toLocalIterator()}
+    lengths = code_lengths(np.array([counts.get(i, 0) for i in range(max([*counts, end_id]) + 1)], dtype=np.int64), max_bits)
+    shared = spark.sparkContext.broadcast(zlib.compress(lengths.tobytes(), 9))  # a byte an id of the vocabulary at most
+    works = [tuple(r) for r in written.select("part", "path", "n_docs", "n_ids").collect()]  # a row a file
+    if not works:
+        return []
+
+    def code(batches):
+        for b in batches:
+            for part, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([_write_shard(folder, part, name, shared.value, block)])], ["part", "path"])
+
+    listed = spark.sparkContext.parallelize([w[:2] for w in works], len(works)).toDF("part long, path string")
+    paths = {r["part"]: r["path"] for r in listed.mapInArrow(code, "part long, path string").collect()}
+    remove_folder(f"{folder}/work")
     out, start = [], 0
-    for r in sorted(written, key=lambda r: r["part"]):
-        out.append(Shard(r["part"], r["path"], r["n_docs"], r["n_ids"], start))
-        start += r["n_ids"]
+    for part, _, n_docs, n_ids in sorted(works):
+        out.append(Shard(part, paths[part], n_docs, n_ids, start))
+        start += n_ids
     return out
 
 
@@ -299,9 +339,4 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-def plain_text(text: str) -> bool:
-    """Whether a text is split here rather than by the library; such texts are in composed form already."""
-    return not PLAIN.search(text) and unicodedata.is_normalized("NFC", text)
-
-
 QUERIES = {"op9_huffman_ids": op9_huffman_ids}
