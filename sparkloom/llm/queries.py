@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_token_counts", "op3_decontaminate", "op4_simhash", "op5_byte_bpe", "op6_quality", "op7_topk_products", "op8_pii", "op9_huffman_ids", "op10_warc")
+MODULES = ("op1_token_counts", "op2_suffix_dedup", "op3_decontaminate", "op4_simhash", "op5_byte_bpe", "op6_quality", "op7_topk_products", "op8_pii", "op9_huffman_ids", "op10_warc")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
