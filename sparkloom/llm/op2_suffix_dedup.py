@@ -120,12 +120,16 @@ def suffix_ranks(triples: DataFrame, depth: int, width: int) -> DataFrame:
 
     rank is the number of suffixes before, as far as ``width`` bytes tell; a symbol covers depth bytes.
     """
+    if depth * 3 >= width:  # triples tell all that is asked
+        return running(triples, ["a", "b", "c"], F.lit(1), "rank").select("p", "rank")
     sample = triples.filter("p % 3 <> 0")
-    distinct = sample.select("a", "b", "c").distinct()
-    names = running(distinct, ["a", "b", "c"], F.lit(1), "name")
-    named = cut(sample.join(names, ["a", "b", "c"]).select("p", "name"))
-    n_names, n_sample, last = names.count(), named.count(), named.agg(F.max("p")).first()[0]
-    if n_names == n_sample or depth * 3 >= width:
+    if depth == 1:  # triples of bytes and marks name themselves
+        named = cut(sample.select("p", ((F.col("a") * 257 + F.col("b")) * 257 + F.col("c")).alias("name")))
+    else:
+        names = running(sample.select("a", "b", "c").distinct(), ["a", "b", "c"], F.lit(1), "name")
+        named = cut(sample.join(names, ["a", "b", "c"]).select("p", "name"))
+    n_names, n_sample, last = named.agg(F.count_distinct("name"), F.count("*"), F.max("p")).first()
+    if n_names == n_sample:
         ranked = running(named, ["name"], F.lit(1), "rank").select("p", "rank")
     else:
         # The string of names: first those at 1 mod 3, a gap of marks, then those at 2 mod 3.
