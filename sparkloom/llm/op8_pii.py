@@ -135,21 +135,25 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     linear.  All other columns are kept.
     """
     for kind in KINDS:
-        text, matches, pieces = F.col(text_col), F.col(f"_{kind.name}_matches"), F.col(f"_{kind.name}_pieces")
-        found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-        docs = docs.withColumn(f"_{kind.name}_matches", F.when(F.contains(text, F.lit(kind.gate)), found) if kind.gate else found)
-        docs = docs.withColumn(f"_{kind.name}_pieces", F.when(F.size(matches) > 0, F.split(text, kind.pattern, -1)))
-
-        def put(m: Column, i: Column, pieces: Column = pieces, kind: Kind = kind) -> Column:
-            near = F.lower(F.concat_ws(" ", F.right(F.get(pieces, i), F.lit(CONTEXT)), F.left(F.get(pieces, i + 1), F.lit(CONTEXT))))
-            sure = F.lit(True) if kind.base else F.lit(kind.prior) + F.when(F.rlike(near, F.lit(kind.context)), 0.3).otherwise(0.0) >= THRESHOLD
-            return F.concat(F.get(pieces, i), F.when(kind.valid(m) & sure, F.lit(f"[{kind.name.upper()}]")).otherwise(m))
-
-        joined = F.concat(F.array_join(F.transform(matches, put), ""), F.element_at(pieces, -1))
-        docs = docs.withColumn(text_col, F.when(F.size(matches) > 0, joined).otherwise(text)).drop(matches, pieces)
+        docs = _redact_kind(docs, kind, text_col)
     return docs
 
 
+def _redact_kind(docs: DataFrame, kind: Kind, text_col: str) -> DataFrame:
+    text, matches, pieces = F.col(text_col), F.col(f"_{kind.name}_matches"), F.col(f"_{kind.name}_pieces")
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    docs = docs.withColumn(f"_{kind.name}_matches", F.when(F.contains(text, F.lit(kind.gate)), found) if kind.gate else found)
+    docs = docs.withColumn(f"_{kind.name}_pieces", F.when(F.size(matches) > 0, F.split(text, kind.pattern, -1)))
+
+    def put(m: Column, i: Column) -> Column:
+        near = F.lower(F.concat_ws(" ", F.right(F.get(pieces, i), F.lit(CONTEXT)), F.left(F.get(pieces, i + 1), F.lit(CONTEXT))))
+        sure = F.lit(True) if kind.base else F.lit(kind.prior) + F.when(F.rlike(near, F.lit(kind.context)), 0.3).otherwise(0.0) >= THRESHOLD
+        return F.concat(F.get(pieces, i), F.when(kind.valid(m) & sure, F.lit(f"[{kind.name.upper()}]")).otherwise(m))
+
+    joined = F.concat(F.array_join(F.transform(matches, put), ""), F.element_at(pieces, -1))
+    return docs.withColumn(text_col, F.when(F.size(matches) > 0, joined).otherwise(text)).drop(matches, pieces)
+
+
 def listing(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
