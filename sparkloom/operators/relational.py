@@ -25,18 +25,27 @@ def union_all(*parts: DataFrame, distinct: bool = False) -> DataFrame:
     return whole.distinct() if distinct else whole
 
 
-def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], slice_seconds: int = 86_400) -> DataFrame:
     """Each left row with the values of the last right row of its keys at or before its time.
 
-    Both sides become one stream by key and time, and the last seen right values are carried on: one
-    shuffle, no pairs.  Left columns come first; values are null where there is no earlier right row.
+    Both sides become one stream by key and time slice, in which the last seen right values are carried
+    on; what a slice starts with comes from the slices' last values alone.  So a key with much of all
+    rows is spread over its slices, and no pairs are made.  Left columns come first; values are null
+    where there is no earlier right row.
     """
     seen = F.struct(*(F.col(v) for v in values))
-    a = left.withColumn("_at", F.col(left_time)).withColumn("_side", F.lit(1)).withColumn("_seen", F.lit(None).cast(right.select(seen.alias("s")).schema["s"].dataType))
-    b = right.select(*keys, F.col(right_time).alias("_at"), F.lit(0).alias("_side"), seen.alias("_seen"))
-    w = W.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    carried = a.unionByName(b, allowMissingColumns=True).withColumn("_last", F.last("_seen", ignorenulls=True).over(w))
-    return carried.filter("_side = 1").select(*left.columns, *(F.col("_last")[v].alias(v) for v in values))
+    kind = right.select(seen.alias("s")).schema["s"].dataType
+    sliced = lambda df: df.withColumn("_slice", F.floor(F.unix_micros(F.col("_at").cast("timestamp")) / (slice_seconds * 1_000_000)))
+    a = sliced(left.withColumn("_at", F.col(left_time)).withColumn("_side", F.lit(1)).withColumn("_seen", F.lit(None).cast(kind)))
+    b = sliced(right.select(*keys, F.col(right_time).alias("_at"), F.lit(0).alias("_side"), seen.alias("_seen")))
+    both = a.unionByName(b, allowMissingColumns=True)
+    ends = both.groupBy(*keys, "_slice").agg(F.max_by("_seen", F.when(F.col("_side") == 0, F.col("_at"))).alias("_end"))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = ends.select(*keys, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_begin"))
+    within = W.partitionBy(*keys, "_slice").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = both.withColumn("_last", F.last("_seen", ignorenulls=True).over(within)).filter("_side = 1")
+    joined = carried.join(starts, [*keys, "_slice"], "left").withColumn("_last", F.coalesce("_last", "_begin"))
+    return joined.select(*left.columns, *(F.col("_last")[v].alias(v) for v in values))
 
 
 def bucketed_range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: float) -> DataFrame:

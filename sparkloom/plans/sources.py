@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,3 +208,125 @@ def replicate(spark, sf_dir):
 
 
 sql_operator("st7_tumbling_window", "SELECT window(ts, '1 hour').start AS bucket, COUNT(*) AS n FROM events GROUP BY window(ts, '1 hour')", "SELECT TIME_BUCKET(INTERVAL '1 hour', ts) AS bucket, COUNT(*) AS n FROM events GROUP BY 1")
+
+
+@operator("sc11_into_outfile", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey > 2")
+def into_outfile(spark, sf_dir):
+    path = S.export_csv(read_table(spark, sf_dir, "nation").filter("n_regionkey > 2").select("n_name", "n_regionkey"), _folder(spark, "outfile"), "|", header=False)
+    return S.load_csv(spark, path, "n_name string, n_regionkey int", header=False)
+
+
+@operator("sc4_sorted_index", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 10 AND 20")
+def sorted_index(spark, sf_dir):
+    """An index in Parquet terms: rows clustered and sorted by the key, so that row groups are skipped by their bounds."""
+    path = _folder(spark, "index")
+    read_table(spark, sf_dir, "orders").repartitionByRange("o_custkey").sortWithinPartitions("o_custkey", "o_orderkey").write.parquet(path)
+    return spark.read.parquet(path).filter(F.col("o_custkey").between(10, 20)).select("o_orderkey", "o_custkey")
+
+
+@operator("m1_returning", "SELECT n_nationkey + 200 AS n_nationkey, n_name, 9 AS n_regionkey FROM nation WHERE n_regionkey = 3")
+def returning(spark, sf_dir):
+    table = SnapshotTable(spark, _folder(spark, "dml"), "nation", NATION, Constraints(defaults={"n_regionkey": "9"}))
+    new = read_table(spark, sf_dir, "nation").filter("n_regionkey = 3").select((F.col("n_nationkey") + 200).alias("n_nationkey"), "n_name")
+    return table.insert(new)
+
+
+@operator("m4_foreign_key_cascade", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 2")
+def cascade(spark, sf_dir):
+    regions = SnapshotTable(spark, _folder(spark, "dml"), "region", "r_regionkey int, r_name string", Constraints(primary_key=["r_regionkey"]))
+    regions.insert(read_table(spark, sf_dir, "region"))
+    nations = _nations(spark, sf_dir, Constraints(foreign_keys=[("n_regionkey", regions, "r_regionkey")]))
+    regions.delete("r_regionkey = 2")
+    nations.cascade_from(regions, "n_regionkey", "r_regionkey")
+    return nations.read()
+
+
+@operator("m6_vacuum", "SELECT 2 AS gone, COUNT(*) AS n FROM nation")
+def vacuum(spark, sf_dir):
+    table = _nations(spark, sf_dir)
+    table.update("true", {"n_name": "n_name"})
+    gone = table.vacuum()
+    return table.read().agg(F.lit(gone).alias("gone"), F.count("*").alias("n"))
+
+
+@operator("m11_alter_table", "SELECT n_nationkey, n_name AS label, CAST(NULL AS DOUBLE) AS area FROM nation")
+def alter(spark, sf_dir):
+    table = _nations(spark, sf_dir)
+    table.alter(add={"area": "double"}, drop=["n_regionkey"], rename={"n_name": "label"})
+    return table.read()
+
+
+@operator("m7_trigger_audit", "SELECT 'I' AS op, COUNT(*) AS n FROM nation")
+def trigger_audit(spark, sf_dir):
+    table = SnapshotTable(spark, _folder(spark, "dml"), "nation", NATION)
+    table.insert(read_table(spark, sf_dir, "nation"))
+    return table.changes(0, ["n_nationkey"]).groupBy("op").agg(F.count("*").alias("n"))
+
+
+@operator("u2_vectorised_function", "SELECT p_partkey, ROUND(p_retailprice * 2 + 1, 4) AS y FROM part")
+def vectorised(spark, sf_dir):
+    @F.pandas_udf("double")
+    def twice(x: pd.Series) -> pd.Series:
+        return x * 2 + 1
+
+    return read_table(spark, sf_dir, "part").select("p_partkey", F.round(twice("p_retailprice"), 4).alias("y"))
+
+
+@operator("u3_aggregate_function", "SELECT p_brand, MAX(p_retailprice) - MIN(p_retailprice) AS spread FROM part GROUP BY p_brand")
+def aggregate_function(spark, sf_dir):
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION spread_of(high DOUBLE, low DOUBLE) RETURNS DOUBLE RETURN high - low")
+    read_table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql("SELECT p_brand, spread_of(MAX(p_retailprice), MIN(p_retailprice)) AS spread FROM part GROUP BY p_brand")
+
+
+@operator("u4_table_function", "SELECT n_nationkey, UNNEST(string_split(n_name, 'A')) AS part FROM nation")
+def table_function(spark, sf_dir):
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="part: string")
+    class Parts:
+        def eval(self, text: str):
+            for part in text.split("A"):
+                yield (part,)
+
+    spark.udtf.register("parts_of", Parts)
+    read_table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    return spark.sql("SELECT n_nationkey, part FROM nation, LATERAL parts_of(n_name)")
+
+
+@operator("in4_explain")
+def explain(spark, sf_dir):
+    plan = read_table(spark, sf_dir, "orders").filter("o_custkey = 7").select("o_orderkey")._jdf.queryExecution().toString()
+    return spark.createDataFrame([(i, line) for i, line in enumerate(plan.splitlines())], "line_number int, line string")
+
+
+@operator("st6_scheduled_run", "SELECT COUNT(*) AS n FROM events")
+def scheduled(spark, sf_dir):
+    """An event that runs SQL over what has come in: each run of the trigger takes the new files once."""
+    out, state = _folder(spark, "event"), _folder(spark, "state")
+    for _ in range(2):
+        St.for_each_batch(_events(spark, sf_dir), lambda batch, n: batch.select("event_id").write.mode("append").parquet(out), state)
+    return spark.read.parquet(out).agg(F.count("*").alias("n"))
+
+
+@operator("st8_session_window", """WITH g AS (SELECT *, CASE WHEN LAG(ts) OVER w IS NULL OR ts - LAG(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, MIN(ts) AS session_start, COUNT(*) AS n FROM s GROUP BY user_id, s.n""")
+def session_windows(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = events.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return found.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@operator("st8_stream_stream_join", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR AND a.event_type = 'click' AND b.event_type = 'purchase'")
+def stream_join(spark, sf_dir):
+    clicks = St.event_time(_events(spark, sf_dir).filter("event_type = 'click'"), "ts", "1 hour").select(F.col("event_id").alias("a"), F.col("user_id").alias("ua"), F.col("ts").alias("ta"))
+    bought = St.event_time(_events(spark, sf_dir).filter("event_type = 'purchase'"), "ts", "1 hour").select(F.col("event_id").alias("b"), F.col("user_id").alias("ub"), F.col("ts").alias("tb"))
+    joined = clicks.join(bought, F.expr("ua = ub AND tb >= ta AND tb <= ta + INTERVAL 1 HOUR")).select("a", "b")
+    return St.run_to_parquet(joined, _folder(spark, "joined"), _folder(spark, "state"))
+
+
+@operator("g1_create_graph", "SELECT 1000 + n_regionkey AS src, n_nationkey AS dst, 'HAS' AS type FROM nation")
+def create_graph(spark, sf_dir):
+    edges = SnapshotTable(spark, _folder(spark, "graph"), "edges", "src int, dst int, type string")
+    edges.insert(read_table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 1000).alias("src"), F.col("n_nationkey").alias("dst"), F.lit("HAS").alias("type")))
+    return edges.read()

@@ -42,7 +42,8 @@ class Constraints:
             if not whole.groupBy(*keys).count().filter("count > 1").isEmpty():
                 raise ConstraintError(f"UNIQUE {', '.join(keys)}")
         for column, parent, key in self.foreign_keys:
-            orphans = df.filter(F.col(column).isNotNull()).join(parent.read(), df[column] == parent.read()[key], "left_anti")
+            known = parent.read().select(F.col(key).alias("_known"))
+            orphans = df.filter(F.col(column).isNotNull()).join(known, F.col(column) == F.col("_known"), "left_anti")
             if not orphans.isEmpty():
                 raise ConstraintError(f"FOREIGN KEY {column}")
 
@@ -122,6 +123,23 @@ class SnapshotTable:
         new = joined.withColumn(column, F.when(gone, None).otherwise(F.col(column))) if set_null else joined.filter(~gone)
         self._commit(new.select(*old.columns))
 
+    def alter(self, add: dict[str, str] | None = None, drop: list[str] | None = None, rename: dict[str, str] | None = None) -> None:
+        """Adds columns (name: type, filled with null), drops and renames columns."""
+        new = self.read().drop(*(drop or []))
+        for name, kind in (add or {}).items():
+            new = new.withColumn(name, F.lit(None).cast(kind))
+        self._commit(new.withColumnsRenamed(rename or {}))
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Forgets and deletes all but the newest snapshots; returns how many went."""
+        gone = self.versions[:-keep]
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in gone:
+            place = hadoop(path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        self.versions, self.savepoints = self.versions[-keep:], {}
+        return len(gone)
+
     def savepoint(self, name: str) -> None:
         self.savepoints[name] = len(self.versions)
 
