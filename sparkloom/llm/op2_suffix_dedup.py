@@ -1,225 +1,362 @@
-"""Removal of repeated byte strings by a distributed suffix array of the difference cover {1, 2} mod 3.
+"""Removal of repeated byte strings by distributed suffix arrays of the difference cover {1, 2} mod 3.
 
 A byte goes if a string of ``width`` bytes over it also starts in a document with a smaller id.
 
-1. Filter, which loses nothing: of the hashes of all ``gram``-byte strings, the least in each window of
-   width - gram + 1 is an anchor of the document.  Equal strings of width bytes have equal anchors, so
-   only bytes within width of an anchor that two documents share can matter.  The other bytes leave.
-2. What is left of all documents is one string, pieces apart by a mark.  Sampled suffixes (positions 1
-   and 2 mod 3) are named by sorting their triples; names that are not unique are sorted by recursion
-   on the string of names, down to the level whose names cover width bytes; the remaining suffixes
-   (0 mod 3) follow from their first symbol and the rank behind it, and are merged by counting, for
-   every suffix, those of the other classes that come before it.
-3. Neighbours in suffix order whose prefixes of width bytes are equal form a class, and the class's
-   smallest document keeps its string.  The other members' ranges are united by document.
-
-Ranks are running counts over range-partitioned sorts: every partition is counted on its own, and only
-the partitions' totals pass through the driver.  No step gathers the string, a class or the ranks.
-
-Null and empty texts have nothing to remove; documents with a null id keep all bytes and cover no
-others; rows that share an id are not duplicates of each other, and each row loses what a smaller id
-has; other columns play no part.
+The suffixes to sort are dealt out so that equal strings of width bytes meet, whatever document they
+are in: of the hashes of all ``gram``-byte strings in a string of width bytes, the least is its anchor,
+and equal strings have equal anchors at equal places.  So the bytes around an anchor, as far as the
+strings reach whose anchor it is, go to the bucket of the anchor's hash.
+
+1. Each task writes its documents to working files and lists its anchors' hashes; a shuffle of the
+   hashes alone finds those that two documents have.  Only they matter further on.
+2. Each file sends the distinct strings around these anchors, with the smallest document of each, to
+   the buckets.  A bucket joins its strings to one text, sorts its suffixes (triples at 1 and 2 mod 3
+   are named, names sorted by recursion, the rest merged: see dc3), compares the prefixes of width
+   bytes of neighbours in suffix order, and finds the smallest document of each class of equal ones.
+3. The smallest documents go back to the files, which remove what a smaller document has.
+
+An anchor in more than ``crowded_files`` files may have more different strings around it than a bucket
+should hold.  Its strings are cut into those of width bytes, which are dealt out by their own hash, so
+they spread over all buckets, and equal ones still meet.
+
+Nulls count as empty texts; documents with a null id keep all bytes and cover no others; rows that
+share an id are not duplicates of each other, and each loses what a smaller id has; no rows give no
+rows; other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table, texts_of
+from .common import cut, new_folder, slices, table, texts_of
+from .dc3 import suffix_ranks
+from .files import AttemptFile, open_input
 
-MARK = 3  # marks behind each piece, so that no triple reaches into the next one
+NOBODY = np.iinfo(np.int64).max
+FILE_BYTES = 24 << 20
 
 
-def anchors(text: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of a document's anchors."""
-    if len(text) < width:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    raw = np.frombuffer(text, dtype=np.uint8)
-    hashes = np.zeros(len(raw) - gram + 1, dtype=np.uint64)
+def _sliding(values: np.ndarray, span: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) over each window of span values, by doubling."""
+    done, out = 1, values
+    while done < span:
+        step = min(done, span - done)
+        out = pick(out[: len(out) - step], out[step:])
+        done += step
+    return out
+
+
+def anchors(raw: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a document: hash, place, and the first and last start of the strings whose anchor each is."""
+    if len(raw) < width:
+        none = np.zeros(0, dtype=np.int64)
+        return none.view(np.uint64), none, none, none
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    n, span = len(raw) - gram + 1, width - gram + 1
+    h = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(gram):
-            hashes = hashes * np.uint64(0x100000001B3) + raw[i : i + len(hashes)].astype(np.uint64) + np.uint64(1)
-        hashes ^= hashes >> np.uint64(31)
-        hashes *= np.uint64(0x9E3779B97F4A7C15)
-        hashes ^= hashes >> np.uint64(29)
-    span = width - gram + 1
-    at: list[np.ndarray] = []
-    for i in range(0, len(hashes) - span + 1, 1 << 16):  # a bounded piece of a long text at a time
-        windows = np.lib.stride_tricks.sliding_window_view(hashes[i : i + (1 << 16) + span - 1], span)
-        at.append(np.unique(windows.argmin(axis=1) + np.arange(len(windows)) + i))
-    places = np.unique(np.concatenate(at))
-    return hashes[places].view(np.int64), places
-
-
-def shared_ranges(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(row, ranges): byte ranges of each document that could hold a string of width bytes of another one."""
-
-    def run(batches):
-        for b in slices(batches):
-            found = [anchors(t.encode(), width, gram) for t in texts_of(b.column(2))]
-            sizes = [len(h) for h, _ in found]
-            ids = [pa.array(np.repeat(np.array(b.column(i).to_pylist(), dtype=np.int64), sizes)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate([h for h, _ in found])), pa.array(np.concatenate([p for _, p in found]).astype(np.int64))], ["row", "doc", "h", "at"])
+        for at in range(0, gram, 8):
+            size = min(8, gram - at)
+            part = np.zeros(n, dtype=np.uint64)
+            for i in range(size):
+                part |= raw[at + i : at + i + n].astype(np.uint64) << np.uint64(8 * i)
+            h = (h ^ part) * mix
+            h ^= h >> np.uint64(29)
+    least = _sliding(h, span, np.minimum)
+    pad = np.zeros(span - 1, dtype=np.uint64)
+    reached = _sliding(np.concatenate([pad, least, pad]), span, np.maximum)
+    places = np.flatnonzero(reached == h)
+    if not h.all():  # a hash of 0 equals the padding: look closely
+        places = np.array([i for i in places if (least[max(0, i - span + 1) : i + 1] == h[i]).any()], dtype=np.int64)
+    low, high = np.maximum(places - span + 1, 0), np.minimum(places, len(least) - 1)
+    return h[places], places, low, high
+
+
+class Work:
+    """A working file: keys (null map), text sizes and bytes of some documents."""
+
+    @staticmethod
+    def write(folder: str, part: int, keys: list, texts: list[bytes]) -> str:
+        import zstandard
+
+        parts = [np.array([0 if k is None else k for k in keys], "<i8").tobytes(), np.array([k is None for k in keys], np.uint8).tobytes(), np.array(list(map(len, texts)), "<i8").tobytes(), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]
+        head = json.dumps([len(p) for p in parts]).encode()
+        file = AttemptFile(folder, f"docs-{part:06d}", ".work")
+        for p in (struct.pack("<I", len(head)), head, *parts):
+            file.write(p)
+        file.close()
+        return file.path
+
+    def __init__(self, path: str):
+        import zstandard
+
+        with open_input(path) as f:
+            sizes = json.loads(f.read(struct.unpack("<I", f.read(4))[0]))
+            keys, nulls, lengths, squeezed = (f.read(n) for n in sizes)
+        self.keys, self.nulls = np.frombuffer(keys, "<i8"), np.frombuffer(nulls, np.uint8).astype(bool)
+        self.ends = np.cumsum(np.frombuffer(lengths, "<i8"))
+        self.starts = self.ends - np.frombuffer(lengths, "<i8")
+        self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(squeezed), np.uint8) if self.ends[-1] else np.zeros(0, np.uint8)
+
+    def strings(self, shared: np.ndarray, crowded: np.ndarray, width: int, gram: int):
+        """Of the shared anchors: hash, document, first byte and end of its strings in the file; the order is always the same."""
+        found = []
+        for a, b in zip(self.starts[~self.nulls].tolist(), self.ends[~self.nulls].tolist(), strict=True):
+            h, _, low, high = anchors(self.raw[a:b], width, gram)
+            found.append((h, a + low, a + high))
+        h, low, high = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(2)))
+        own = np.isin(h, shared)
+        h, low, high = h[own], low[own], high[own]
+        split = np.isin(h, crowded)
+        times = (high - low + 1)[split]
+        first = np.unique(np.repeat(low[split], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+        h, low, high = (np.concatenate(c) for c in ((h[~split], string_hashes(self.raw, first, width)), (low[~split], first), (high[~split], first)))
+        return h, self.keys[np.searchsorted(self.ends, low, side="right")], low, high + width
+
+
+def string_hashes(raw: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the string of width bytes at each place."""
+    h = np.zeros(len(first), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            h = (h ^ raw[first + i]) * np.uint64(0x100000001B3)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def distinct_strings(raw: np.ndarray, first: np.ndarray, end: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes (length before, padded with 0), distinct; and which row each string is."""
+    if not len(first):
+        return np.zeros((0, longest + 1), np.uint8), np.zeros(0, np.int64)
+    padded = np.concatenate([raw, np.zeros(longest, np.uint8)])
+    rows = np.zeros((len(first), longest + 1), np.uint8)
+    for i in range(0, len(first), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        size = (end - first)[part]
+        block = padded[first[part][:, None] + np.arange(longest)[None, :]]
+        rows[part, 0], rows[part, 1:] = size, np.where(np.arange(longest)[None, :] < size[:, None], block, 0)
+    whole, which = np.unique(rows.view(f"V{longest + 1}").reshape(-1), return_inverse=True)
+    return whole.view(np.uint8).reshape(-1, longest + 1), which.reshape(-1)
+
+
+def smallest_documents(rows: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
+    """For each row and each start in it, the smallest document with the string of width bytes there; else NOBODY."""
+    size = rows[:, 0].astype(np.int64)
+    starts_of = rows.shape[1] - width
+    inside = np.arange(rows.shape[1])[None, :] <= size[:, None]  # a mark behind each string
+    symbols = np.where(np.arange(rows.shape[1])[None, :] < size[:, None], np.concatenate([rows[:, 1:].astype(np.int64) + 1, np.zeros((len(rows), 1), np.int64)], axis=1), 0)
+    text = symbols[inside]
+    ranks = suffix_ranks(text, width)
+    begins = np.cumsum(size + 1) - size - 1
+    full = np.arange(starts_of)[None, :] <= (size - width)[:, None]
+    row, at = np.nonzero(full)
+    place = begins[row] + at
+    order = np.argsort(ranks[place], kind="stable")
+    place, row, at = place[order], row[order], at[order]
+    differs = np.ones(len(place), dtype=bool)  # from the neighbour before in suffix order
+    narrow = text.astype(np.int16)
+    for i in range(1, len(place), 1 << 15):
+        a, b = place[i - 1 : i - 1 + (1 << 15)], place[i : i + (1 << 15)]
+        a, reach = a[: len(b)], np.arange(width)[None, :]
+        differs[i : i + len(b)] = (narrow[a[:, None] + reach] != narrow[b[:, None] + reach]).any(axis=1)
+    least = np.minimum.reduceat(docs[row], np.flatnonzero(differs)) if len(place) else np.zeros(0, np.int64)
+    out = np.full((len(rows), starts_of), NOBODY, dtype=np.int64)
+    out[row, at] = least[np.cumsum(differs) - 1] if len(place) else NOBODY
+    return out
 
-    found = docs.select("row", "doc", "text").mapInArrow(run, "row long, doc long, h long, at long")
-    shared = found.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h")
-    return found.join(shared, "h", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("ats"))
 
+def runs_of(table_: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, document, bits) for rows of smallest documents: the starts, as bits, that a document below ``most`` has."""
+    powers = np.uint64(1) << np.arange(table_.shape[1], dtype=np.uint64)
+    left, found = np.where(table_ < most[:, None], table_, NOBODY), []
+    index = np.arange(len(left))
+    while len(left):
+        least = left.min(axis=1)
+        some = least < NOBODY
+        left, least, index = left[some], least[some], index[some]
+        if not len(left):
+            break
+        same = left == least[:, None]
+        found.append((index, least, (same * powers[None, :]).sum(axis=1, dtype=np.uint64)))
+        left = np.where(same, NOBODY, left)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-def pieces_of(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(row, doc, at, piece): the parts of the documents that stay in the string."""
 
-    def run(batches):
-        for b in slices(batches):
-            rows = []
-            for row, doc, text, ats in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw, begin, end = text.encode(), None, None
-                for at in ats:
-                    first, last = max(0, at - width + gram), min(len(raw), at + width)
-                    if begin is not None and first <= end:
-                        end = max(end, last)
-                        continue
-                    if begin is not None:
-                        rows.append((row, doc, begin, raw[begin:end]))
-                    begin, end = first, last
-                rows.append((row, doc, begin, raw[begin:end]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["row", "doc", "at", "piece"])
-
-    with_ranges = docs.join(shared_ranges(docs, width, gram), "row").select("row", "doc", "text", "ats")
-    return with_ranges.mapInArrow(run, "row long, doc long, at long, piece binary")
-
-
-def running(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
-    """df with the sum of ``amount`` over all rows that come strictly before by ``order``, equal rows alike.
-
-    Rows are dealt out by ranges of order, so equal rows meet; sums within a partition are a window over
-    it, and the partitions' totals (a row each) are added up in the driver.
-    """
-    dealt = cut(df.withColumn("_n", amount.cast("long")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    totals = sorted((r["_part"], r["t"]) for r in dealt.groupBy("_part").agg(F.sum("_n").alias("t")).collect())
-    starts, start = [], 0
-    for part, total in totals:
-        starts.append((part, start))
-        start += total
-    before = df.sparkSession.createDataFrame(starts, "_part int, _start long")
-    w = W.partitionBy("_part").orderBy(*order).rangeBetween(W.unboundedPreceding, W.currentRow)
-    same = W.partitionBy("_part", *order)
-    summed = dealt.withColumn(name, F.sum("_n").over(w) - F.sum("_n").over(same))
-    return summed.join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_start")).drop("_n", "_part", "_start")
-
-
-def suffix_ranks(triples: DataFrame, depth: int, width: int) -> DataFrame:
-    """(p, rank) for all positions of a string given as (p, a, b, c), its symbols at p, p + 1 and p + 2.
-
-    rank is the number of suffixes before, as far as ``width`` bytes tell; a symbol covers depth bytes.
-    """
-    if depth * 3 >= width:  # triples tell all that is asked
-        return running(triples, ["a", "b", "c"], F.lit(1), "rank").select("p", "rank")
-    sample = triples.filter("p % 3 <> 0")
-    if depth == 1:  # triples of bytes and marks name themselves
-        named = cut(sample.select("p", ((F.col("a") * 257 + F.col("b")) * 257 + F.col("c")).alias("name")))
-    else:
-        names = running(sample.select("a", "b", "c").distinct(), ["a", "b", "c"], F.lit(1), "name")
-        named = cut(sample.join(names, ["a", "b", "c"]).select("p", "name"))
-    n_names, n_sample, last = named.agg(F.count_distinct("name"), F.count("*"), F.max("p")).first()
-    if n_names == n_sample:
-        ranked = running(named, ["name"], F.lit(1), "rank").select("p", "rank")
-    else:
-        # The string of names: first those at 1 mod 3, a gap of marks, then those at 2 mod 3.
-        shift = last // 3 + 4
-        place = F.floor(F.col("p") / 3) + F.when(F.col("p") % 3 == 2, shift).otherwise(0)
-        placed = named.select(place.cast("long").alias("p"), (F.col("name") + 1).alias("a"))
-        next_1, next_2 = placed.select((F.col("p") - 1).alias("p"), F.col("a").alias("b")), placed.select((F.col("p") - 2).alias("p"), F.col("a").alias("c"))
-        string = placed.join(next_1, "p", "left").join(next_2, "p", "left").select("p", "a", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("c", F.lit(0)).alias("c"))
-        below = suffix_ranks(cut(string), depth * 3, width)
-        back = F.when(F.col("p") >= shift, (F.col("p") - shift) * 3 + 2).otherwise(F.col("p") * 3 + 1)
-        ranked = below.select(back.alias("p"), "rank")
-    return _merge(triples, cut(ranked))
-
-
-def _merge(triples: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Ranks of all suffixes from those of the sample."""
-    behind = lambda k, name: ranked.select((F.col("p") - k).alias("p"), F.col("rank").alias(name))
-    none = F.lit(-1).cast("long")
-    keyed = triples.join(ranked, "p", "left").join(behind(1, "r1"), "p", "left").join(behind(2, "r2"), "p", "left")
-    keyed = cut(keyed.select("p", (F.col("p") % 3).alias("m"), "a", "b", "rank", F.coalesce("r1", none).alias("r1"), F.coalesce("r2", none).alias("r2")))
-    one, two = keyed.filter("m <> 2").select("p", "m", "a", "r1"), keyed.filter("m <> 1").select("p", "m", "a", "b", "r2")
-    zero = lambda m: (F.col("m") == m).cast("long")
-    # Against suffixes at 1 mod 3, the first symbol and the rank behind it decide; at 2 mod 3, one symbol more.
-    by_one = running(running(one, ["a", "r1"], zero(0), "zeros"), ["a", "r1"], zero(1), "ones").select("p", "m", "zeros", "ones")
-    by_two = running(running(two, ["a", "b", "r2"], zero(0), "zeros"), ["a", "b", "r2"], zero(2), "twos").select("p", "m", "zeros", "twos")
-    zeros = by_one.filter("m = 0").join(by_two.filter("m = 0").select("p", "twos"), "p").select("p", (F.col("zeros") + F.col("ones") + F.col("twos")).alias("rank"))
-    less = by_one.filter("m = 1").select("p", "zeros").unionByName(by_two.filter("m = 2").select("p", "zeros"))
-    return zeros.unionByName(ranked.join(less, "p").select("p", (F.col("rank") + F.col("zeros")).alias("rank")))
-
-
-def _symbols(pieces: DataFrame, width: int) -> DataFrame:
-    """(p, a, b, c, row, doc, at, prefix) of every position; prefix is null where fewer than width bytes follow."""
-
-    def run(batches):
-        for b in slices(batches, 64):
-            for start, row, doc, at, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = np.frombuffer(piece, dtype=np.uint8).astype(np.int64) + 1
-                n, ext = len(raw) + MARK, np.concatenate([raw, np.zeros(MARK + 2, dtype=np.int64)])
-                same = lambda x, n=n: pa.array(np.full(n, x, dtype=np.int64))
-                prefix = [piece[i : i + width] if i + width <= len(piece) else None for i in range(n)]
-                places = np.arange(n, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(start + places), *(pa.array(ext[i : i + n]) for i in range(3)), same(row), same(doc), pa.array(at + places), pa.array(prefix, pa.binary())], ["p", "a", "b", "c", "row", "doc", "at", "prefix"])
-
-    placed = running(pieces.withColumn("size", F.octet_length("piece") + MARK), ["row", "at"], F.col("size"), "start")
-    return placed.select("start", "row", "doc", "at", "piece").mapInArrow(run, "p long, a long, b long, c long, row long, doc long, at long, prefix binary")
-
-
-def repeated_ranges(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(row, starts): where in a document strings of width bytes begin that a smaller document has."""
-    symbols = cut(_symbols(cut(pieces_of(docs, width, gram)), width))
-    if symbols.isEmpty():
-        return docs.select("row", F.array().cast("array<long>").alias("starts")).limit(0)
-    ranks = suffix_ranks(symbols.select("p", "a", "b", "c"), 1, width)
-    ordered = symbols.filter("prefix is not null").select("p", "row", "doc", "at", "prefix").join(ranks, "p")
-    dealt = cut(ordered.repartitionByRange("prefix", "rank"))
-    # Neighbours in suffix order with another prefix begin a class; a class lies in one range or at its edges.
-    part = F.spark_partition_id().alias("part")
-    w = W.partitionBy("part").orderBy("rank", "p")
-    begins = F.coalesce((F.lag("prefix").over(w) != F.col("prefix")).cast("long"), F.lit(1))
-    classes = dealt.select("*", part).withColumn("new", begins).withColumn("number", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    classes = cut(classes.select("row", "doc", "at", "prefix", "part", "number"))
-    least = classes.groupBy("prefix").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    by_class = classes.groupBy("part", "number").agg(F.first("prefix").alias("prefix")).join(least, "prefix").select("part", "number", "least")
-    hit = classes.join(by_class, ["part", "number"]).filter("doc > least")
-    return hit.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("starts"))
-
-
-def removed(docs: DataFrame, width: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _bytes(column) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() for x in column]
+
+
+def removed(docs: DataFrame, width: int = 50, gram: int = 16, bucket_bytes: int = 1 << 20, crowded_files: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, spans (removed byte ranges, start and end) and kept (binary) for every row of docs."""
-    numbered = cut(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()))
-    named = numbered.filter("_id is not null").select("row", F.col("_id").cast("long").alias("doc"), "text")
-    starts = repeated_ranges(named, width, gram)
+    if not gram < width <= gram + 62 or 2 * width - gram > 255:
+        raise ValueError("the starts around an anchor have to fit in 63 bits, their bytes in 255")
+    spark = docs.sparkSession
+    folder, longest = new_folder(spark, "suffixes"), 2 * width - gram
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        keys, texts, size = [], [], 0
+
+        def flush():
+            path = Work.write(folder, TaskContext.get().partitionId(), keys, texts)
+            seen: list[np.ndarray] = []
+            for k, t in zip(keys, texts, strict=True):
+                if k is not None:
+                    seen.append(np.unique(anchors(np.frombuffer(t, np.uint8), width, gram)[0]))
+            hashes, times = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([hashes.tobytes()], pa.binary()), pa.array([np.packbits(times > 1).tobytes()], pa.binary()), pa.array([size], pa.int64())], ["path", "hashes", "twice", "size"])
 
-    def run(batches):
         for b in slices(batches):
-            rows = []
-            for key, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw, spans = text.encode(), []
-                for s in own or []:
-                    if spans and s <= spans[-1]["end"]:
-                        spans[-1]["end"] = s + width
-                    else:
-                        spans.append({"start": s, "end": s + width})
-                cuts = [0, *(x for s in spans for x in (s["start"], s["end"])), len(raw)]
-                rows.append((key, len(raw), spans, b"".join(raw[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), *(pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), (3, pa.binary())))], [id_col, "n_bytes", "spans", "kept"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return numbered.join(starts, "row", "left").select(F.col("_id").alias(id_col), "text", "starts").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+            keys += b.column(0).to_pylist()
+            texts += (own := [t.encode() for t in texts_of(b.column(1))])
+            size += sum(map(len, own))
+            if size >= FILE_BYTES:
+                yield flush()
+                keys, texts, size = [], [], 0
+        if keys:
+            yield flush()
+
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    files = cut(read.mapInArrow(write, "path string, hashes binary, twice binary, size long"))
+    total = files.agg(F.sum("size")).first()[0]
+    schema = f"`{id_col}` long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
+    if total is None:
+        return spark.createDataFrame([], schema)
+    buckets = max(8, total // (8 * bucket_bytes))  # anchors that two documents share take up a fraction of the text
+
+    def deal(batches):
+        """The hashes of each file by bucket; a hash whose document is not alone in its file is marked."""
+        for b in batches:
+            for path, hashes, twice in zip(b.column(0).to_pylist(), _bytes(b.column(1)), _bytes(b.column(2)), strict=True):
+                h = np.frombuffer(hashes, np.uint64)
+                mark = np.unpackbits(np.frombuffer(twice, np.uint8))[: len(h)]
+                # Hashes are sorted, and buckets are ranges of them.
+                edges = np.searchsorted(h, (np.arange(buckets + 1, dtype=object) * 2**64 // buckets)[1:-1].astype(np.uint64))
+                cuts = [0, *edges.tolist(), len(h)]
+                keep = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([path] * len(keep)), pa.array([h[cuts[i] : cuts[i + 1]].tobytes() for i in keep], pa.binary()), pa.array([mark[cuts[i] : cuts[i + 1]].tobytes() for i in keep], pa.binary())], ["bucket", "path", "hashes", "marks"])
+
+    def share(t: pa.Table) -> pa.Table:
+        """Of one bucket: for each file its hashes that two documents have."""
+        paths = t.column("path").to_pylist()
+        hashes = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        marks = [np.frombuffer(x, np.uint8) for x in t.column("marks").to_pylist()]
+        whole = np.concatenate(hashes)
+        values, which, times = np.unique(whole, return_inverse=True, return_counts=True)
+        shared = (times > 1) | (np.bincount(which.reshape(-1), weights=np.concatenate(marks), minlength=len(values)) > 0)
+        places = [np.searchsorted(values, h) for h in hashes]
+        lists = {"shared": [h[shared[at]].tobytes() for h, at in zip(hashes, places, strict=True)], "crowded": [h[times[at] > crowded_files].tobytes() for h, at in zip(hashes, places, strict=True)]}
+        return pa.table({"path": paths, **{n: pa.array(c, pa.binary()) for n, c in lists.items()}})
+
+    dealt = files.select("path", "hashes", "twice").mapInArrow(deal, "bucket long, path string, hashes binary, marks binary")
+    lists = dealt.groupBy("bucket").applyInArrow(share, "path string, shared binary, crowded binary")
+    shared = cut(lists.groupBy("path").agg(F.collect_list(F.struct("shared", "crowded")).alias("parts")))
+
+    def place_of(work: Work, parts: list[dict]):
+        """Strings of a file: their arrays, the distinct ones by bucket, and which of these each is."""
+        shared, crowded = (np.frombuffer(b"".join(p[n] for p in parts), np.uint64) for n in ("shared", "crowded"))
+        h, doc, first, end = work.strings(shared, crowded, width, gram)
+        rows, which = distinct_strings(work.raw, first, end, longest)
+        bucket = np.zeros(len(rows), np.int64)
+        bucket[which] = (h >> np.uint64(20)).astype(np.int64) % buckets
+        least, most = np.full(len(rows), NOBODY), np.full(len(rows), -NOBODY)
+        np.minimum.at(least, which, doc)
+        np.maximum.at(most, which, doc)
+        return h, doc, first, rows, which, bucket, least, most
+
+    def send(batches):
+        for b in batches:
+            for path, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                _, _, _, rows, _, bucket, least, most = place_of(Work(path), parts)
+                order = np.argsort(bucket, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                    blobs = [rows[own].tobytes(), least[own].tobytes(), most[own].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int64()), pa.array([path]), *(pa.array([x], pa.binary()) for x in blobs)], ["bucket", "path", "rows", "least", "most"])
+
+    def sort_bucket(t: pa.Table) -> pa.Table:
+        """The smallest documents of all strings of one bucket, by file, as (number of the string, document, bits of starts)."""
+        paths, sizes = t.column("path").to_pylist(), []
+        rows = [np.frombuffer(x, np.uint8).reshape(-1, longest + 1) for x in t.column("rows").to_pylist()]
+        sizes = np.cumsum([0, *map(len, rows)])
+        least = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("least").to_pylist()])
+        most = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("most").to_pylist()])
+        whole, which = np.unique(np.concatenate(rows).view(f"V{longest + 1}").reshape(-1), return_inverse=True)
+        which, whole = which.reshape(-1), whole.view(np.uint8).reshape(-1, longest + 1)
+        first = np.full(len(whole), NOBODY)
+        np.minimum.at(first, which, least)
+        answer = smallest_documents(whole, first, width)
+        out = []
+        for i in range(len(rows)):
+            own = slice(sizes[i], sizes[i + 1])
+            number, doc, bits = runs_of(answer[which[own]], most[own])
+            out.append((number.astype(np.int64).tobytes(), doc.tobytes(), bits.tobytes()))
+        return pa.table({"path": paths, "bucket": t.column("bucket"), **{n: pa.array(c, pa.binary()) for n, c in zip(("number", "doc", "bits"), zip(*out, strict=True), strict=True)}})
+
+    sent = shared.mapInArrow(send, "bucket long, path string, rows binary, least binary, most binary")
+    answers = sent.groupBy("bucket").applyInArrow(sort_bucket, "path string, bucket long, number binary, doc binary, bits binary")
+    back = answers.groupBy("path").agg(F.collect_list(F.struct("bucket", "number", "doc", "bits")).alias("answers"))
+    todo = cut(files.select("path").join(shared, "path", "left").join(back, "path", "left"))
+
+    def finish(batches):
+        for b in batches:
+            for path, parts, answers_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                work = Work(path)
+                gone = np.zeros(len(work.raw) + 1, np.int32)
+                if answers_:
+                    mark_removed(gone, work, place_of(work, parts), answers_, width)
+                covered = np.cumsum(gone)[: len(work.raw)] > 0
+                rows = []
+                for i, (s, e) in enumerate(zip(work.starts.tolist(), work.ends.tolist(), strict=True)):
+                    own = covered[s:e]
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+                    spans = [{"start": int(x), "end": int(y)} for x, y in edges.reshape(-1, 2)]
+                    rows.append((None if work.nulls[i] else int(work.keys[i]), e - s, spans, work.raw[s:e][~own].tobytes()))
+                    if len(rows) == 256:
+                        yield result(rows)
+                        rows = []
+                if rows:
+                    yield result(rows)
+
+    def result(rows: list) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [id_col, "n_bytes", "spans", "kept"])
+
+    return todo.repartition(max(1, min(todo.count(), 10_000)), "path").mapInArrow(finish, schema)
+
+
+def mark_removed(gone: np.ndarray, work: Work, strings: tuple, answers: list, width: int) -> None:
+    """Counts up in ``gone`` where removed strings begin, down where they end."""
+    _, doc, first, rows, which, bucket, _, _ = strings
+    order = np.argsort(bucket, kind="stable")  # strings were numbered within their bucket
+    offset = dict(zip(*(x.tolist() for x in np.unique(bucket[order], return_index=True)), strict=True))
+    number, other, bits = [], [], []
+    for a in answers:
+        number.append(order[offset[a["bucket"]] + np.frombuffer(a["number"], np.int64)])
+        other.append(np.frombuffer(a["doc"], np.int64))
+        bits.append(np.frombuffer(a["bits"], np.uint64))
+    number, other, bits = np.concatenate(number), np.concatenate(other), np.concatenate(bits)
+    by = np.argsort(number, kind="stable")
+    number, other, bits = number[by], other[by], bits[by]
+    low, high = np.searchsorted(number, which, side="left"), np.searchsorted(number, which, side="right")
+    times = high - low
+    occurrence = np.repeat(np.arange(len(which)), times)
+    answer = np.arange(len(occurrence)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+    hit = other[answer] < doc[occurrence]
+    occurrence, answer = occurrence[hit], answer[hit]
+    for bit in range(rows.shape[1] - width):
+        own = occurrence[(bits[answer] >> np.uint64(bit)) & np.uint64(1) > 0]
+        np.add.at(gone, first[own] + bit, 1)
+        np.add.at(gone, first[own] + bit + width, -1)
 
 
 def digests(found: DataFrame) -> DataFrame:

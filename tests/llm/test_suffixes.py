@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+
 import pytest
 
 from sparkloom.llm import op2_suffix_dedup as op2
 from sparkloom.llm.common import table
+from sparkloom.llm.dc3 import suffix_ranks
 
 
 def got_rows(df):
@@ -19,19 +22,29 @@ def test_op2_query(spark, sf):
     assert sum(r[2] for r in want) > 0
 
 
-@pytest.mark.parametrize(("width", "gram"), [(6, 3), (20, 8)])
-def test_removed_from_odd_rows(spark, width, gram):
+@pytest.mark.parametrize(("width", "gram", "crowded"), [(6, 3, 16), (20, 8, 16), (6, 3, 1), (20, 8, 1)])
+def test_removed_from_odd_rows(spark, width, gram, crowded):
     rng = random.Random(width)
     words = ["ab", "a", "é", "xyz", "ab" * 8, " "]
     texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(40)]
     rows = [*enumerate(texts), (50, None), (51, ""), (52, texts[3]), (52, texts[3]), (53, "a" * 300), (54, "a" * 200), (None, texts[3])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
     want = op2.plain_removed([(d, (t or "").encode()) for d, t in rows if d is not None], width)
-    kept = [r for r in got_rows(op2.removed(df, width, gram)) if r[0] is not None]
+    kept = [r for r in got_rows(op2.removed(df.repartition(5), width, gram, crowded_files=crowded)) if r[0] is not None]
     assert kept == sorted(want, key=str)
     assert op2.removed(df.limit(0), width, gram).count() == 0
 
 
+@pytest.mark.parametrize("width", [4, 9, 50])
+def test_suffix_ranks(width):
+    rng = random.Random(width)
+    for n in [1, 2, 3, 4, 5, *(rng.randint(6, 200) for _ in range(60))]:
+        text = [rng.randint(0, 3) for _ in range(n)]
+        ranks = suffix_ranks(np.array(text), width)
+        prefixes = [tuple((text[i : i + width] + [0] * width)[:width]) for i in range(n)]
+        assert [prefixes[i] for i in np.argsort(ranks, kind="stable")] == sorted(prefixes)
+
+
 def test_nothing_shared(spark):
     df = spark.createDataFrame([(1, "a" * 100), (2, "b" * 100)], "doc_id long, text string")
     assert [r[2] for r in got_rows(op2.removed(df))] == [0, 0]
