@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import op3_decontaminate, op4_simhash, op5_byte_bpe, op6_quality, op8_pii
-from sparkloom.llm.common import new_folder, table, vocabulary_path
+from sparkloom.llm.common import new_folder, reachable, table, vocabulary_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,6 +26,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     The stage keeps the contract of its operator: three-word shingles, fingerprints linked up to two bits apart.
     """
+    reachable(spark)
     return op4_simhash.keep_one(docs).select(*COLUMNS)
 
 
@@ -44,6 +45,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether decoding them gives the text again."""
     import public_tokenizers
 
+    reachable(spark)
     coded = op5_byte_bpe.encode(docs, vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it; clusters ship it with the job."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -54,14 +62,6 @@ def texts_of(column) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
-
-
 class BoundedCache(dict):
     """A dictionary that starts anew once its keys would exceed ``most`` entries or ``most_chars`` characters."""
 
@@ -94,7 +94,3 @@ def chunked(items, n: int):
     it = iter(items)
     while part := list(itertools.islice(it, n)):
         yield part
-
-
-def exists_local(path: str) -> bool:
-    return os.path.exists(path.removeprefix("file://"))
