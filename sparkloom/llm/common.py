@@ -69,6 +69,15 @@ class BoundedCache(dict):
         super().__init__()
         self.most, self.most_chars, self.chars = most, most_chars, 0
 
+    def add(self, new: dict) -> None:
+        """Takes new entries; what was known before goes if it would be too much."""
+        size = sum(map(len, new))
+        if len(self) + len(new) > self.most or self.chars + size > self.most_chars:
+            self.clear()
+            self.chars = 0
+        self.update(new)
+        self.chars += size
+
     def fill(self, needed: set, values) -> None:
         """After this every key of ``needed`` is there; ``values(keys)`` gives the values of the missing ones."""
         missing = [k for k in needed if k not in self]

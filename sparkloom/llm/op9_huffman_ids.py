@@ -28,16 +28,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, cut, new_folder, slices, table, texts_of, vocabulary_path
+from .common import BoundedCache, cut, new_folder, slices, table, vocabulary_path
 from .files import AttemptFile, open_input, remove_folder
 
 MAGIC = b"SLTI0001"
 LETTER, NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
 # Texts of these characters alone are split here; any other text goes to the library whole.
-PLAIN = re.compile("[^\t\n\r -~¡-ıĲ-ɏ]|<\\|")
+PLAIN = r"[^\t\n\r -~¡-įı-ɏ]|<\|"  # found in texts that are not plain
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+")
 _loaded: dict[str, WordBpe] = {}
 _tables: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
@@ -50,7 +51,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known = BoundedCache(1_000_000, 16_000_000)
+        self.known, self.words = BoundedCache(1_200_000, 18_000_000), BoundedCache(800_000, 10_000_000)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         spec = json.loads(self.library.to_str())
         split = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"].get("pretokenizers") else {}
@@ -65,35 +66,54 @@ class WordBpe:
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def encode_new(self, chunks: list[str]) -> list[bytes]:
-        """The ids of runs without blanks, many in one call: blanks keep them apart, word-end tokens tell where each ends."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, many in one call: blanks keep them apart, word-end tokens tell where each ends."""
         out: list[bytes] = []
-        for i in range(0, len(chunks), 4096):
-            own = chunks[i : i + 4096]
+        for i in range(0, len(words), 4096):
+            own = words[i : i + 4096]
             ids = np.array(self.library.encode(" ".join(own), add_special_tokens=False).ids, dtype="<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            words = np.cumsum([len(SPLIT.findall(c)) for c in own])
-            if len(ends) == words[-1] and ends[-1] == len(ids):
-                raw, at = ids.tobytes(), [0, *(ends[words - 1] * 4).tolist()]
+            if len(ends) == len(own) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
                 out += [raw[a:b] for a, b in itertools.pairwise(at)]
             else:
                 out += self.encode_whole(own)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers.
+    def encode_runs(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of runs without blanks: those of their pre-tokens."""
+        split = [SPLIT.findall(r) for r in runs]
+        self.words.fill(set().union(*split), self.encode_words)
+        get = self.words.__getitem__
+        return {r: b"".join(map(get, own)) for r, own in zip(runs, split, strict=True)}
 
-        No pre-token holds a blank, so a plain text's ids are those of its runs between blanks.
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null is empty.
+
+        No pre-token holds a blank, so a plain text's ids are those of its runs between blanks.  Splitting
+        and finding the distinct runs are array operations; only distinct runs become Python objects.
         """
+        texts = pc.fill_null(texts, "")
+        plain = pc.invert(pc.match_substring_regex(texts, PLAIN)).to_numpy(zero_copy_only=False) if self.shortcut else np.zeros(len(texts), dtype=bool)
         out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not self.shortcut or PLAIN.search(t)]
-        for i, ids in zip(odd, self.encode_whole([texts[i] for i in odd]), strict=True):
+        odd = np.flatnonzero(~plain)
+        for i, ids in zip(odd.tolist(), self.encode_whole(texts.take(pa.array(odd)).to_pylist()), strict=True):
             out[i] = ids
-        split = {i: t.lower().split() for i, t in enumerate(texts) if out[i] is None}
-        self.known.fill(set().union(*split.values()), self.encode_new)
-        get = self.known.__getitem__
-        for i, own in split.items():
-            out[i] = b"".join(map(get, own))
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pa.array(plain))))
+        runs = pc.dictionary_encode(split.flatten())
+        distinct, which = runs.dictionary.to_pylist(), runs.indices.to_numpy()
+        found = list(map(self.known.get, distinct))
+        new = self.encode_runs([r for r, x in zip(distinct, found, strict=True) if x is None])
+        found = [new[r] if x is None else x for r, x in zip(distinct, found, strict=True)]
+        self.known.add(new)
+        size = np.array([len(x) for x in found], dtype=np.int64) // 4
+        tokens, begin = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(size) - size
+        times = size[which] if len(which) else np.zeros(0, dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(times)])
+        flat = tokens[np.repeat(begin[which] - ends[:-1], times) + np.arange(ends[-1])] if len(which) else tokens
+        edges = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for i, low, high in zip(np.flatnonzero(plain).tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            out[i] = flat[low:high].tobytes()
         return out
 
 
@@ -143,13 +163,21 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The bits of ids, one a byte."""
-    n = lengths[ids]
-    left = (codes[ids] << (32 - n.astype(np.uint32))).astype(">u4")
-    width = max(8, -(-int(n.max(initial=1)) // 8) * 8)
-    bits = np.unpackbits(left.view(np.uint8).reshape(-1, 4)[:, : width // 8], axis=1)
-    return bits[np.arange(width, dtype=np.uint8)[None, :] < n[:, None]]
+def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids as 32-bit words of a bit stream that is ``start`` bits into its first word: words, bit offsets, end.
+
+    A code lies in one word or two; the codes of a word have no bit in common, so their sum joins them.
+    """
+    n = lengths[ids].astype(np.int64)
+    ends = np.cumsum(n) + start
+    at = ends - n
+    wide = codes[ids].astype(np.uint64) << (64 - (at & 31) - n).astype(np.uint64)
+    word = at >> 5
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out = np.zeros(int(word[-1]) + 2, dtype=np.uint64)
+    out[word[first]] += np.add.reduceat(wide >> np.uint64(32), first)
+    out[word[first] + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), first)
+    return out.astype(">u4"), at, int(ends[-1])
 
 
 def lookup(packed_lengths: bytes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -223,19 +251,18 @@ def _write_shard(folder: str, part: int, work: str, packed: bytes, block: int) -
         head = json.loads(f.read(struct.unpack("<I", f.read(4))[0]))
         named, nulls, n_each, squeezed = (f.read(n) for n in head["sizes"])
     ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(squeezed), dtype=f"<u{head['width']}")
-    bits, body, offsets, done = np.zeros(0, dtype=np.uint8), [], [], 0
-    step = max(block, (1 << 19) // block * block)
+    body, offsets, done = [], [], 0  # done: bits so far; what is not a whole word yet is carried on
+    carry, step = np.zeros(1, dtype=">u4"), max(block, (1 << 19) // block * block)
     for i in range(0, len(ids), step):
-        own = ids[i : i + step]
-        ends = np.cumsum(lengths[own], dtype=np.uint64)
-        offsets.append(np.concatenate([[0], ends[:-1]]).astype(np.uint64)[::block] + np.uint64(done))
-        done += int(ends[-1])
-        bits = np.concatenate([bits, pack(own, codes, lengths)])
-        whole = len(bits) // 8 * 8
-        body.append(np.packbits(bits[:whole]).tobytes())
-        bits = bits[whole:]
-    body.append(np.packbits(bits).tobytes())
-    parts = [packed, named, nulls, n_each, np.concatenate(offsets).astype("<u8").tobytes(), b"".join(body)]
+        words, at, end = pack(ids[i : i + step], codes, lengths, done & 31)
+        words[0] += carry[0]
+        offsets.append((at[::block] + (done & ~31)).astype("<u8"))
+        whole = end >> 5
+        body.append(words[:whole].tobytes())
+        carry = words[whole : whole + 1]
+        done = (done & ~31) + end
+    body.append(carry.tobytes())
+    parts = [packed, named, nulls, n_each, np.concatenate(offsets).tobytes(), b"".join(body)]
     shard_head = json.dumps({"n_docs": head["n_docs"], "n_ids": head["n_ids"], "block": block, "sizes": [len(p) for p in parts]}).encode()
     file = AttemptFile(folder, f"shard-{part:06d}", ".slti")
     for p in (MAGIC, struct.pack("<I", len(shard_head)), shard_head, *parts):
@@ -253,9 +280,9 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, max_bits: in
 
         bpe, end = word_bpe(path), struct.pack("<I", end_id)
         keys, texts = [], []
-        for b in slices(batches):
+        for b in slices(batches, 2048):
             keys += b.column(0).to_pylist()
-            texts += [ids + end for ids in bpe.encode(texts_of(b.column(1)))]
+            texts += [ids + end for ids in bpe.encode(b.column(1))]
         if keys:
             part = TaskContext.get().partitionId()
             name, counts = _write_work(f"{folder}/work", part, keys, texts)
