@@ -68,7 +68,7 @@ sql_operator("w3_dense_rank", f"SELECT l_orderkey, l_linenumber, CAST(DENSE_RANK
 sql_operator("w7_lag_lead", "SELECT event_id, LAG(value, 1, 0.0) OVER w AS before, LEAD(value, 2, -1.0) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 sql_operator("w8_first_value", "SELECT event_id, FIRST_VALUE(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS w FROM events")
 sql_operator("w9_last_value", "SELECT event_id, LAST_VALUE(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS own, LAST_VALUE(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS w FROM events")
-sql_operator("w10_partition_aggregates", "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER p, 2) AS total, ROUND(AVG(o_totalprice) OVER p, 4) AS mean, COUNT(*) OVER p AS n, MIN(o_totalprice) OVER p AS low, MAX(o_totalprice) OVER p AS high FROM orders WINDOW p AS (PARTITION BY o_custkey)")
+sql_operator("w10_partition_aggregates", "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER p, 2) AS total, ROUND(AVG(o_totalprice) OVER p, 7) AS mean, COUNT(*) OVER p AS n, MIN(o_totalprice) OVER p AS low, MAX(o_totalprice) OVER p AS high FROM orders WINDOW p AS (PARTITION BY o_custkey)")
 sql_operator("w11_rows_frame", "SELECT event_id, ROUND(SUM(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS moving, ROUND(AVG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 7) AS running FROM events")
 sql_operator("w12_frame_bounds", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING) AS back FROM events")
 sql_operator("w12_range_frame", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM orders")
