@@ -18,8 +18,18 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a * span + b
 
 
-def _before(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return np.searchsorted(sorted_keys, keys, side="left")
+class _Sorted:
+    """Keys with their order, so that counts run over sorted keys on both sides."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def before(self, other: _Sorted | None = None) -> np.ndarray:
+        """For each key the number of smaller ones among the others (or its own)."""
+        out = np.empty(len(self.keys), dtype=np.int64)
+        out[self.order] = np.searchsorted((other or self).keys, self.keys, side="left")
+        return out
 
 
 def suffix_ranks(symbols: np.ndarray, width: int, depth: int = 1) -> np.ndarray:
@@ -34,8 +44,7 @@ def suffix_ranks(symbols: np.ndarray, width: int, depth: int = 1) -> np.ndarray:
     s = np.concatenate([symbols.astype(np.int64), np.zeros(3, dtype=np.int64)])
     triple = lambda at: _pair(_pair(s[at], s[at + 1]), s[at + 2])
     if depth * 3 >= width or n < 3:
-        keys = triple(np.arange(n))
-        return _before(np.sort(keys), keys)
+        return _Sorted(triple(np.arange(n))).before()
     zero, one, two = (np.arange(k, n, 3) for k in range(3))
     names = _dense(triple(np.concatenate([one, two]))) + 1
     if int(names.max()) < len(names):
@@ -50,10 +59,10 @@ def suffix_ranks(symbols: np.ndarray, width: int, depth: int = 1) -> np.ndarray:
     by_one = _pair(np.concatenate([s[zero], s[one]]), np.concatenate([rank[zero + 1], rank[one + 1]]))
     heads = _pair(np.concatenate([s[zero], s[two]]), np.concatenate([s[zero + 1], s[two + 1]]))
     by_two = _pair(heads, np.concatenate([rank[zero + 2], rank[two + 2]]))
-    zero_one, one_one, zero_two, two_two = by_one[: len(zero)], by_one[len(zero) :], by_two[: len(zero)], by_two[len(zero) :]
-    sorted_one, sorted_two, sorted_sample = np.sort(zero_one), np.sort(zero_two), np.sort(sample)
+    zero_one, one_one, zero_two, two_two = (_Sorted(k) for k in (by_one[: len(zero)], by_one[len(zero) :], by_two[: len(zero)], by_two[len(zero) :]))
+    by_sample = _Sorted(sample).before()
     out = np.empty(n, dtype=np.int64)
-    out[zero] = _before(sorted_one, zero_one) + _before(np.sort(one_one), zero_one) + _before(np.sort(two_two), zero_two)
-    out[one] = _before(sorted_sample, rank[one]) + _before(sorted_one, one_one)
-    out[two] = _before(sorted_sample, rank[two]) + _before(sorted_two, two_two)
+    out[zero] = zero_one.before() + zero_one.before(one_one) + zero_two.before(two_two)
+    out[one] = by_sample[: len(one)] + one_one.before(zero_one)
+    out[two] = by_sample[len(one) :] + two_two.before(zero_two)
     return out

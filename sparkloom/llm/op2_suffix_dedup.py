@@ -40,7 +40,7 @@ from .dc3 import suffix_ranks
 from .files import AttemptFile, open_input
 
 NOBODY = np.iinfo(np.int64).max
-FILE_BYTES = 24 << 20
+FILE_BYTES = 8 << 20
 
 
 def _sliding(values: np.ndarray, span: int, pick) -> np.ndarray:
@@ -142,8 +142,29 @@ def distinct_strings(raw: np.ndarray, first: np.ndarray, end: np.ndarray, longes
         size = (end - first)[part]
         block = padded[first[part][:, None] + np.arange(longest)[None, :]]
         rows[part, 0], rows[part, 1:] = size, np.where(np.arange(longest)[None, :] < size[:, None], block, 0)
-    whole, which = np.unique(rows.view(f"V{longest + 1}").reshape(-1), return_inverse=True)
-    return whole.view(np.uint8).reshape(-1, longest + 1), which.reshape(-1)
+    return distinct_rows(rows)
+
+
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and which each is.  Rows are sorted by a hash and compared with their neighbours.
+
+    Different rows of one hash may part equal ones, which then stay apart; the suffix array joins them.
+    """
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    words, h = wide.view(np.uint64), np.zeros(len(rows), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(words.shape[1]):
+            h = (h ^ words[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+    order = np.argsort(h)
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    same = np.flatnonzero(~new)
+    new[same] = (words[order[same]] != words[order[same - 1]]).any(axis=1)
+    which = np.empty(len(rows), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return rows[order[new]], which
 
 
 def smallest_documents(rows: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
@@ -195,7 +216,7 @@ def _bytes(column) -> list[bytes]:
     return [x.as_buffer().to_pybytes() for x in column]
 
 
-def removed(docs: DataFrame, width: int = 50, gram: int = 16, bucket_bytes: int = 1 << 20, crowded_files: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, width: int = 50, gram: int = 16, bucket_bytes: int = 1 << 20, crowded_files: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, spans (removed byte ranges, start and end) and kept (binary) for every row of docs."""
     if not gram < width <= gram + 62 or 2 * width - gram > 255:
         raise ValueError("the starts around an anchor have to fit in 63 bits, their bytes in 255")
@@ -290,8 +311,7 @@ def removed(docs: DataFrame, width: int = 50, gram: int = 16, bucket_bytes: int
         sizes = np.cumsum([0, *map(len, rows)])
         least = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("least").to_pylist()])
         most = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("most").to_pylist()])
-        whole, which = np.unique(np.concatenate(rows).view(f"V{longest + 1}").reshape(-1), return_inverse=True)
-        which, whole = which.reshape(-1), whole.view(np.uint8).reshape(-1, longest + 1)
+        whole, which = distinct_rows(np.concatenate(rows))
         first = np.full(len(whole), NOBODY)
         np.minimum.at(first, which, least)
         answer = smallest_documents(whole, first, width)
@@ -314,7 +334,7 @@ def removed(docs: DataFrame, width: int = 50, gram: int = 16, bucket_bytes: int
                 gone = np.zeros(len(work.raw) + 1, np.int32)
                 if answers_:
                     mark_removed(gone, work, place_of(work, parts), answers_, width)
-                covered = np.cumsum(gone)[: len(work.raw)] > 0
+                covered = np.cumsum(gone, dtype=np.int32)[: len(work.raw)] > 0
                 rows = []
                 for i, (s, e) in enumerate(zip(work.starts.tolist(), work.ends.tolist(), strict=True)):
                     own = covered[s:e]
