@@ -83,17 +83,22 @@ def variant_keys(fps: DataFrame, max_distance: int) -> DataFrame:
     return fps.select("fp", F.explode(variants).alias("v")).select("fp", "v.slot", "v.key")
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """fps over all shuffle partitions: they are small, but what is made of each is not, and tasks are sized before."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def links(fps: DataFrame, max_distance: int = 2, hot: int = 256) -> DataFrame:
     """(fp, other) with links enough to connect all distinct fingerprints within max_distance bits of each other."""
     if max_distance == 0:
         return fps.select("fp", F.col("fp").alias("other")).limit(0)
-    keys = variant_keys(fps, max_distance)
+    keys = variant_keys(_spread(fps), max_distance)
     crowded = cut(keys.groupBy("slot", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("slot", "key"))
     if crowded.isEmpty():
         return _joined(keys, max_distance)
     plain = keys.join(crowded, ["slot", "key"], "left_anti")
     members = keys.join(crowded, ["slot", "key"], "left_semi").select("fp").distinct()
-    return _joined(plain, max_distance).unionByName(_neighbourhoods(members, max_distance))
+    return _joined(plain, max_distance).unionByName(_neighbourhoods(_spread(members), max_distance))
 
 
 def _joined(keys: DataFrame, max_distance: int) -> DataFrame:
