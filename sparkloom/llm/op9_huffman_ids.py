@@ -51,7 +51,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known, self.words = BoundedCache(1_200_000, 18_000_000), BoundedCache(800_000, 10_000_000)
+        self.known, self.words = BoundedCache(700_000, 10_000_000), BoundedCache(500_000, 6_000_000)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         spec = json.loads(self.library.to_str())
         split = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"].get("pretokenizers") else {}
@@ -280,7 +280,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, max_bits: in
 
         bpe, end = word_bpe(path), struct.pack("<I", end_id)
         keys, texts = [], []
-        for b in slices(batches, 2048):
+        for b in slices(batches, 1024):
             keys += b.column(0).to_pylist()
             texts += [ids + end for ids in bpe.encode(b.column(1))]
         if keys:
