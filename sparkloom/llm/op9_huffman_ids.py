@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -39,7 +38,7 @@ MAGIC = b"SLTI0001"
 LETTER, NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
 # Texts of these characters alone are split here; any other text goes to the library whole.
 PLAIN = r"[^\t\n\r -~¡-įı-ɏ]|<\|"  # found in texts that are not plain
-SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+")
+APART = f"('s|'t|'re|'ve|'m|'ll|'d|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+)"  # pre-tokens other than words
 _loaded: dict[str, WordBpe] = {}
 _tables: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -51,7 +50,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known, self.words = BoundedCache(700_000, 10_000_000), BoundedCache(500_000, 6_000_000)
+        self.known = BoundedCache(1_000_000, 14_000_000)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         spec = json.loads(self.library.to_str())
         split = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"].get("pretokenizers") else {}
@@ -80,18 +79,12 @@ class WordBpe:
                 out += self.encode_whole(own)
         return out
 
-    def encode_runs(self, runs: list[str]) -> dict[str, bytes]:
-        """The ids of runs without blanks: those of their pre-tokens."""
-        split = [SPLIT.findall(r) for r in runs]
-        self.words.fill(set().union(*split), self.encode_words)
-        get = self.words.__getitem__
-        return {r: b"".join(map(get, own)) for r, own in zip(runs, split, strict=True)}
-
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty.
 
-        No pre-token holds a blank, so a plain text's ids are those of its runs between blanks.  Splitting
-        and finding the distinct runs are array operations; only distinct runs become Python objects.
+        In a plain text blanks are put around all pre-tokens but words, so that splitting at blanks gives
+        the pre-tokens.  This and finding the distinct ones are array operations; only the distinct ones
+        become Python objects.
         """
         texts = pc.fill_null(texts, "")
         plain = pc.invert(pc.match_substring_regex(texts, PLAIN)).to_numpy(zero_copy_only=False) if self.shortcut else np.zeros(len(texts), dtype=bool)
@@ -99,21 +92,23 @@ class WordBpe:
         odd = np.flatnonzero(~plain)
         for i, ids in zip(odd.tolist(), self.encode_whole(texts.take(pa.array(odd)).to_pylist()), strict=True):
             out[i] = ids
-        split = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pa.array(plain))))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts.filter(pa.array(plain))), APART, r" \1 "))
         runs = pc.dictionary_encode(split.flatten())
-        distinct, which = runs.dictionary.to_pylist(), runs.indices.to_numpy()
+        distinct = runs.dictionary.to_pylist()
         found = list(map(self.known.get, distinct))
-        new = self.encode_runs([r for r, x in zip(distinct, found, strict=True) if x is None])
-        found = [new[r] if x is None else x for r, x in zip(distinct, found, strict=True)]
-        self.known.add(new)
-        size = np.array([len(x) for x in found], dtype=np.int64) // 4
-        tokens, begin = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(size) - size
-        times = size[which] if len(which) else np.zeros(0, dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(times)])
-        flat = tokens[np.repeat(begin[which] - ends[:-1], times) + np.arange(ends[-1])] if len(which) else tokens
-        edges = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        for i, low, high in zip(np.flatnonzero(plain).tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            out[i] = flat[low:high].tobytes()
+        new = [r for r, x in zip(distinct, found, strict=True) if x is None]
+        there = [r for r in new if r]  # splitting leaves an empty run at a blank end
+        fresh = dict(zip(there, self.encode_words(there), strict=True)) | {"": b""}
+        found = [fresh[r] if x is None else x for r, x in zip(distinct, found, strict=True)]
+        self.known.add(fresh)
+        taken = pa.array(found, pa.binary()).take(runs.indices)  # the ids of all runs, one behind the other
+        if len(taken):
+            ends, flat = np.frombuffer(taken.buffers()[1], dtype=np.int32), memoryview(taken.buffers()[2])
+            edges = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        else:
+            flat, edges = b"", [0] * (len(split) + 1)
+        for i, (low, high) in zip(np.flatnonzero(plain).tolist(), itertools.pairwise(edges), strict=True):
+            out[i] = bytes(flat[low:high])
         return out
 
 
