@@ -85,7 +85,8 @@ def variant_keys(fps: DataFrame, max_distance: int) -> DataFrame:
 
 def _spread(fps: DataFrame) -> DataFrame:
     """fps over all shuffle partitions: they are small, but what is made of each is not, and tasks are sized before."""
-    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # By a hash of fp: dealing out by fp itself would be taken for done already, and left out of the plan.
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
 
 
 def links(fps: DataFrame, max_distance: int = 2, hot: int = 256) -> DataFrame:
