@@ -35,12 +35,14 @@ def _is(term: str):
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     """(id, score) of documents with a score above 0.
 
-    A query names its terms, so one pass counts them per document inside the row; only the totals of
-    the corpus (a row) are joined back, and nothing is exploded or shuffled by term.
+    A query names its terms, so one pass over the texts counts them per document inside the row; only
+    the totals of the corpus (a row) are joined back, and nothing is exploded or shuffled by term.
     """
     terms = query_tokens(query)
     split = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
     counted = split.select(id_col, F.greatest(F.size("_t"), F.lit(1)).alias("_len"), *(F.size(F.filter("_t", _is(t))).alias(f"_tf{i}") for i, t in enumerate(terms)))
+    # Both the totals and the scores read these few numbers a document: one shuffle of them, used twice.
+    counted = counted.repartition(F.col(id_col))
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
     both = counted.crossJoin(F.broadcast(totals))
     score = F.lit(0.0)
