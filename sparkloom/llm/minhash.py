@@ -1,0 +1,152 @@
+"""Near copies by Jaccard similarity: MinHash bands propose pairs of documents, their shingle sets decide.
+
+A text is the set of hashes of its ``width``-word shingles.  ``bands`` keys of ``rows`` minima each are
+equal for a pair of similarity s with probability 1 - (1 - s ** rows) ** bands, 0.99997 at 0.8; every
+proposed pair is verified by the similarity of its whole sets.  Only distinct sets are joined.
+
+Keys that more than ``hot`` sets share are not joined at once, as their pairs grow with the square.
+Their sets are first compared with one leader a key, ``rounds`` times with another leader, and
+components follow; then every pair of a key that two components still part is compared.  So nothing
+that a key proposes is left out, and a group of near copies costs few comparisons a member.
+
+Null texts count as empty; texts without words are copies of each other; texts of fewer words than
+``width`` have one shingle; rows with a null id link others and are never left out.
+"""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, slices, texts_of
+from .components import components
+
+BANDS, ROWS = 20, 4
+_random = np.random.default_rng(42)
+TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    import xxhash
+
+    words = text.encode().lower().split()  # bytes: A-Z only, and ASCII white space
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    normal = b" ".join(words)
+    ends = list(itertools.accumulate(map(len, words), lambda at, n: at + 1 + n))
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - width + 1)
+    last = ends[min(width, len(words)) - 1 :]
+    return np.unique(np.fromiter([digest(normal[s:e], 42) for s, e in zip(starts[:n], last, strict=True)], dtype="<u8", count=n))
+
+
+def node_of(own: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 7)).view(np.int64))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A signed 64-bit key a band; none for an empty set."""
+    if not len(own):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(own), 1024):  # a long text's hashes, a bounded piece at a time
+        least = np.minimum(least, (own[i : i + 1024, None] * TIMES + PLUS).min(axis=0))
+    key = np.zeros(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = (key ^ least.reshape(BANDS, ROWS)[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, n, keys): the set's name and size, and its band keys.  No shuffle."""
+
+    def run(batches):
+        for b in slices(batches):
+            sets = [shingles(t, width) for t in texts_of(b.column(1))]
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], [id_col, "node", "n", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, node long, n int, keys array<long>")
+
+
+def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, own): the shingle sets of nodes, made again from one of their rows' texts."""
+
+    def run(batches):
+        for b in slices(batches, 64):
+            sets = [shingles(t, width) for t in texts_of(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64()))], ["node", "own"])
+
+    ids = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias("_id")).select("_id").distinct()
+    read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = read.join(ids, read["_id"].eqNullSafe(ids["_id"]), "left_semi").select("_text")
+    made = texts.mapInArrow(run, "node long, own array<long>").join(nodes, "node", "left_semi")
+    return made.groupBy("node").agg(F.first("own").alias("own"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
+    # Both / (all - both) >= tenths / 10, in whole numbers.
+    both = F.size(F.array_intersect("own_a", "own_b"))
+    return joined.filter(both * (10 + tenths) >= (F.size("own_a") + F.size("own_b")) * tenths).select("a", "b")
+
+
+def links(docs: DataFrame, rows: DataFrame, width: int, tenths: int, hot: int, rounds: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b) with links enough to connect all distinct sets of proposed pairs that are similar enough."""
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keys = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    fits = (F.least("n_a", "n_b") * 10 >= F.greatest("n_a", "n_b") * tenths) & (F.col("a") != F.col("b"))
+    shared = cut(keys.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1"))
+    side = lambda df, s: df.select("band", "key", F.col("node").alias(s), F.col("n").alias(f"n_{s}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        return cut(_verified(pairs, _sets(docs, rows, wanted, width, id_col, text_col), tenths))
+
+    plain = keys.join(shared.filter(F.col("m") <= hot), ["band", "key"], "left_semi")
+    found = verified(side(plain, "a").join(side(plain, "b"), ["band", "key"]).filter("a < b"))
+    crowded = shared.filter(F.col("m") > hot).select("band", "key")
+    if crowded.isEmpty():
+        return found
+    members = cut(keys.join(crowded, ["band", "key"], "left_semi"))
+    for n in range(rounds + 1):
+        parts = components(found).withColumnRenamed("component", "part")
+        parted = cut(members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
+        a = side(parted, "a").join(parted.select("band", "key", F.col("node").alias("a"), F.col("part").alias("part_a")), ["band", "key", "a"])
+        if n < rounds:  # one leader a key against the members of other components
+            lead = parted.groupBy("band", "key").agg(F.min_by(F.struct("node", "n", "part"), F.xxhash64("node", F.lit(n))).alias("l"))
+            pairs = a.join(lead, ["band", "key"]).filter("part_a != l.part").select("a", "n_a", F.col("l.node").alias("b"), F.col("l.n").alias("n_b"))
+        else:  # what is outside a key's largest component against all other components
+            counts = parted.groupBy("band", "key", "part").agg(F.count("*").alias("m"))
+            most = counts.groupBy("band", "key").agg(F.max_by("part", "m").alias("most"))
+            rest = parted.join(most, ["band", "key"]).filter("part != most").select("band", "key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
+            pairs = a.join(rest, ["band", "key"]).filter("part_a != part_b")
+        found = cut(found.unionByName(verified(pairs)).distinct())
+    return found
+
+
+def keep_one(docs: DataFrame, width: int = 5, tenths: int = 8, hot: int = 128, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their component of similar sets; all columns are kept.
+
+    Rows that repeat such an id all stay, and so do rows without an id.
+    """
+    rows = cut(sketches(docs, width, id_col, text_col))
+    parts = components(links(docs, rows, width, tenths, hot, rounds, id_col, text_col))
+    reps = rows.groupBy("node").agg(F.min(id_col).alias("_stays"))
+    named = reps.join(parts, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("_stays").alias("_stays"))
+    stay = named.select("_stays").filter("_stays is not null").distinct()
+    return docs.join(stay, F.col(id_col) == F.col("_stays"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
