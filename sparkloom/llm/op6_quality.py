@@ -10,6 +10,10 @@ weight ** (1 / temperature) by Gumbel top-k: a key of log weight / temperature p
 hangs on id and seed alone, and the k largest keys are kept.  Unless k is given, it is the number of
 documents whose log weight reaches ``cut``.
 
+Toxic documents are left out whatever their weight, as a few words drown in the sum over a long text: the
+documents of toxic and of other labelled rows that have a word are counted, and one word whose share of
+toxic ones, drawn towards the share of all rows by ``toxic_prior`` documents, reaches ``toxic_at`` decides.
+
 The labelled sample is bounded by ``max_labelled`` rows (those of the smallest id hashes); the raw
 counts, the weights and the k-th key cover every document.  The k-th key comes from histograms over
 all keys, refined until a bin is short; no key table is gathered anywhere.
@@ -56,14 +60,22 @@ def _facts(tokens: list[str]) -> list[int]:
     return [zlib.crc32(t.lower().encode()) << 16 | _shape(t) for t in tokens]
 
 
-def ngrams(text: str, bits: int) -> np.ndarray:
-    """Bucket numbers of a text's n-grams; family f has the buckets from f << bits on."""
+def facts_of(text: str) -> np.ndarray:
+    """The hash and shape of each token of a text."""
     tokens = TOKEN.findall(text)
-    if not tokens:
-        return np.zeros(0, dtype=np.int64)
     known = _known.setdefault(0, BoundedCache(500_000, 12_000_000))
     known.fill(set(tokens), _facts)
-    facts = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+
+
+def ngrams(text: str, bits: int) -> np.ndarray:
+    """Bucket numbers of a text's n-grams; family f has the buckets from f << bits on."""
+    return buckets_of(facts_of(text), bits)
+
+
+def buckets_of(facts: np.ndarray, bits: int) -> np.ndarray:
+    if not len(facts):
+        return np.zeros(0, dtype=np.int64)
     word, shape = facts >> np.uint64(16), facts & np.uint64(0xFFFF)
     again = np.zeros(len(word), dtype=np.uint64)
     again[1:] = word[1:] == word[:-1]
@@ -88,16 +100,40 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, bits: int, prior: float) ->
     return out
 
 
-def weigh(text: str, ratios: np.ndarray, bits: int) -> float:
-    own = ngrams(text, bits)
-    return float(ratios[own].sum()) if len(own) else 0.0
+def weigh(text: str, ratios: np.ndarray, bits: int, toxic: np.ndarray) -> tuple[float, bool]:
+    """Log weight of a text, and whether one of its words is toxic."""
+    facts = facts_of(text)
+    own = buckets_of(facts, bits)
+    return (float(ratios[own].sum()) if len(own) else 0.0), bool(len(toxic)) and bool(np.isin(facts >> np.uint64(16), toxic).any())
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, max_labelled: int, prior: float, at: float, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Hashes of the words that toxic labelled documents have far more often than others; max_labelled rows of each."""
+    classes = labels.filter(f"toxic is not null and `{id_col}` is not null").groupBy(F.col(id_col).alias("_label")).agg((F.max("toxic") == 1).alias("_toxic"))
+    some = [classes.filter(c).orderBy(F.xxhash64("_label"), "_label").limit(max_labelled) for c in ("_toxic", "not _toxic")]
+    sample = cut(some[0].unionByName(some[1]))
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_id") == F.col("_label")).select("_text", "_toxic")
+
+    def run(batches):
+        for b in slices(batches):
+            rows = [(np.unique(facts_of(t) >> np.uint64(16)), x) for t, x in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True)]
+            words = np.concatenate([np.zeros(0, dtype=np.uint64), *(w for w, _ in rows)]).astype(np.int64)
+            toxic = np.repeat([x for _, x in rows], [len(w) for w, _ in rows]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(toxic)], ["word", "toxic"])
+
+    n, bad = sample.agg(F.count("*"), F.sum(F.col("_toxic").cast("long"))).first()
+    if not bad:
+        return np.zeros(0, dtype=np.uint64)
+    found = marked.mapInArrow(run, "word long, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("m"))
+    chosen = found.filter((F.col("t") + prior * bad / n) / (F.col("m") + prior) >= at).select("word").collect()
+    return np.sort(np.array([r["word"] for r in chosen], dtype=np.uint64))
 
 
 class Weights:
-    """The fitted models; ``ratios`` has a double a bucket and is all that is sent to the executors."""
+    """The fitted models; ``ratios`` has a double a bucket and, with the toxic words, is all that is sent to the executors."""
 
     def __init__(self, ratios: np.ndarray, bits: int):
-        self.ratios, self.bits = ratios, bits
+        self.ratios, self.bits, self.toxic = ratios, bits, np.zeros(0, dtype=np.uint64)
 
     @classmethod
     def fit(cls, docs: DataFrame, targets: DataFrame, bits: int = 14, prior: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> Weights:
@@ -126,16 +162,17 @@ class Weights:
         return cls(log_ratios(target, raw, bits, prior), bits)
 
     def score(self, docs: DataFrame, keep: tuple[str, ...], text_col: str = "text", name: str = "log_weight") -> DataFrame:
-        """The kept columns of docs and the log weight of each row."""
-        shared, bits = docs.sparkSession.sparkContext.broadcast(self.ratios), self.bits
+        """The kept columns of docs, the log weight of each row and whether it has a toxic word (_toxic)."""
+        shared, bits = docs.sparkSession.sparkContext.broadcast((self.ratios, self.toxic)), self.bits
 
         def run(batches):
             for b in slices(batches):
-                weights = [weigh(t, shared.value, bits) for t in texts_of(b.column(0))]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(weights, pa.float64())], [*b.schema.names[1:], name])
+                ratios, toxic = shared.value
+                found = [weigh(t, ratios, bits, toxic) for t in texts_of(b.column(0))]
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([w for w, _ in found], pa.float64()), pa.array([x for _, x in found], pa.bool_())], [*b.schema.names[1:], name, "_toxic"])
 
         fields = [docs.schema[c] for c in keep]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double"
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double, _toxic boolean"
         return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(run, schema)
 
 
@@ -186,18 +223,22 @@ def resample(
     max_labelled: int = 20_000,
     bits: int = 14,
     prior: float = 20.0,
+    toxic_prior: float = 10.0,
+    toxic_at: float = 0.6,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """The kept columns of docs (all unless given) with _weight, _key and _kept for every row."""
+    """The kept columns of docs (all unless given) with _weight, _toxic, _key and _kept for every row; toxic rows are not drawn."""
     weights = Weights.fit(docs, target_sample(labels, max_labelled, id_col), bits, prior, id_col, text_col)
+    weights.toxic = toxic_words(docs, labels, max_labelled, toxic_prior, toxic_at, id_col, text_col)
     keyed = lambda df: df.withColumn("_key", gumbel_key(F.col("_weight"), F.col(id_col), temperature, seed))
     keys = cut(keyed(weights.score(docs, (id_col,), text_col, "_weight")))
-    wanted = keys.filter(F.col("_weight") >= cut_at).count() if k is None else k
-    least = kth_largest(keys, wanted, "_key")
+    drawn = keys.filter("not _toxic")
+    wanted = drawn.filter(F.col("_weight") >= cut_at).count() if k is None else k
+    least = kth_largest(drawn, wanted, "_key")
     whole = keys if keep == (id_col,) else keyed(weights.score(docs, tuple(keep or docs.columns), text_col, "_weight"))
-    return whole.withColumn("_kept", F.col("_key") >= F.lit(least))
+    return whole.withColumn("_kept", ~F.col("_toxic") & (F.col("_key") >= F.lit(least)))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
