@@ -37,7 +37,9 @@ from .files import AttemptFile, open_input, remove_folder
 MAGIC = b"SLTI0001"
 LETTER, NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
 # Texts of these characters alone are split here; any other text goes to the library whole.
-PLAIN = r"[^\t\n\r -~¡-įı-ɏ]|<\|"  # found in texts that are not plain
+# Capitals of the range whose lower case is beyond LETTER are not plain either.
+BEYOND = "".join(c for c in map(chr, range(0xA1, 0x250)) if any(ord(x) > 0x24F for x in c.lower()))
+PLAIN = rf"[^\t\n\r -~¡-įı-ɏ]|[{BEYOND}]|<\|"  # found in texts that are not plain
 APART = f"('s|'t|'re|'ve|'m|'ll|'d|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+)"  # pre-tokens other than words
 _loaded: dict[str, WordBpe] = {}
 _tables: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
