@@ -8,7 +8,8 @@ original text.
 
 The benchmark is sent to the executors in blocks of at most ``block_bytes``; each block is one
 automaton, and every block scans the same pass over the documents.  A benchmark beyond
-``blocks_at_once`` blocks is scanned in several passes whose word ranges are merged by document.
+``blocks_at_once`` blocks is scanned in several passes whose word ranges are merged by
+document: by id, kept columns and the digest of the text, as rows that share an id may differ in text.
 
 Null documents and items have no words; an item without words has no window; null item ids are left
 out; a repeated document row gives a repeated result; repeated item ids count once; other columns
@@ -149,15 +150,15 @@ def contamination(
                         ranges += found
                         ids |= own
                     ranges = merged(ranges)
-                    rows.append((len(words), sum(e - s for s, e in ranges), [{"first": s, "end": e} for s, e in ranges], [{"start": s, "end": e} for s, e in byte_ranges(text, ranges)], sorted(ids)))
+                    rows.append((hashlib.sha256(text.encode()).digest(), len(words), sum(e - s for s, e in ranges), [{"first": s, "end": e} for s, e in ranges], [{"start": s, "end": e} for s, e in byte_ranges(text, ranges)], sorted(ids)))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], [*kept, "n_words", "n_hit", "word_ranges", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], [*kept, "_text_digest", "n_words", "n_hit", "word_ranges", "spans", "items"])
 
-        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
         kept = [id_col, *keep]
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
         read = docs.select(F.col(text_col).alias("_text"), *kept)
-        return read.mapInArrow(run, f"{schema}, n_words long, n_hit long, word_ranges array<struct<first: long, end: long>>, spans array<struct<start: long, end: long>>, items array<string>")
+        return read.mapInArrow(run, f"{schema}, _text_digest binary, n_words long, n_hit long, word_ranges array<struct<first: long, end: long>>, spans array<struct<start: long, end: long>>, items array<string>")
 
     for block in blocks_of(items, item_id_col, item_text_col, block_bytes):
         group.append(block)
@@ -167,28 +168,30 @@ def contamination(
     if group:
         parts.append(one_pass(group))
     if len(parts) == 1:
-        return parts[0].drop("word_ranges")
+        return parts[0].drop("word_ranges", "_text_digest")
     return _merge_passes(parts, id_col, keep)
 
 
 def _merge_passes(parts: list[DataFrame], id_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """Results of several passes over the same rows as one; rows are told apart by id and their count."""
+    """Results of several passes over the same rows as one; rows are told apart by id, text and their count."""
 
     def overlap_free(column: str, first: str):
         ordered = F.array_sort(F.flatten(F.collect_list(column)))
         step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x[first]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)[first].alias(first), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
         return F.aggregate(ordered, F.expr(f"cast(array() as array<struct<{first}: long, end: long>>)"), step).alias(column)
 
-    rows = parts[0]
-    for p in parts[1:]:
+    key = [id_col, *keep, "_text_digest"]
+    # Equal rows have equal results, so each pass brings one of them and their number to the merge.
+    single = [p.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("n_words", "word_ranges", "spans", "items")), F.count("*").alias("_times")) for p in parts]
+    rows = single[0]
+    for p in single[1:]:
         rows = rows.unionByName(p)
-    n = len(parts)
-    whole = rows.groupBy(id_col, *keep).agg(
+    whole = rows.groupBy(*key).agg(
         F.max("n_words").alias("n_words"),
         overlap_free("word_ranges", "first"),
         overlap_free("spans", "start"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count("*") / n).cast("int").alias("_times"),
+        F.max("_times").cast("int").alias("_times"),
     )
     hit = F.aggregate("word_ranges", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
     return whole.withColumn("n_hit", hit).withColumn("_row", F.explode(F.sequence(F.lit(1), "_times"))).select(id_col, *keep, "n_words", "n_hit", "spans", "items")
