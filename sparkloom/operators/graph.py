@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.storage import work_folder
+
 
 def match_hop(nodes: DataFrame, edges: DataFrame, label_a: str | None = None, kind: str | None = None, label_b: str | None = None) -> DataFrame:
     """(a, type, b) of directed edges of a kind between labelled nodes."""
@@ -36,17 +40,21 @@ def neighbors(edges: DataFrame, source: int, depth: int) -> DataFrame:
     return reached.filter(F.col("depth") > 0)
 
 
-def shortest_path_length(edges: DataFrame, source: int, target: int, most: int = 16) -> DataFrame:
-    """(source, target, length): the fewest undirected steps, null if there are more than most; stops when reached."""
+def shortest_path_length(edges: DataFrame, source: int, target: int, most: int | None = None) -> DataFrame:
+    """(source, target, length): the fewest undirected steps, null if there is no path, or none of at most ``most`` steps; stops when reached."""
+    sc = edges.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(work_folder(edges.sparkSession))
     links, reached, length = undirected(edges).cache(), None, None
     frontier = edges.sparkSession.createDataFrame([(source,)], "id long")
     reached = frontier
-    for step in range(most + 1):
+    for step in itertools.count() if most is None else range(most + 1):
         if not frontier.filter(F.col("id") == target).isEmpty():
             length = step
             break
         found = links.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = found.join(reached, "id", "left_anti").cache()
+        # Cut off in the checkpoint folder: every step reads all before, so plans would double each time.
+        frontier = found.join(reached, "id", "left_anti").checkpoint()
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
