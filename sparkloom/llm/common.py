@@ -27,7 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the cluster names none (tests in one process), a local folder is set once and kept.
+    Where the session names none, one process (tests) gets a local folder, set once and kept; a cluster, whose
+    executors would each write to their own disk, gets an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
         current = sc.getCheckpointDir()
     return current
@@ -92,6 +95,14 @@ class BoundedCache(dict):
         self.chars += size
 
 
+def fresh(name: str, taken) -> str:
+    """A column name like ``name`` that is not among the taken ones, in whatever case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def vocabulary_path(name: str) -> str:
     """Where a public vocabulary file lies; the files stay outside this repository."""
     import public_tokenizers

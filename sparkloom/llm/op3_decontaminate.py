@@ -6,19 +6,19 @@ window).  The automaton holds every distinct window between blanks; a match ends
 the normalised text, which tells the word it ends at, and words map back to byte ranges of the
 original text.
 
-The benchmark is sent to the executors in blocks of at most ``block_bytes``; each block is one
-automaton, and every block scans the same pass over the documents.  A benchmark beyond
-``blocks_at_once`` blocks is scanned in several passes whose word ranges are merged by
-document: by id, kept columns and the digest of the text, as rows that share an id may differ in text.
+The executors write the items to files of ``block_bytes`` of text in the shared folder, so that neither the
+driver nor a broadcast holds the benchmark; a file makes one automaton.  There is one pass over the
+documents: a task holds ``batch_bytes`` of texts at a time and scans them with the automaton of each
+file in turn, ``blocks_at_once`` of which a worker keeps.  A benchmark of one file is one automaton, built once a
+worker; a larger one costs a build for each batch and file, and gives the same rows.
 
 Null documents and items have no words; an item without words has no window; null item ids are left
 out; a repeated document row gives a repeated result; repeated item ids count once; other columns
-play no part.
+play no part, kept ones that are called like a column of the result are replaced by it.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of
+from .common import fresh, new_folder, slices, table, texts_of
+from .files import AttemptFile, open_input
 
 # Fixed values of the contract: bytes that are no part of a word, after A-Z became a-z.
 NO_WORD = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 TO_WORDS = bytes(0x20 if b in NO_WORD and not 0x41 <= b <= 0x5A else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_built: dict[str, Windows] = {}
+_built: dict[tuple, Windows] = {}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -72,12 +73,14 @@ class Windows:
         return found, items
 
 
-def windows(items: list[tuple[str, str]], width: int, key: str) -> Windows:
-    """One automaton a Python worker and block."""
+def windows(path: str, width: int, most: int) -> Windows:
+    """The automaton of a file of items; a Python worker keeps the last ones."""
+    key = (path, width)
     if key not in _built:
-        if len(_built) >= 8:
-            _built.clear()
-        _built[key] = Windows(items, width)
+        while len(_built) >= most:
+            del _built[next(iter(_built))]
+        with open_input(path) as f, pa.ipc.open_stream(f) as items:
+            _built[key] = Windows([pair for b in items for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], width)
     return _built[key]
 
 
@@ -100,18 +103,38 @@ def byte_ranges(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int
     return [(spans[a][0], spans[b - 1][1]) for a, b in ranges]
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """Item blocks of at most block_bytes of text (or one item), streamed through the driver."""
+def write_blocks(items: DataFrame, folder: str, id_col: str, text_col: str, block_bytes: int) -> list[str]:
+    """Files of items, each of at most block_bytes of text (or one item); only their paths reach the driver."""
+    schema = pa.schema([("id", pa.string()), ("text", pa.string())])
+
+    def run(batches):
+        block, size = [], 0
+
+        def flush():
+            file = AttemptFile(folder, "items", ".arrow")
+            with pa.ipc.new_stream(file.out, schema) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*block, strict=True)], schema=schema))
+            file.close()
+            return pa.RecordBatch.from_arrays([pa.array([file.path])], ["path"])
+
+        for b in slices(batches):
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = len(text.encode())
+                if block and size + n > block_bytes:
+                    yield flush()
+                    block, size = [], 0
+                block.append((item, text))
+                size += n
+        if block:
+            yield flush()
+
     read = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    block, size = [], 0
-    for r in read.toLocalIterator():
-        n = len(r["text"].encode())
-        if block and size + n > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r["id"], r["text"]))
-        size += n
-    yield block
+    total = read.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return sorted(r["path"] for r in read.repartition(total // block_bytes + 1).mapInArrow(run, "path string").collect())
+
+
+OWN = ("n_words", "n_hit", "spans", "items")
+TYPES = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()))
 
 
 def contamination(
@@ -122,79 +145,51 @@ def contamination(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    block_bytes: int = 4_000_000,
+    block_bytes: int = 8_000_000,
     blocks_at_once: int = 4,
+    batch_bytes: int = 16_000_000,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """For every row of docs: id, n_words, spans (start and end byte of each hit passage in the original
-    text), n_hit (words inside them), items (ids of the items with occurring windows, sorted as strings);
+    """For every row of docs: id, n_words, n_hit (words inside hit passages), spans (start and end byte of each
+    passage in the original text), items (ids of the items with occurring windows, sorted as strings);
     ``keep`` names further columns of docs to pass through.
     """
-    spark = docs.sparkSession
-    parts, group = [], []
-
-    def one_pass(group: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(group)
-        names = [hashlib.sha256(repr((block, width)).encode()).hexdigest() for block in group]
-
-        def run(batches):
-            automata = [windows(block, width, name) for block, name in zip(shared.value, names, strict=True)]
-            for b in slices(batches):
-                rows = []
-                for text in texts_of(b.column(0)):
-                    words = words_of(text)
-                    normal = b" " + b" ".join(words) + b" "
-                    ranges, ids = [], set()
-                    for a in automata:
-                        found, own = a.scan(normal)
-                        ranges += found
-                        ids |= own
-                    ranges = merged(ranges)
-                    rows.append((hashlib.sha256(text.encode()).digest(), len(words), sum(e - s for s, e in ranges), [{"first": s, "end": e} for s, e in ranges], [{"start": s, "end": e} for s, e in byte_ranges(text, ranges)], sorted(ids)))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], [*kept, "_text_digest", "n_words", "n_hit", "word_ranges", "spans", "items"])
-
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
-        kept = [id_col, *keep]
-        schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-        read = docs.select(F.col(text_col).alias("_text"), *kept)
-        return read.mapInArrow(run, f"{schema}, _text_digest binary, n_words long, n_hit long, word_ranges array<struct<first: long, end: long>>, spans array<struct<start: long, end: long>>, items array<string>")
-
-    for block in blocks_of(items, item_id_col, item_text_col, block_bytes):
-        group.append(block)
-        if len(group) == blocks_at_once:
-            parts.append(one_pass(group))
-            group = []
-    if group:
-        parts.append(one_pass(group))
-    if len(parts) == 1:
-        return parts[0].drop("word_ranges", "_text_digest")
-    return _merge_passes(parts, id_col, keep)
-
-
-def _merge_passes(parts: list[DataFrame], id_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """Results of several passes over the same rows as one; rows are told apart by id, text and their count."""
-
-    def overlap_free(column: str, first: str):
-        ordered = F.array_sort(F.flatten(F.collect_list(column)))
-        step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x[first]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)[first].alias(first), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-        return F.aggregate(ordered, F.expr(f"cast(array() as array<struct<{first}: long, end: long>>)"), step).alias(column)
-
-    key = [id_col, *keep, "_text_digest"]
-    # Equal rows have equal results, so each pass brings one of them and their number to the merge.
-    single = [p.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("n_words", "word_ranges", "spans", "items")), F.count("*").alias("_times")) for p in parts]
-    rows = single[0]
-    for p in single[1:]:
-        rows = rows.unionByName(p)
-    whole = rows.groupBy(*key).agg(
-        F.max("n_words").alias("n_words"),
-        overlap_free("word_ranges", "first"),
-        overlap_free("spans", "start"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max("_times").cast("int").alias("_times"),
-    )
-    hit = F.aggregate("word_ranges", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
-    return whole.withColumn("n_hit", hit).withColumn("_row", F.explode(F.sequence(F.lit(1), "_times"))).select(id_col, *keep, "n_words", "n_hit", "spans", "items")
+    paths = write_blocks(items, new_folder(docs.sparkSession, "benchmark"), item_id_col, item_text_col, block_bytes)
+    kept = [id_col, *(c for c in keep if c.lower() not in OWN and c != id_col)]
+
+    def scan(held: list):
+        """Result batches for some input batches, a file of items after the other."""
+        words = [[words_of(t) for t in texts_of(b.column(0))] for b in held]
+        ranges: list[list] = [[[] for _ in own] for own in words]
+        ids: list[list] = [[set() for _ in own] for own in words]
+        for path in paths:
+            automaton = windows(path, width, blocks_at_once)
+            for own, r, i in zip(words, ranges, ids, strict=True):
+                for n, text in enumerate(own):
+                    found, names = automaton.scan(b" " + b" ".join(text) + b" ")
+                    r[n] += found
+                    i[n] |= names
+        for b, own, r, i in zip(held, words, ranges, ids, strict=True):
+            rows = []
+            for text, w, found, names in zip(texts_of(b.column(0)), own, r, i, strict=True):
+                hit = merged(found)
+                rows.append((len(w), sum(e - s for s, e in hit), [{"start": s, "end": e} for s, e in byte_ranges(text, hit)], sorted(names)))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True))], [*kept, *OWN])
+
+    def run(batches):
+        held, size = [], 0
+        for b in slices(batches):
+            held.append(b)
+            size += b.column(0).nbytes
+            if size >= (batch_bytes if len(paths) > 1 else 1):
+                yield from scan(held)
+                held, size = [], 0
+        if held:
+            yield from scan(held)
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    read = docs.select(F.col(text_col).alias(fresh("text_", kept)), *kept)
+    return read.mapInArrow(run, f"{schema}, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<string>")
 
 
 def digests(found: DataFrame) -> DataFrame:
