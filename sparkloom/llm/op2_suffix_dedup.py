@@ -184,7 +184,10 @@ class Work:
             begin, end = np.repeat(first, times) + nth * span, np.repeat(stop, times)
             found.append((least[begin], begin + a, np.minimum(begin + span, end) + a))
         none = np.zeros(0, np.int64)
-        return tuple(np.concatenate(c) for c in zip((none.view(np.uint64), none, none), *found, strict=True))
+        least, begin, end = (np.concatenate(c) for c in zip((none.view(np.uint64), none, none), *found, strict=True))
+        with np.errstate(over="ignore"):  # least hashes crowd at the low end: spread them, one to one
+            least = (least ^ (least >> np.uint64(32))) * MIX
+        return least ^ (least >> np.uint64(29)), begin, end
 
 
 def distinct_digests(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
