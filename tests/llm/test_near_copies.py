@@ -4,9 +4,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-import corpus_pipeline as cp
-from sparkloom.llm import minhash
+from sparkloom.llm import near_copies
 from sparkloom.llm.common import table
 
 
@@ -41,9 +41,9 @@ def plain_stay(rows):
     return set(least.values())
 
 
-def test_stage_leaves_no_near_copies(spark):
+def test_leaves_no_near_copies(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    kept = {r.doc_id for r in cp.near_duplicate_stage(spark, docs, "/root/testdata/sf0.01").collect()}
+    kept = {r.doc_id for r in near_copies.keep_one(docs).collect()}
     assert kept == plain_stay([(r.doc_id, r.text or "") for r in docs.collect()])
 
 
@@ -59,4 +59,23 @@ def test_groups_of_near_copies(spark, hot):
         rows.append((i, " ".join(own)))
     rows += [(i, " ".join(word() for _ in range(80))) for i in range(65, 75)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in minhash.keep_one(docs, hot=hot).collect()} == plain_stay([(i, t or "") for i, t in rows])
+    assert {r.doc_id for r in near_copies.keep_one(docs, hot=hot).collect()} == plain_stay([(i, t or "") for i, t in rows])
+
+
+def test_odd_tables(spark):
+    """Null ids and texts, repeated rows, clashing columns, no rows."""
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(3, long, 1), (1, long + " more", 2), (3, long, 1), (None, long, 3), (None, None, 4), (7, None, 5), (8, "", 6), (9, "other words here", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stays int").withColumns({c: F.lit(1) for c in ("node", "id", "key", "Band")})
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.stays) for r in kept.collect()) == [("1", 2), ("7", 5), ("9", 7), ("None", 3), ("None", 4)]
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+    twice = near_copies.keep_one(docs.filter("doc_id = 3"))
+    assert twice.count() == 2
+
+
+def test_long_text(spark):
+    words = " ".join(f"v{i}" for i in range(120_000))
+    docs = spark.createDataFrame([(1, words), (2, words.replace("v77 ", "x ")), (3, words[: len(words) // 2])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [1, 3]
