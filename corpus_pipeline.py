@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import minhash, op3_decontaminate, op5_byte_bpe, op6_quality, op8_pii
+from sparkloom.llm import near_copies, op3_decontaminate, op5_byte_bpe, op6_quality, op8_pii
 from sparkloom.llm.common import new_folder, reachable, table, vocabulary_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,10 +24,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of the smallest id.
 
-    Documents are linked if the Jaccard similarity of their five-word shingles is 0.8 or more.
+    SimHash fingerprints propose pairs; documents are linked if the Jaccard similarity of their five-word
+    shingles is 0.8 or more.
     """
     reachable(spark)
-    return minhash.keep_one(docs).select(*COLUMNS)
+    return near_copies.keep_one(docs).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
