@@ -1,32 +1,43 @@
-"""Token counts of whole texts under a sentencepiece BPE vocabulary, without materialising ids.
+"""Token counts of whole texts under a sentencepiece BPE vocabulary, without materialising ids of texts.
 
 No piece of the vocabulary has a word mark behind another character, and none holds a line feed
 (checked when the model is loaded).  So no merge ever crosses such a place, and a text falls into
-pre-tokens whose piece counts add up.  Each task counts the pieces of a pre-token once, joins these
-counts to the pre-tokens of its documents in memory and sums them by document.  The join stays
-inside the task: as a shuffle it would move more bytes than the texts have.
+pre-tokens whose piece counts add up.  Of a model for which this does not hold each whole text is one pre-token.
+
+1. Tasks split texts and write working files of FILE_BYTES of text: of each document its different pre-tokens,
+   as numbers of the file's dictionary, and how often it has them.  The dictionary is returned.
+2. The distinct pre-tokens of all dictionaries are counted by the model, each once, and joined to the
+   dictionaries: only words move, one a file, not their occurrences.
+3. The counts go back to the files, which sum frequency times count by document.
 
 Nulls count as empty texts, empty texts have no tokens, a null id stays null; a repeated row gives a
-repeated row; columns other than the two named ones play no part.
+repeated row; no rows give no rows; columns other than the two named ones play no part.  A long text is split a
+section at a time.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, slices, table, texts_of, vocabulary_path
+from .common import cut, new_folder, slices, table, texts_of, vocabulary_path
+from .files import AttemptFile, open_input, remove_folder
 
 MARK = "▁"
 RUNS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+")
-_loaded: dict[str, tuple] = {}
+SINGLE = re.compile(f"(?<=[^ {MARK}]) ")
+FILE_BYTES, SECTION = 8 << 20, 1 << 20
+_loaded: dict[str, PieceCounter] = {}
 
 
 class PieceCounter:
-    """Counts pieces of texts; ``known`` maps a pre-token to its number of pieces."""
+    """Splits texts into pre-tokens and counts the pieces of pre-tokens."""
 
     def __init__(self, model_path: str):
         import sentencepiece
@@ -35,35 +46,41 @@ class PieceCounter:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         # A piece that joins two pre-tokens would make their counts depend on each other.
         self.splits = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in pieces) and self._plain()
-        self.known = BoundedCache()
 
     def _plain(self) -> bool:
         """Whether the model leaves text as it is, but for one mark put before it."""
         shown = "".join(self.model.encode(" a  B \nc\u2460", out_type=str))
         return shown.replace("<0x0A>", "\n").startswith(f"{MARK}{MARK}a{MARK}{MARK}B{MARK}\nc")
 
+    def sections(self, text: str):
+        """Parts of a text between blanks that no blank precedes; the mark put before a part stands for the blank."""
+        at = 0
+        while self.splits and len(text) - at > SECTION:
+            found = SINGLE.search(text, at + SECTION)
+            if not found:
+                break
+            yield text[at : found.start()]
+            at = found.end()
+        yield text[at:]
+
     def pretokens(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens of a text, and its line feeds, which are a piece each."""
+        """Pre-tokens of a section, and its line feeds, which are a piece each."""
+        if not self.splits:
+            return [text], 0
         feeds = text.count("\n")
         if "  " in text or MARK in text or text[:1] == " ":
             return RUNS.findall(MARK + text.replace(" ", MARK)), feeds
         return [x for x in (MARK + text.replace(" ", f" {MARK}")).replace("\n", " ").split(" ") if x], feeds
 
-    def count_new(self, pretokens: list[str]) -> list[int]:
+    def count(self, pretokens: list[str]) -> list[int]:
         """Pieces of pre-tokens; the model itself puts a mark before what it encodes."""
+        if not self.splits:
+            return [len(x) for x in self.model.encode(pretokens, num_threads=1)]
         marked = [p[0] == MARK for p in pretokens]
         ids = self.model.encode([p[1:] if m else f"\n{p}" for p, m in zip(pretokens, marked, strict=True)], num_threads=1)
         # A pre-token that is one mark only is encoded as "": the model gives that no mark.
         return [1 if p == MARK else len(x) - (0 if m else 2) for p, m, x in zip(pretokens, marked, ids, strict=True)]
 
-    def counts(self, texts: list[str]) -> list[int]:
-        if not self.splits:
-            return [len(x) for x in self.model.encode(texts, num_threads=1)]
-        split = [self.pretokens(t) if t else ([], 0) for t in texts]
-        self.known.fill(set().union(*(own for own, _ in split)), self.count_new)
-        get = self.known.__getitem__
-        return [feeds + sum(map(get, own)) for own, feeds in split]
-
 
 def counter(model_path: str) -> PieceCounter:
     """One counter a Python worker."""
@@ -72,23 +89,125 @@ def counter(model_path: str) -> PieceCounter:
     return _loaded[model_path]
 
 
-def token_counts(docs: DataFrame, model_path: str, max_tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit (n_tokens > max_tokens) for every row of docs; one pass, no shuffle."""
+class Frequencies:
+    """What one working file gets: a dictionary of pre-tokens, and of each document their numbers and frequencies."""
+
+    def __init__(self, pieces: PieceCounter):
+        self.pieces, self.size, self.ids, self.n_bytes = pieces, 0, [], []
+        self.words: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.feeds, self.numbers, self.times = [], [], []
+
+    def add(self, text: str) -> None:
+        feeds, numbers, times = 0, [], []
+        for section in self.pieces.sections(text) if text else ():
+            own, more = self.pieces.pretokens(section)
+            feeds += more
+            found, often = np.unique(np.fromiter(map(self.words.__getitem__, own), np.int32, len(own)), return_counts=True)
+            numbers.append(found)
+            times.append(often.astype(np.int32))
+        self.feeds.append(feeds)
+        self.numbers.append(np.concatenate([np.zeros(0, np.int32), *numbers]))
+        self.times.append(np.concatenate([np.zeros(0, np.int32), *times]))
+
+    def write(self, folder: str, kind: pa.DataType) -> str:
+        lists = lambda parts: pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, parts)]), np.concatenate(parts))
+        columns = [pa.chunked_array(self.ids, kind).combine_chunks(), pa.array(np.concatenate(self.n_bytes)), pa.array(self.feeds, pa.int64()), lists(self.numbers), lists(self.times)]
+        batch = pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "feeds", "numbers", "times"])
+        file = AttemptFile(folder, "frequencies", ".arrow")
+        with pa.ipc.new_stream(file.out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        file.close()
+        return file.path
+
+
+def sums(path: str, counts: np.ndarray):
+    """Result batches of a working file; counts has the pieces of each pre-token of its dictionary."""
+    with open_input(path) as f, pa.ipc.open_stream(f) as batches:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 10_000):
+                b = whole.slice(start, 10_000)
+                numbers, times = b.column(3), b.column(4)
+                each = np.concatenate([[0], np.cumsum(counts[numbers.flatten().to_numpy()] * times.flatten().to_numpy().astype(np.int64))])
+                ends = numbers.offsets.to_numpy() - numbers.offsets[0].as_py()
+                total = each[ends[1:]] - each[ends[:-1]] + b.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64())], ["id", "n_bytes", "n_tokens"])
+
+
+def dictionaries(docs: DataFrame, folder: str, model_path: str, id_col: str, text_col: str) -> DataFrame:
+    """(number, path, words): a row a working file, with its different pre-tokens."""
 
     def run(batches):
-        pieces = counter(model_path)
+        from pyspark import TaskContext
+
+        pieces, n = counter(model_path), 0
+        own = Frequencies(pieces)
+
+        def flush(kind):
+            path, number = own.write(folder, kind), TaskContext.get().partitionId() << 32 | n
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([path]), pa.array([list(own.words)])], ["number", "path", "words"])
+
+        kind = None
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pieces.counts(texts_of(b.column(2))), pa.int64())], [id_col, "n_bytes", "n_tokens"])
+            start, kind = 0, b.column(0).type
+            for i, text in enumerate(texts_of(b.column(2))):
+                own.add(text)
+                own.size += len(text)
+                if own.size >= FILE_BYTES or i == b.num_rows - 1:
+                    part = b.slice(start, i + 1 - start)
+                    start = i + 1
+                    own.ids.append(part.column(0))
+                    own.n_bytes.append(part.column(1).to_numpy())
+                if own.size >= FILE_BYTES:
+                    yield flush(kind)
+                    own, n = Frequencies(pieces), n + 1
+        if own.ids:
+            yield flush(kind)
 
-    kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    out = read.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > max_tokens)
+    read = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    return read.mapInArrow(run, "number long, path string, words array<string>")
+
+
+def counted(words: DataFrame, model_path: str) -> DataFrame:
+    """(word, n): each distinct pre-token and its pieces, counted once."""
+
+    def run(batches):
+        for b in slices(batches, 4096):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counter(model_path).count(b.column(0).to_pylist()), pa.int64())], ["word", "n"])
+
+    return words.select("word").distinct().mapInArrow(run, "word string, n long")
+
+
+def token_counts(docs: DataFrame, model_path: str, max_tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """id, n_bytes, n_tokens, over_limit (n_tokens > max_tokens) for every row of docs.
+
+    The working files in ``folder`` (a new one unless given) are read when the result is; delete them afterwards.
+    """
+    files = cut(dictionaries(docs, folder or new_folder(docs.sparkSession, "frequencies"), model_path, id_col, text_col))
+    words = files.select("number", F.posexplode("words").alias("at", "word"))
+    counts = words.join(counted(words, model_path), "word").groupBy("number").agg(F.collect_list(F.struct("at", "n")).alias("counts"))
+    tasks = max(1, min(files.count(), 10_000))
+    todo = cut(files.select("number", "path").join(counts, "number", "left").repartition(tasks, "number"))
+
+    def run(batches):
+        for b in batches:
+            for i, path in enumerate(b.column(1).to_pylist()):
+                found = b.column(2).slice(i, 1).flatten()
+                pieces = np.zeros(len(found), np.int64)
+                if len(found):
+                    pieces[found.field("at").to_numpy()] = found.field("n").to_numpy()
+                yield from sums(path, pieces)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = todo.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    return out.withColumnRenamed("id", id_col).withColumn("over_limit", F.col("n_tokens") > max_tokens)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+    folder = new_folder(spark, "frequencies")
+    out = cut(token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), folder=folder))
+    remove_folder(folder)
+    return out
 
 
 QUERIES = {"op1_token_counts": op1_token_counts}

@@ -45,6 +45,36 @@ def test_token_counts_of_nothing(docs):
     assert op1.token_counts(docs.limit(0), P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_pretokens_are_counted_once(spark, docs):
+    """Each distinct pre-token is one row for the model, however many documents and files have it."""
+    files = op1.dictionaries(docs.repartition(4), new_folder(spark, "test-words"), P.path("piece_bpe_32k.model"), "doc_id", "text").collect()
+    assert len(files) >= 4 and all(len(set(f.words)) == len(f.words) for f in files)
+    words = [w for f in files for w in f.words]
+    found = op1.counted(spark.createDataFrame([(w,) for w in words], "word string").repartition(5), P.path("piece_bpe_32k.model")).collect()
+    assert sorted(r.word for r in found) == sorted(set(words)) and len(set(words)) < len(words)
+
+
+def test_sections_and_whole_texts(spark, monkeypatch):
+    """Long texts by sections, and a model whose pieces may join pre-tokens, give the library's counts."""
+    pieces, texts = op1.PieceCounter(P.path("piece_bpe_32k.model")), [*odd_texts(), "one two  three " * 30, " a" * 40 + "  "]
+    want = library_counts(texts)
+    monkeypatch.setattr(op1, "SECTION", 7)
+
+    def total(text):
+        parts = [pieces.pretokens(s) for s in pieces.sections(text)] if text else []
+        return sum(feeds + sum(pieces.count(own)) for own, feeds in parts)
+
+    assert [total(t) for t in texts] == want
+    pieces.splits = False
+    assert [total(t) for t in texts] == want
+
+
+def test_long_text_counts(spark):
+    text = "some words and 12 numbers\n" * 100_000
+    got = op1.token_counts(spark.createDataFrame([("k", text), (None, None)], "doc_id string, text string"), P.path("piece_bpe_32k.model")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == [("None", 0, 0), ("k", len(text), library_counts([text])[0])]
+
+
 def test_op1_query(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text").collect()
     want = dict(zip([r.doc_id for r in rows], library_counts([r.text for r in rows])))
