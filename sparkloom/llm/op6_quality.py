@@ -7,8 +7,8 @@ family is a multinomial of its own.  The target model is smoothed towards the ra
 counts a bucket, so that what was hardly seen says nothing.  A document's log weight is the sum of
 log p_target / p_raw over its n-grams.  Documents are drawn without replacement in proportion to
 weight ** (1 / temperature) by Gumbel top-k: a key of log weight / temperature plus Gumbel noise that
-hangs on id and seed alone, and the k largest keys are kept.  Unless k is given, it is the number of
-documents whose log weight reaches ``cut``.
+hangs on id and seed alone, and the k largest keys are kept.  At temperature 1, the default, this is importance
+resampling proper.  Unless k is given, it is the number of documents whose log weight reaches ``cut_at``.
 
 Toxic documents are left out whatever their weight, as a few words drown in the sum over a long text: the
 documents of toxic and of other labelled rows that have a word are counted, and one word whose share of
@@ -16,11 +16,13 @@ toxic ones, drawn towards the share of all rows by ``toxic_prior`` documents, re
 
 The labelled sample is bounded by ``max_labelled`` rows (those of the smallest id hashes); the raw
 counts, the weights and the k-th key cover every document.  The k-th key comes from histograms over
-all keys, refined until a bin is short; no key table is gathered anywhere.
+all keys, refined until a bin is short; no key table is gathered anywhere.  Weights and kept columns are written once
+in the shared folder, where the refinement reads the key column alone.
 
 Null texts count as empty; a text without words has log weight 0.  Rows with a null id share one
 noise value.  Keys equal to the k-th are all kept.  Repeated rows repeat.  Without target rows all
-weights are 0 and everything is kept.  Empty tables give empty results.  Other columns are kept.
+weights are 0 and everything is kept.  Empty tables give empty results.  Other columns are kept, but those
+called like a column of the result (_weight, _toxic, _key, _kept), which the result's own replace.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, cut, slices, table, texts_of
+from .common import BoundedCache, cut, fresh, new_folder, slices, table, texts_of
+from .files import remove_folder
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 FAMILIES = 3
+OWN = ("_weight", "_toxic", "_key", "_kept")
 _known: dict[int, BoundedCache] = {}
 
 
@@ -161,19 +165,20 @@ class Weights:
             raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
         return cls(log_ratios(target, raw, bits, prior), bits)
 
-    def score(self, docs: DataFrame, keep: tuple[str, ...], text_col: str = "text", name: str = "log_weight") -> DataFrame:
-        """The kept columns of docs, the log weight of each row and whether it has a toxic word (_toxic)."""
+    def score(self, docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
+        """The kept columns of docs, the log weight of each row (_weight) and whether it has a toxic word (_toxic)."""
         shared, bits = docs.sparkSession.sparkContext.broadcast((self.ratios, self.toxic)), self.bits
+        keep = tuple(c for c in keep if c.lower() not in OWN)
 
         def run(batches):
             for b in slices(batches):
                 ratios, toxic = shared.value
                 found = [weigh(t, ratios, bits, toxic) for t in texts_of(b.column(0))]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([w for w, _ in found], pa.float64()), pa.array([x for _, x in found], pa.bool_())], [*b.schema.names[1:], name, "_toxic"])
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([w for w, _ in found], pa.float64()), pa.array([x for _, x in found], pa.bool_())], [*keep, "_weight", "_toxic"])
 
         fields = [docs.schema[c] for c in keep]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double, _toxic boolean"
-        return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(run, schema)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _weight double, _toxic boolean"
+        return docs.select(F.col(text_col).alias(fresh("text_", keep)), *keep).mapInArrow(run, schema)
 
 
 def gumbel_key(weight: Column, identity: Column, temperature: float, seed: int) -> Column:
@@ -218,7 +223,7 @@ def resample(
     labels: DataFrame,
     k: int | None = None,
     cut_at: float = -3.0,
-    temperature: float = 0.05,
+    temperature: float = 1.0,
     seed: int = 17,
     max_labelled: int = 20_000,
     bits: int = 14,
@@ -228,22 +233,30 @@ def resample(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """The kept columns of docs (all unless given) with _weight, _toxic, _key and _kept for every row; toxic rows are not drawn."""
+    """The kept columns of docs (all unless given) with _weight, _toxic, _key and _kept for every row; toxic rows are not drawn.
+
+    The rows in ``folder`` (a new one unless given) are read when the result is; delete them afterwards.
+    """
+    spark, path = docs.sparkSession, f"{folder or new_folder(docs.sparkSession, 'weights')}/rows"
     weights = Weights.fit(docs, target_sample(labels, max_labelled, id_col), bits, prior, id_col, text_col)
     weights.toxic = toxic_words(docs, labels, max_labelled, toxic_prior, toxic_at, id_col, text_col)
-    keyed = lambda df: df.withColumn("_key", gumbel_key(F.col("_weight"), F.col(id_col), temperature, seed))
-    keys = cut(keyed(weights.score(docs, (id_col,), text_col, "_weight")))
+    scored = weights.score(docs, tuple(keep or docs.columns), text_col)
+    scored.withColumn("_key", gumbel_key(F.col("_weight"), F.col(id_col), temperature, seed)).write.parquet(path)
+    keys = spark.read.parquet(path)
     drawn = keys.filter("not _toxic")
     wanted = drawn.filter(F.col("_weight") >= cut_at).count() if k is None else k
     least = kth_largest(drawn, wanted, "_key")
-    whole = keys if keep == (id_col,) else keyed(weights.score(docs, tuple(keep or docs.columns), text_col, "_weight"))
-    return whole.withColumn("_kept", ~F.col("_toxic") & (F.col("_key") >= F.lit(least)))
+    return keys.withColumn("_kept", ~F.col("_toxic") & (F.col("_key") >= F.lit(least)))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
-    return found.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept"))
+    folder = new_folder(spark, "weights")
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",), folder=folder)
+    out = cut(found.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept")))
+    remove_folder(folder)
+    return out
 
 
 QUERIES = {"op6_quality": op6_quality}
