@@ -65,6 +65,25 @@ def texts_of(column) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+_held: dict = {}
+
+
+def held(owner: str, key, make, most: int = 1):
+    """What make() gives, kept in this Python worker: the last ``most`` keys of one operator.
+
+    Workers outlive stages, so what another operator has left goes first.
+    """
+    if _held.get("owner") != owner:
+        _held.clear()
+        _held.update(owner=owner, kept={})
+    kept = _held["kept"]
+    if key not in kept:
+        while len(kept) >= most:
+            del kept[next(iter(kept))]
+        kept[key] = make()
+    return kept[key]
+
+
 class BoundedCache(dict):
     """A dictionary that starts anew once its keys would exceed ``most`` entries or ``most_chars`` characters."""
 

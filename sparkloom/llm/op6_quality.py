@@ -11,8 +11,9 @@ hangs on id and seed alone, and the k largest keys are kept.  At temperature 1,
 resampling proper.  Unless k is given, it is the number of documents whose log weight reaches ``cut_at``.
 
 Toxic documents are left out whatever their weight, as a few words drown in the sum over a long text: the
-documents of toxic and of other labelled rows that have a word are counted, and one word whose share of
-toxic ones, drawn towards the share of all rows by ``toxic_prior`` documents, reaches ``toxic_at`` decides.
+documents of toxic and of other labelled rows that have a word are counted, near copies once, and one word whose
+share of toxic ones reaches ``toxic_pure``, and ``toxic_at`` when drawn towards the share of all rows by
+``toxic_prior`` documents, decides.
 
 The labelled sample is bounded by ``max_labelled`` rows (those of the smallest id hashes); the raw
 counts, the weights and the k-th key cover every document.  The k-th key comes from histograms over
@@ -35,13 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, cut, fresh, new_folder, slices, table, texts_of
+from .common import BoundedCache, cut, fresh, held, new_folder, slices, table, texts_of
 from .files import remove_folder
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 FAMILIES = 3
 OWN = ("_weight", "_toxic", "_key", "_kept")
-_known: dict[int, BoundedCache] = {}
 
 
 def _shape(token: str) -> int:
@@ -67,7 +67,7 @@ def _facts(tokens: list[str]) -> list[int]:
 def facts_of(text: str) -> np.ndarray:
     """The hash and shape of each token of a text."""
     tokens = TOKEN.findall(text)
-    known = _known.setdefault(0, BoundedCache(500_000, 12_000_000))
+    known = held("quality", "tokens", lambda: BoundedCache(400_000, 8_000_000))
     known.fill(set(tokens), _facts)
     return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
@@ -111,8 +111,20 @@ def weigh(text: str, ratios: np.ndarray, bits: int, toxic: np.ndarray) -> tuple[
     return (float(ratios[own].sum()) if len(own) else 0.0), bool(len(toxic)) and bool(np.isin(facts >> np.uint64(16), toxic).any())
 
 
-def toxic_words(docs: DataFrame, labels: DataFrame, max_labelled: int, prior: float, at: float, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Hashes of the words that toxic labelled documents have far more often than others; max_labelled rows of each."""
+def sketch_of(text: str) -> int:
+    """The least hash of a text's five-word shingles, which near copies mostly share."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    shingles = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return min(map(xxhash.xxh64_intdigest, shingles)) >> 1
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, max_labelled: int, prior: float, at: float, pure: float, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Hashes of the words that toxic labelled documents have and others hardly do; max_labelled rows of each.
+
+    Of documents that share a sketch one counts, as a group of copies is one piece of evidence.
+    """
     classes = labels.filter(f"toxic is not null and `{id_col}` is not null").groupBy(F.col(id_col).alias("_label")).agg((F.max("toxic") == 1).alias("_toxic"))
     some = [classes.filter(c).orderBy(F.xxhash64("_label"), "_label").limit(max_labelled) for c in ("_toxic", "not _toxic")]
     sample = cut(some[0].unionByName(some[1]))
@@ -120,16 +132,17 @@ def toxic_words(docs: DataFrame, labels: DataFrame, max_labelled: int, prior: fl
 
     def run(batches):
         for b in slices(batches):
-            rows = [(np.unique(facts_of(t) >> np.uint64(16)), x) for t, x in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True)]
-            words = np.concatenate([np.zeros(0, dtype=np.uint64), *(w for w, _ in rows)]).astype(np.int64)
-            toxic = np.repeat([x for _, x in rows], [len(w) for w, _ in rows]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(toxic)], ["word", "toxic"])
+            texts = texts_of(b.column(0))
+            words = [np.unique(facts_of(t) >> np.uint64(16)).astype(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([sketch_of(t) for t in texts], pa.int64()), b.column(1), pa.array(words, pa.list_(pa.int64()))], ["sketch", "toxic", "words"])
 
-    n, bad = sample.agg(F.count("*"), F.sum(F.col("_toxic").cast("long"))).first()
+    rows = marked.mapInArrow(run, "sketch long, toxic boolean, words array<long>")
+    single = cut(rows.groupBy("sketch", "toxic").agg(F.max("words").alias("words")))
+    n, bad = single.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     if not bad:
         return np.zeros(0, dtype=np.uint64)
-    found = marked.mapInArrow(run, "word long, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("m"))
-    chosen = found.filter((F.col("t") + prior * bad / n) / (F.col("m") + prior) >= at).select("word").collect()
+    found = single.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.count("*").alias("m"))
+    chosen = found.filter(((F.col("t") + prior * bad / n) / (F.col("m") + prior) >= at) & (F.col("t") >= pure * F.col("m"))).select("word").collect()
     return np.sort(np.array([r["word"] for r in chosen], dtype=np.uint64))
 
 
@@ -228,8 +241,9 @@ def resample(
     max_labelled: int = 20_000,
     bits: int = 14,
     prior: float = 20.0,
-    toxic_prior: float = 10.0,
+    toxic_prior: float = 8.0,
     toxic_at: float = 0.6,
+    toxic_pure: float = 0.95,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] | None = None,
@@ -241,7 +255,7 @@ def resample(
     """
     spark, path = docs.sparkSession, f"{folder or new_folder(docs.sparkSession, 'weights')}/rows"
     weights = Weights.fit(docs, target_sample(labels, max_labelled, id_col), bits, prior, id_col, text_col)
-    weights.toxic = toxic_words(docs, labels, max_labelled, toxic_prior, toxic_at, id_col, text_col)
+    weights.toxic = toxic_words(docs, labels, max_labelled, toxic_prior, toxic_at, toxic_pure, id_col, text_col)
     scored = weights.score(docs, tuple(keep or docs.columns), text_col)
     scored.withColumn("_key", gumbel_key(F.col("_weight"), F.col(id_col), temperature, seed)).write.parquet(path)
     keys = spark.read.parquet(path)
