@@ -45,5 +45,7 @@ def open_input(path: str):
 
 
 def remove_folder(path: str) -> None:
+    """Deletes a folder and its files, if it is there: without rows none is written."""
     store, inside = open_store(path)
-    store.delete_dir(inside)
+    if store.get_file_info(inside).type == pafs.FileType.Directory:
+        store.delete_dir(inside)

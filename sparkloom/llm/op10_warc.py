@@ -5,7 +5,8 @@ digest come from an aggregate with map-side sums and one join; each task then wr
 Reading: archives are cut into byte ranges; a task looks in its range for the gzip magic, takes a
 candidate for a record if its first bytes decode to a WARC version line, and owns every record that
 starts inside its range, reading on behind its end for the last one.  Members follow each other, so
-after the first record of a range only true starts are met.
+after the first record of a range only true starts are met.  Whatever breaks this chain is damage and an
+error: a record that does not decode to its end, a gap behind a record, an archive shorter than written.
 
 Null html counts as the empty payload.  A null page id writes a record without one; it never is the
 response that others refer to unless all of its payload have none, when all are responses.  Rows that
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, slices, table
-from .files import AttemptFile, open_input
+from .common import cut, new_folder, slices, table
+from .files import AttemptFile, open_input, remove_folder
 
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -97,19 +98,30 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, date: str =
     return [Archive(*r) for r in kinds.mapInArrow(run, "path string, size long, n_records long").collect()]
 
 
-def members(f, start: int, end: int, chunk: int = 1 << 20):
-    """Decoded records whose gzip member starts at a byte from start to end - 1 of an open file."""
+def members(f, start: int, end: int, chunk: int = 1 << 20, whole: bool = False):
+    """Decoded records whose gzip member starts at a byte from start to end - 1 of an open file.
+
+    With whole, the file holds members alone, and anything else raises ValueError.
+    """
     f.seek(start)
-    data, base, at = f.read(end - start), start, 0
+    data, base, at, due = bytearray(f.read(end - start)), start, 0, whole and start == 0
+    if whole and len(data) < end - start:
+        raise ValueError(f"the archive ends at {base + len(data)}, before {end}")
 
     def more() -> bool:
-        nonlocal data
         f.seek(base + len(data))
         new = f.read(chunk)
-        data += new
+        data.extend(new)
         return bool(new)
 
     while True:
+        if due:  # a record has to begin right here, or the archive to end
+            while len(data) < at + len(GZIP) and more():
+                pass
+            if len(data) > at and data[at : at + len(GZIP)] != GZIP:
+                raise ValueError(f"no record at byte {base + at}")
+            if len(data) <= at:
+                return
         at = data.find(GZIP, at)
         if at < 0:
             # The magic of a member that starts inside may end outside.
@@ -136,7 +148,9 @@ def members(f, start: int, end: int, chunk: int = 1 << 20):
             sound = VERSION.startswith(head[:7])
         if sound and head == VERSION:
             yield b"".join(out)
-            at = fed - len(inflate.unused_data)
+            at, due = fed - len(inflate.unused_data), whole
+        elif whole and (due or head == VERSION):
+            raise ValueError(f"the record at byte {base + at} is damaged")
         else:
             at += 1
 
@@ -178,7 +192,7 @@ def read_archives(spark: SparkSession, archives: list[Archive], split_bytes: int
             for path, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 with open_input(path) as f:
                     rows = []
-                    for raw in members(f, start, end):
+                    for raw in members(f, start, end, whole=True):
                         rows.append(row(raw))
                         if len(rows) == 256:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -190,8 +204,11 @@ def read_archives(spark: SparkSession, archives: list[Archive], split_bytes: int
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_archives(spark, write_archives(table(spark, sf_dir, "pages"), new_folder(spark, "warc")))
-    return read.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    folder = new_folder(spark, "warc")
+    read = read_archives(spark, write_archives(table(spark, sf_dir, "pages"), folder))
+    out = cut(read.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")))
+    remove_folder(folder)
+    return out
 
 
 ORACLES = {
