@@ -1,7 +1,7 @@
 """Token ids in a binary file format: canonical length-limited Huffman codes from global counts.
 
 Writing tokenises once: documents are dealt out by ranges of their id, and each task writes the ids of
-its range, in ascending id, to a working file and counts them.  The counts are summed by id (a row an
+its range, in ascending id, to working files of about ``file_bytes`` and counts them.  The counts are summed by id (a row an
 id reaches the driver, never more than the vocabulary has), and package-merge turns them into code
 lengths of at most ``max_bits``.  A second stage turns each working file into one shard: the ids as
 one bit stream, with the bit offset of every ``block``-th id as a checkpoint.  Blocks are independent:
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, cut, new_folder, slices, table, vocabulary_path
+from .common import BoundedCache, cut, held, new_folder, slices, table, vocabulary_path
 from .files import AttemptFile, open_input, remove_folder
 
 MAGIC = b"SLTI0001"
@@ -41,7 +41,6 @@ LETTER, NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
 BEYOND = "".join(c for c in map(chr, range(0xA1, 0x250)) if any(ord(x) > 0x24F for x in c.lower()))
 PLAIN = rf"[^\t\n\r -~¡-įı-ɏ]|[{BEYOND}]|<\|"  # found in texts that are not plain
 APART = f"('s|'t|'re|'ve|'m|'ll|'d|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+)"  # pre-tokens other than words
-_loaded: dict[str, WordBpe] = {}
 _tables: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -115,9 +114,7 @@ class WordBpe:
 
 
 def word_bpe(path: str) -> WordBpe:
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    return held("token ids", path, lambda: WordBpe(path))
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -268,24 +265,33 @@ def _write_shard(folder: str, part: int, work: str, packed: bytes, block: int) -
     return file.path
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, max_bits: int = 16, block: int = 1024, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[Shard]:
-    """Writes the ids of all documents, each followed by end_id, in ascending order of id_col; one shard a task."""
+def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, max_bits: int = 16, block: int = 1024, shards: int | None = None, file_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> list[Shard]:
+    """Writes the ids of all documents, each followed by end_id, in ascending order of id_col; a shard a working file."""
     spark = docs.sparkSession
 
     def tokenise(batches):
         from pyspark import TaskContext
 
         bpe, end = word_bpe(path), struct.pack("<I", end_id)
-        keys, texts = [], []
-        for b in slices(batches, 1024):
-            keys += b.column(0).to_pylist()
-            texts += [ids + end for ids in bpe.encode(b.column(1))]
-        if keys:
-            part = TaskContext.get().partitionId()
+        keys, texts, size, n = [], [], 0, 0
+
+        def flush():
+            part = TaskContext.get().partitionId() << 24 | n
             name, counts = _write_work(f"{folder}/work", part, keys, texts)
             seen = np.flatnonzero(counts)
             listed = pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pa.StructArray.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["id", "n"]))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([sum(map(len, texts)) // 4], pa.int64()), listed], ["part", "path", "n_docs", "n_ids", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([size // 4], pa.int64()), listed], ["part", "path", "n_docs", "n_ids", "counts"])
+
+        for b in slices(batches, 1024):
+            for key, ids in zip(b.column(0).to_pylist(), bpe.encode(b.column(1)), strict=True):
+                keys.append(key)
+                texts.append(ids + end)
+                size += len(ids) + 4
+                if size >= file_bytes:
+                    yield flush()
+                    keys, texts, size, n = [], [], 0, n + 1
+        if keys:
+            yield flush()
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = read.repartitionByRange(*([shards] if shards else []), "id").sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
@@ -358,9 +364,11 @@ def read_ids(spark: SparkSession, shards: list[Shard], docs_a_split: int = 20_00
 
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path("word_bpe_49k.json")
-    shards = write_ids(table(spark, sf_dir, "documents"), path, 2, new_folder(spark, "token-ids"))
-    read = read_ids(spark, shards)
-    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    folder = new_folder(spark, "token-ids")
+    read = read_ids(spark, write_ids(table(spark, sf_dir, "documents"), path, 2, folder))
+    out = cut(read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")))
+    remove_folder(folder)
+    return out
 
 
 QUERIES = {"op9_huffman_ids": op9_huffman_ids}
