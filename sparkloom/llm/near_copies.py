@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, cut, fresh, slices, texts_of
+from .common import BoundedCache, cut, fresh, held, slices, texts_of
 from .components import components
 
 SEGMENTS, SEGMENT_BITS = 8, 24
-_words: dict[int, BoundedCache] = {}
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -67,7 +66,7 @@ def segments_of(text: str) -> list[int]:
     words = set(text.encode().lower().split())
     if not words:
         return []
-    known = _words.setdefault(0, BoundedCache(300_000, 6_000_000))
+    known = held("near copies", "words", lambda: BoundedCache(300_000, 6_000_000))
     ones, n = np.zeros(SEGMENTS * SEGMENT_BITS, dtype=np.int64), 0
     for part in itertools.batched(words, 1 << 15):  # a long text's words, a bounded number at a time
         known.fill(set(part), _hashes)

@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, new_folder, slices, table, texts_of
-from .files import AttemptFile, open_input
+from .common import cut, fresh, held, new_folder, slices, table, texts_of
+from .files import AttemptFile, open_input, remove_folder
 
 # Fixed values of the contract: bytes that are no part of a word, after A-Z became a-z.
 NO_WORD = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 TO_WORDS = bytes(0x20 if b in NO_WORD and not 0x41 <= b <= 0x5A else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_built: dict[tuple, Windows] = {}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -75,13 +74,12 @@ class Windows:
 
 def windows(path: str, width: int, most: int) -> Windows:
     """The automaton of a file of items; a Python worker keeps the last ones."""
-    key = (path, width)
-    if key not in _built:
-        while len(_built) >= most:
-            del _built[next(iter(_built))]
+
+    def build() -> Windows:
         with open_input(path) as f, pa.ipc.open_stream(f) as items:
-            _built[key] = Windows([pair for b in items for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], width)
-    return _built[key]
+            return Windows([pair for b in items for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], width)
+
+    return held("decontamination", (path, width), build, most)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -149,12 +147,14 @@ def contamination(
     blocks_at_once: int = 4,
     batch_bytes: int = 16_000_000,
     keep: tuple[str, ...] = (),
+    folder: str | None = None,
 ) -> DataFrame:
     """For every row of docs: id, n_words, n_hit (words inside hit passages), spans (start and end byte of each
     passage in the original text), items (ids of the items with occurring windows, sorted as strings);
-    ``keep`` names further columns of docs to pass through.
+    ``keep`` names further columns of docs to pass through.  The files in ``folder`` (a new one unless given) are
+    read when the result is; delete them afterwards.
     """
-    paths = write_blocks(items, new_folder(docs.sparkSession, "benchmark"), item_id_col, item_text_col, block_bytes)
+    paths = write_blocks(items, folder or new_folder(docs.sparkSession, "benchmark"), item_id_col, item_text_col, block_bytes)
     kept = [id_col, *(c for c in keep if c.lower() not in OWN and c != id_col)]
 
     def scan(held: list):
@@ -204,7 +204,10 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    folder = new_folder(spark, "benchmark")
+    out = cut(digests(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), folder=folder)))
+    remove_folder(folder)
+    return out
 
 
 QUERIES = {"op3_decontaminate": op3_decontaminate}

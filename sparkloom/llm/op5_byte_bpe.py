@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, slices, table, texts_of, vocabulary_path
+from .common import BoundedCache, held, slices, table, texts_of, vocabulary_path
 
 # Characters below U+0250: their letters, numbers and white space can be listed, so that the faster
 # matcher of the standard library splits texts that have no others.
 LETTER, NUMBER, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
 BEYOND = re.compile("[^\x00-ɏ]")
-_loaded: dict[str, ByteBpe] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -110,9 +109,7 @@ class ByteBpe:
 
 def codec(path: str, pattern: str) -> ByteBpe:
     """One codec a Python worker."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path, pattern)
-    return _loaded[path]
+    return held("byte pairs", (path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:

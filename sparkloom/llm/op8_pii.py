@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 CONTEXT, THRESHOLD, CHUNK = 40, 0.6, 256
 
@@ -140,10 +140,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _redact_kind(docs: DataFrame, kind: Kind, text_col: str) -> DataFrame:
-    text, matches, pieces = F.col(text_col), F.col(f"_{kind.name}_matches"), F.col(f"_{kind.name}_pieces")
+    names = [fresh(f"_{kind.name}_{x}", docs.columns) for x in ("matches", "pieces")]
+    text, matches, pieces = F.col(text_col), *map(F.col, names)
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    docs = docs.withColumn(f"_{kind.name}_matches", F.when(F.contains(text, F.lit(kind.gate)), found) if kind.gate else found)
-    docs = docs.withColumn(f"_{kind.name}_pieces", F.when(F.size(matches) > 0, F.split(text, kind.pattern, -1)))
+    docs = docs.withColumn(names[0], F.when(F.contains(text, F.lit(kind.gate)), found) if kind.gate else found)
+    docs = docs.withColumn(names[1], F.when(F.size(matches) > 0, F.split(text, kind.pattern, -1)))
 
     def put(m: Column, i: Column) -> Column:
         near = F.lower(F.concat_ws(" ", F.right(F.get(pieces, i), F.lit(CONTEXT)), F.left(F.get(pieces, i + 1), F.lit(CONTEXT))))
@@ -151,7 +152,7 @@ def _redact_kind(docs: DataFrame, kind: Kind, text_col: str) -> DataFrame:
         return F.concat(F.get(pieces, i), F.when(kind.valid(m) & sure, F.lit(f"[{kind.name.upper()}]")).otherwise(m))
 
     joined = F.concat(F.array_join(F.transform(matches, put), ""), F.element_at(pieces, -1))
-    return docs.withColumn(text_col, F.when(F.size(matches) > 0, joined).otherwise(text)).drop(matches, pieces)
+    return docs.withColumn(text_col, F.when(F.size(matches) > 0, joined).otherwise(text)).drop(*names)
 
 
 def listing(spans: Column) -> Column:
@@ -161,8 +162,9 @@ def listing(spans: Column) -> Column:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    count = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
-    return found.select("doc_id", *(count(k.name) for k in KINDS), F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k.name)).cast("long").alias(f"n_{k.name}")
+    of = lambda own: [count(k) for k in KINDS if k.base == own]
+    return found.select("doc_id", *of(True), F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"), *of(False))
 
 
 QUERIES = {"op8_pii": op8_pii}
