@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import public_tokenizers as P
@@ -45,13 +46,22 @@ def test_token_counts_of_nothing(docs):
     assert op1.token_counts(docs.limit(0), P.path("piece_bpe_32k.model")).count() == 0
 
 
-def test_pretokens_are_counted_once(spark, docs):
-    """Each distinct pre-token is one row for the model, however many documents and files have it."""
-    files = op1.dictionaries(docs.repartition(4), new_folder(spark, "test-words"), P.path("piece_bpe_32k.model"), "doc_id", "text").collect()
-    assert len(files) >= 4 and all(len(set(f.words)) == len(f.words) for f in files)
-    words = [w for f in files for w in f.words]
-    found = op1.counted(spark.createDataFrame([(w,) for w in words], "word string").repartition(5), P.path("piece_bpe_32k.model")).collect()
-    assert sorted(r.word for r in found) == sorted(set(words)) and len(set(words)) < len(words)
+def test_pretokens_are_counted_once(spark, docs, monkeypatch):
+    """Each distinct pre-token goes to the model once, however many documents and files have it."""
+    path = P.path("piece_bpe_32k.model")
+    files = op1.dictionaries(docs.repartition(4), new_folder(spark, "test-words"), path, "doc_id", "text").collect()
+    words = [op1.words_of(f.words) for f in files]
+    assert len(files) >= 4 and all(len(set(w)) == len(w) for w in words)
+    seen, count = [], op1.PieceCounter.count
+    monkeypatch.setattr(op1.PieceCounter, "count", lambda self, own: seen.extend(own) or count(self, own))
+    buckets = {}
+    for f in files:
+        for b in op1.deal(3)([pa.record_batch({"number": [f.number], "words": pa.array([f.words], pa.binary())})]):
+            buckets.setdefault(b.column(0)[0].as_py(), []).append(b)
+    for own in buckets.values():
+        op1.counted(path)(pa.Table.from_batches(own))
+    whole = [w for own in words for w in own]
+    assert sorted(seen) == sorted(set(whole)) and len(seen) < len(whole) and len(buckets) == 3
 
 
 def test_sections_and_whole_texts(spark, monkeypatch):
