@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.storage import work_folder
+from sparkloom.storage import materialised
 
 
 def match_hop(nodes: DataFrame, edges: DataFrame, label_a: str | None = None, kind: str | None = None, label_b: str | None = None) -> DataFrame:
@@ -25,38 +25,58 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.filter("src <> dst").distinct()
 
 
+def _levels(edges: DataFrame, source: int):
+    """(id, parent) of each step of a breadth-first search, materialised; a node's parent is its smallest of the step before.
+
+    Links go both ways, so what a step finds is new unless it is in one of the last two steps: no step reads more
+    than these, whatever was reached before.
+    """
+    links = materialised(undirected(edges))
+    level = materialised(edges.sparkSession.createDataFrame([(source, None)], "id long, parent long"))
+    before = level.limit(0)
+    while not level.isEmpty():
+        yield level
+        found = links.join(level.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").cast("long").alias("id")).agg(F.min("src").cast("long").alias("parent"))
+        known = level.select("id").unionByName(before.select("id"))
+        before, level = level, materialised(found.join(known, "id", "left_anti"))
+
+
 def neighbors(edges: DataFrame, source: int, depth: int) -> DataFrame:
-    """(id, depth) of nodes within depth undirected steps of the source, without it; depth is the fewest steps.
+    """(id, depth) of nodes within depth undirected steps of the source, without it; depth is the fewest steps."""
+    reached = edges.sparkSession.createDataFrame([], "id long, depth int")
+    for step, level in enumerate(itertools.islice(_levels(edges, source), depth + 1)):
+        if step:
+            reached = reached.unionByName(level.select("id", F.lit(step).alias("depth")))
+    return reached
+
+
+def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
+    """(source, target, length, path): a path of the fewest undirected steps as an array of ids; null if there is none.
 
-    A frontier join a step; what was reached before is left out, so each node is expanded once.
+    Of several the one whose ids are smallest from the target back.  A path of one node leads from a node to itself.
     """
-    links = undirected(edges)
-    reached = edges.sparkSession.createDataFrame([(source, 0)], "id long, depth int")
-    frontier = reached
-    for step in range(1, depth + 1):
-        found = links.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = found.join(reached.select("id"), "id", "left_anti").withColumn("depth", F.lit(step))
-        reached = reached.unionByName(frontier)
-    return reached.filter(F.col("depth") > 0)
-
-
-def shortest_path_length(edges: DataFrame, source: int, target: int, most: int | None = None) -> DataFrame:
-    """(source, target, length): the fewest undirected steps, null if there is no path, or none of at most ``most`` steps; stops when reached."""
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(work_folder(edges.sparkSession))
-    links, reached, length = undirected(edges).cache(), None, None
-    frontier = edges.sparkSession.createDataFrame([(source,)], "id long")
-    reached = frontier
-    for step in itertools.count() if most is None else range(most + 1):
-        if not frontier.filter(F.col("id") == target).isEmpty():
-            length = step
+    passed, at = [], None
+    for level in _levels(edges, source):
+        passed.append(level)
+        at = level.filter(F.col("id") == target).first()
+        if at is not None:
             break
-        found = links.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        # Cut off in the checkpoint folder: every step reads all before, so plans would double each time.
-        frontier = found.join(reached, "id", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    links.unpersist()
-    return edges.sparkSession.createDataFrame([(source, target, length)], "source long, target long, length int")
+    path = [target]
+    for level in reversed(passed[:-1] if at is not None else []):
+        path.append(at["parent"])
+        at = level.filter(F.col("id") == path[-1]).first()
+    found = (source, target, len(path) - 1, path[::-1]) if at is not None else (source, target, None, None)
+    return edges.sparkSession.createDataFrame([found], "source long, target long, length int, path array<long>")
+
+
+def create_nodes(rows: DataFrame, label: str, id_col: str, *properties: str) -> DataFrame:
+    """(id, label, props) with the named columns as a map of properties; null ones are left out."""
+    cells = F.map_from_arrays(F.array(*(F.lit(p) for p in properties)), F.array(*(F.col(p).cast("string") for p in properties)))
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.lit(label).alias("label"), F.map_filter(cells, lambda _, v: v.isNotNull()).alias("props"))
+
+
+def create_edges(rows: DataFrame, nodes: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
+    """(src, dst, type) of the rows whose two ends are nodes."""
+    edges = rows.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), F.lit(kind).alias("type"))
+    ids = nodes.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "type")

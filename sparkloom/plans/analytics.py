@@ -73,7 +73,7 @@ sql_operator("w11_rows_frame", "SELECT event_id, ROUND(SUM(value) OVER (PARTITIO
 sql_operator("w12_frame_bounds", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING) AS back FROM events")
 sql_operator("w12_range_frame", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM orders")
 sql_operator("w13_multi_column_window", "SELECT l_orderkey, l_linenumber, CAST(ROW_NUMBER() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS BIGINT) AS w FROM lineitem")
-sql_operator("w14_mixed_items", "SELECT o_orderkey, UPPER(o_orderpriority) AS p, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS big, CAST(RANK() OVER (ORDER BY o_totalprice DESC) AS BIGINT) AS price_rank, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders WHERE o_custkey < 200")
+sql_operator("w14_mixed_items", "SELECT o_orderkey, UPPER(o_orderpriority) AS p, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS big, CAST(RANK() OVER (ORDER BY o_totalprice DESC) AS BIGINT) AS price_rank, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders")
 
 
 @operator("w6_reference_ntile", "SELECT c_custkey, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) * 4.0 / COUNT(*) OVER (PARTITION BY c_nationkey)) + 1 AS INT) AS w FROM customer")
@@ -143,9 +143,9 @@ def match_score(spark, sf_dir):
     return docs.select("doc_id").join(S.bm25(docs, QUERY, "doc_id", "text"), "doc_id", "left").select("doc_id", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))
 
 
-# Graphs: events make edges from users to users
-EDGES = "SELECT DISTINCT user_id AS src, (user_id * 7 + 3) % 50 AS dst, event_type AS type FROM events WHERE user_id < 50"
-NODES = "SELECT DISTINCT user_id AS id, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS label FROM events WHERE user_id < 50"
+# Graphs: every user of the events is a node; each event links its user to another, wherever the ids end
+EDGES = "SELECT DISTINCT user_id AS src, CAST(FLOOR(user_id / 2) AS BIGINT) AS dst, event_type AS type FROM events"
+NODES = "SELECT DISTINCT user_id AS id, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS label FROM events"
 
 
 def _graph(spark, sf_dir):
@@ -160,17 +160,24 @@ def match_hop(spark, sf_dir):
 
 
 REACH = f"""WITH RECURSIVE e AS ({EDGES}), u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
-    r(id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT u.dst, r.depth + 1 FROM r JOIN u ON u.src = r.id WHERE r.depth < DEPTH)"""
+    r(id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT u.dst, r.depth + 1 FROM r JOIN u ON u.src = r.id WHERE r.depth < DEPTH),
+    d AS (SELECT id, MIN(depth) AS depth FROM r GROUP BY id)"""
 
 
-@operator("g4_neighbors", REACH.replace("DEPTH", "3") + " SELECT id, MIN(depth) AS depth FROM r WHERE id <> 1 GROUP BY id")
+@operator("g4_neighbors", REACH.replace("DEPTH", "4") + " SELECT id, depth FROM d WHERE id <> 1")
 def graph_neighbors(spark, sf_dir):
-    return G.neighbors(_graph(spark, sf_dir)[1], 1, 3)
+    return G.neighbors(_graph(spark, sf_dir)[1], 1, 4)
 
 
-@operator("g3_shortest_path", REACH.replace("DEPTH", "16") + " SELECT CAST(1 AS BIGINT) AS source, CAST(30 AS BIGINT) AS target, MIN(depth) AS length FROM r WHERE id = 30")
+PATH = REACH.replace("DEPTH", "40") + """, up AS (SELECT d.id, MIN(u.src) AS parent FROM d JOIN u ON u.dst = d.id JOIN d b ON b.id = u.src AND b.depth = d.depth - 1 GROUP BY d.id),
+    p(id, n, path) AS (SELECT MAX(user_id), 0, CAST(MAX(user_id) AS VARCHAR) FROM events UNION ALL SELECT up.parent, n + 1, up.parent || ',' || path FROM p JOIN up ON up.id = p.id)
+    SELECT CAST(1 AS BIGINT) AS source, (SELECT MAX(user_id) FROM events) AS target, n AS length, path FROM p WHERE id = 1"""
+
+
+@operator("g3_shortest_path", PATH)
 def graph_path(spark, sf_dir):
-    return G.shortest_path_length(_graph(spark, sf_dir)[1], 1, 30)
+    target = read_table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]
+    return G.shortest_path(_graph(spark, sf_dir)[1], 1, target).withColumn("path", F.array_join("path", ","))
 
 
 # Time series and profiles
