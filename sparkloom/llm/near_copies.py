@@ -5,8 +5,9 @@ a text's different words, as one changed word breaks ``width`` shingles but stay
 0.8 the fingerprints of 192 bits differ in about 10 bits and seldom in more than 20.  They are cut into
 8 segments, fewer than the bits that may differ, so that at 15 or fewer differing bits some segment differs by at
 most one; at more, it does with a probability that the README gives as measured recall.  Each segment of 24 bits is
-indexed with each of its bits blanked, an equality join on these keys proposes pairs of different shingle sets, and the
-similarity of the whole sets verifies them.  Only distinct sets are joined.
+indexed with each of its bits blanked, an equality join on these keys proposes pairs of different shingle sets, of
+which those go on that differ in ``most_bits`` at most, and the similarity of the whole sets verifies them.  Only distinct
+sets are joined.
 
 Keys that more than ``hot`` sets share are not joined at once, as their pairs grow with the square.
 Their sets are first compared with one leader a key, ``rounds`` times with another leader, and
@@ -91,28 +92,41 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 
 def variant_keys(nodes: DataFrame) -> DataFrame:
-    """(node, n, band, key): a row for each segment and blanked bit; masks are literals, one explode makes the rows."""
-    places = [(s, b) for s in range(SEGMENTS) for b in range(SEGMENT_BITS)]
-    key = lambda s, b: F.element_at("segments", s + 1).bitwiseAND(F.lit(~(1 << b)))
-    variants = F.array(*(F.struct(F.lit(s * SEGMENT_BITS + b).cast("smallint").alias("band"), key(s, b).alias("key")) for s, b in places))
-    return nodes.filter(F.size("segments") > 0).select("node", "n", F.explode(variants).alias("v")).select("node", "n", "v.band", "v.key")
+    """(node, key): a row for each segment and blanked bit; a key holds both and the rest of the segment's bits."""
 
+    def key(segment: int, bit: int):
+        place = (segment * SEGMENT_BITS + bit) << SEGMENT_BITS
+        blanked = F.element_at("segments", segment + 1).bitwiseAND(F.lit(~(1 << bit)))
+        return blanked.bitwiseOR(F.lit(place - (1 << 32) if place >> 31 else place).cast("int"))
 
-def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, own): the shingle sets of nodes, made again from one of their rows' texts."""
+    keys = F.array(*(key(s, b) for s in range(SEGMENTS) for b in range(SEGMENT_BITS)))
+    return nodes.filter(F.size("segments") > 0).select("node", F.explode(keys).alias("key"))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, own): the shingle sets of wanted nodes, made again from one of their rows' texts."""
 
     def run(batches):
         for b in slices(batches, 64):
             sets = [shingles(t, width) for t in texts_of(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64()))], ["node", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64()))], ["name", "own"])
 
-    ids = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("one")).select("one").distinct()
+    named = nodes.join(wanted, "node", "left_semi").select("node", "name", "one")
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = read.join(ids, F.col("id").eqNullSafe(F.col("one")), "left_semi").select("text")
-    made = texts.mapInArrow(run, "node long, own array<long>").join(nodes, "node", "left_semi")
+    texts = read.join(named.select("one").distinct(), F.col("id").eqNullSafe(F.col("one")), "left_semi").select("text")
+    made = texts.mapInArrow(run, "name long, own array<long>").join(named.select("node", "name"), "name")
     return made.groupBy("node").agg(F.first("own").alias("own"))
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, tenths: int, most_bits: int) -> DataFrame:
+    """The pairs (a, b), each once, whose fingerprints and set sizes are near enough."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("segments").alias(f"s_{s}"))
+    once = pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bits = sum((F.bit_count(F.element_at("s_a", i + 1).bitwiseXOR(F.element_at("s_b", i + 1))) for i in range(SEGMENTS)), F.lit(0))
+    fits = F.least("n_a", "n_b") * 10 >= F.greatest("n_a", "n_b") * tenths
+    return once.join(side("a"), "a").join(side("b"), "b").filter(fits & (bits <= most_bits)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
@@ -121,51 +135,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return joined.filter(both * (10 + tenths) >= (F.size("own_a") + F.size("own_b")) * tenths).select("a", "b")
 
 
-def links(docs: DataFrame, rows: DataFrame, width: int, tenths: int, hot: int, rounds: int, id_col: str, text_col: str) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, width: int, tenths: int, most_bits: int, hot: int, rounds: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b) with links enough to connect all distinct sets of proposed pairs that are similar enough."""
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("segments").alias("segments"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Small rows of which many are made: over all tasks first, by a hash, as dealing out by node counts as done.
-    keys = variant_keys(nodes.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node")))
-    fits = (F.least("n_a", "n_b") * 10 >= F.greatest("n_a", "n_b") * tenths) & (F.col("a") != F.col("b"))
-    shared = cut(keys.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1"))
-    side = lambda df, s: df.select("band", "key", F.col("node").alias(s), F.col("n").alias(f"n_{s}"))
+    # The keys are dealt out once, both to be counted and to be joined to what is shared.
+    keys = variant_keys(nodes.select("node", "segments").repartition(parts, F.xxhash64("node"))).repartition(parts, "key")
+    counts = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = cut(keys.join(counts, "key"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pairs = cut(_near(pairs, nodes, tenths, most_bits))
         wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        return cut(_verified(pairs, _sets(docs, rows, wanted, width, id_col, text_col), tenths))
+        return cut(_verified(pairs, _sets(docs, nodes, wanted, width, id_col, text_col), tenths))
 
-    plain = keys.join(shared.filter(F.col("m") <= hot), ["band", "key"], "left_semi")
-    found = verified(side(plain, "a").join(side(plain, "b"), ["band", "key"]).filter("a < b"))
-    crowded = shared.filter(F.col("m") > hot).select("band", "key")
-    if crowded.isEmpty():
+    plain = shared.filter(F.col("m") <= hot)
+    side = lambda s: plain.select("key", F.col("node").alias(s))
+    found = verified(side("a").join(side("b"), "key").filter("a < b"))
+    members = shared.filter(F.col("m") > hot).select("key", "node")
+    if members.isEmpty():
         return found
-    members = cut(keys.join(crowded, ["band", "key"], "left_semi"))
     for n in range(rounds + 1):
-        parts = components(found).withColumnRenamed("component", "part")
-        parted = cut(members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
-        a = side(parted, "a").join(parted.select("band", "key", F.col("node").alias("a"), F.col("part").alias("part_a")), ["band", "key", "a"])
+        parted = members.join(components(found).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        parted = cut(parted.select("key", "node", "part"))
         if n < rounds:  # one leader a key against the members of other components
-            lead = parted.groupBy("band", "key").agg(F.min_by(F.struct("node", "n", "part"), F.xxhash64("node", F.lit(n))).alias("l"))
-            pairs = a.join(lead, ["band", "key"]).filter("part_a != l.part").select("a", "n_a", F.col("l.node").alias("b"), F.col("l.n").alias("n_b"))
+            lead = parted.groupBy("key").agg(F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(n))).alias("l"))
+            pairs = parted.join(lead, "key").filter("part != l.part").select(F.col("node").alias("a"), F.col("l.node").alias("b"))
         else:  # what is outside a key's largest component against all other components
-            counts = parted.groupBy("band", "key", "part").agg(F.count("*").alias("m"))
-            most = counts.groupBy("band", "key").agg(F.max_by("part", "m").alias("most"))
-            rest = parted.join(most, ["band", "key"]).filter("part != most").select("band", "key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-            pairs = a.join(rest, ["band", "key"]).filter("part_a != part_b")
+            sizes = parted.groupBy("key", "part").agg(F.count("*").alias("m"))
+            most = sizes.groupBy("key").agg(F.max_by("part", "m").alias("most"))
+            rest = parted.join(most, "key").filter("part != most").select("key", F.col("node").alias("b"), F.col("part").alias("part_b"))
+            pairs = parted.withColumnRenamed("node", "a").join(rest, "key").filter("part != part_b").select("a", "b")
         found = cut(found.unionByName(verified(pairs)).distinct())
     return found
 
 
-def keep_one(docs: DataFrame, width: int = 5, tenths: int = 8, hot: int = 128, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, tenths: int = 8, most_bits: int = 48, hot: int = 16, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their component of similar sets; all columns are kept.
 
     Rows that repeat such an id all stay, and so do rows without an id.
     """
-    rows = cut(sketches(docs, width, id_col, text_col))
-    parts = components(links(docs, rows, width, tenths, hot, rounds, id_col, text_col))
-    reps = rows.groupBy("node").agg(F.min("id").alias("stays"))
-    named = reps.join(parts, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("stays").alias("stays"))
+    rows = sketches(docs, width, id_col, text_col)
+    once = cut(rows.groupBy(F.col("node").alias("name")).agg(F.first("n").alias("n"), F.first("segments").alias("segments"), F.min("id").alias("one")))
+    nodes = once.withColumn("node", F.monotonically_increasing_id())  # short numbers for what is dealt out often
+    parts = components(links(docs, nodes, width, tenths, most_bits, hot, rounds, id_col, text_col))
+    named = nodes.select("node", "one").join(parts, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("one").alias("one"))
     stay = fresh("stays", docs.columns)
-    kept = named.select(F.col("stays").alias(stay)).filter(F.col(stay).isNotNull()).distinct()
+    kept = named.select(F.col("one").alias(stay)).filter(F.col(stay).isNotNull()).distinct()
     return docs.join(kept, F.col(id_col) == F.col(stay), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))

@@ -17,8 +17,9 @@ share of toxic ones reaches ``toxic_pure``, and ``toxic_at`` when drawn towards
 
 The labelled sample is bounded by ``max_labelled`` rows (those of the smallest id hashes); the raw
 counts, the weights and the k-th key cover every document.  The k-th key comes from histograms over
-all keys, refined until a bin is short; no key table is gathered anywhere.  Weights and kept columns are written once
-in the shared folder, where the refinement reads the key column alone.
+all keys, refined until a bin is short; no key table is gathered anywhere.  Only keys are written in the shared folder;
+where more columns are kept than the id, rows are weighed again on their way out, which costs a third pass over the
+texts but no copy of them.
 
 Null texts count as empty; a text without words has log weight 0.  Rows with a null id share one
 noise value.  Keys equal to the k-th are all kept.  Repeated rows repeat.  Without target rows all
@@ -36,8 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, cut, fresh, held, new_folder, slices, table, texts_of
-from .files import remove_folder
+from .common import BoundedCache, cut, fresh, held, slices, table, texts_of
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 FAMILIES = 3
@@ -247,30 +247,22 @@ def resample(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] | None = None,
-    folder: str | None = None,
 ) -> DataFrame:
-    """The kept columns of docs (all unless given) with _weight, _toxic, _key and _kept for every row; toxic rows are not drawn.
-
-    The rows in ``folder`` (a new one unless given) are read when the result is; delete them afterwards.
-    """
-    spark, path = docs.sparkSession, f"{folder or new_folder(docs.sparkSession, 'weights')}/rows"
+    """The kept columns of docs (all unless given) with _weight, _toxic, _key and _kept for every row; toxic rows are not drawn."""
     weights = Weights.fit(docs, target_sample(labels, max_labelled, id_col), bits, prior, id_col, text_col)
     weights.toxic = toxic_words(docs, labels, max_labelled, toxic_prior, toxic_at, toxic_pure, id_col, text_col)
-    scored = weights.score(docs, tuple(keep or docs.columns), text_col)
-    scored.withColumn("_key", gumbel_key(F.col("_weight"), F.col(id_col), temperature, seed)).write.parquet(path)
-    keys = spark.read.parquet(path)
+    keyed = lambda kept: weights.score(docs, kept, text_col).withColumn("_key", gumbel_key(F.col("_weight"), F.col(id_col), temperature, seed))
+    keys = cut(keyed((id_col,)))
     drawn = keys.filter("not _toxic")
     wanted = drawn.filter(F.col("_weight") >= cut_at).count() if k is None else k
     least = kth_largest(drawn, wanted, "_key")
-    return keys.withColumn("_kept", ~F.col("_toxic") & (F.col("_key") >= F.lit(least)))
+    whole = keys if keep == (id_col,) else keyed(tuple(keep or docs.columns))
+    return whole.withColumn("_kept", ~F.col("_toxic") & (F.col("_key") >= F.lit(least)))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_folder(spark, "weights")
-    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",), folder=folder)
-    out = cut(found.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept")))
-    remove_folder(folder)
-    return out
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
+    return found.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept"))
 
 
 QUERIES = {"op6_quality": op6_quality}
