@@ -40,9 +40,14 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def snippet(text: Column, query: str, length: int = 150) -> Column:
-    """Up to length characters around the first place where a word of the query occurs, else the text's front."""
-    words = [w for w in re.split(r"[^0-9a-z+]+", query.lower()) if w]
+    """length characters from 30 before the first place where a word of the query occurs, else the text's front.
+
+    An ellipsis stands for what is left out on either side.  Signs before words play no part.
+    """
+    words = [w for w in (x.removeprefix(x[0]) if x[0] in "+-" else x for x in query.lower().split()) if w]
     low = F.lower(text)
     places = [F.when(F.locate(w, low) > 0, F.locate(w, low)) for w in words]
     first = F.coalesce(F.least(*places) if len(places) > 1 else places[0], F.lit(1)) if places else F.lit(1)
-    return F.substring(text, F.greatest(F.lit(1), first - length // 3), F.lit(length))
+    start = F.greatest(F.lit(1), first - 30)
+    front, behind = F.when(start > 1, "...").otherwise(""), F.when(start - 1 + length < F.length(text), "...").otherwise("")
+    return F.concat(front, F.substring(text, start, F.lit(length)), behind)

@@ -31,8 +31,21 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(_total(F.transform(_double(a), lambda x: x * x)))
 
 
+# What distances of vectors of unequal length are, so that they come last.
+FAR, FAR_COSINE = 1e9, 1.0
+
+
+def _alike(a: Column | str, b: Column | str) -> Column:
+    return F.size(_c(a)) == F.size(_c(b))
+
+
 def l2_distance(a: Column | str, b: Column | str) -> Column:
-    return F.sqrt(_total(F.zip_with(_double(a), _double(b), lambda x, y: (x - y) * (x - y))))
+    near = F.sqrt(_total(F.zip_with(_double(a), _double(b), lambda x, y: (x - y) * (x - y))))
+    return F.when(_alike(a, b), near).when(_c(a).isNotNull() & _c(b).isNotNull(), FAR)
+
+
+def inner_product_distance(a: Column | str, b: Column | str) -> Column:
+    return F.when(_alike(a, b), -inner_product(a, b)).when(_c(a).isNotNull() & _c(b).isNotNull(), FAR)
 
 
 def cosine_similarity(a: Column | str, b: Column | str) -> Column:
@@ -42,7 +55,7 @@ def cosine_similarity(a: Column | str, b: Column | str) -> Column:
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
-    return 1.0 - cosine_similarity(a, b)
+    return F.when(_alike(a, b), 1.0 - cosine_similarity(a, b)).when(_c(a).isNotNull() & _c(b).isNotNull(), FAR_COSINE)
 
 
 def add(a: Column | str, b: Column | str) -> Column:

@@ -19,14 +19,21 @@ def find(docs: DataFrame, field: str, op: str, value: str | float) -> DataFrame:
     return docs.filter(condition(field, op, value))
 
 
+def inject_id(json: Column, number: Column) -> Column:
+    """JSON text with the id as its first field, a number; text that has one, or is no object, stays as it is."""
+    has = F.contains(json, F.lit('"_id"')) | ~F.contains(json, F.lit("{"))
+    field = F.concat(F.lit('{"_id":'), number.cast("string"), F.when(F.rlike(json, F.lit(r"^[^{]*\{\s*\}")), "").otherwise(", "))
+    return F.when(has, json).otherwise(F.concat(F.substring_index(json, "{", 1), field, F.substring(json, F.instr(json, "{") + 1, F.length(json))))
+
+
 def with_ids(docs: DataFrame, id_col: str) -> DataFrame:
-    """(_id, json) with the id put into each document."""
-    inside = F.map_concat(F.create_map(F.lit("_id"), F.col(id_col).cast("string")), F.coalesce(F.from_json("json", "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
-    return docs.select(F.col(id_col).alias("_id"), F.to_json(inside).alias("json"))
+    """(_id, json) with the id put into each document; all other fields keep their types."""
+    return docs.select(F.col(id_col).alias("_id"), inject_id(F.col("json"), F.col(id_col)).alias("json"))
 
 
 def replace(docs: DataFrame, where: Column, json: str) -> DataFrame:
-    return docs.withColumn("json", F.when(where, F.lit(json)).otherwise(F.col("json")))
+    """(_id, json) with the documents that a filter meets replaced; each keeps its id."""
+    return docs.withColumn("json", F.when(F.coalesce(where, F.lit(False)), inject_id(F.lit(json), F.col("_id"))).otherwise(F.col("json")))
 
 
 def delete(docs: DataFrame, where: Column) -> DataFrame:

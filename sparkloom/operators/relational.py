@@ -19,6 +19,11 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int)
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def array_agg(column: str) -> Column:
+    """All values of a group as an array, nulls included."""
+    return F.transform(F.collect_list(F.struct(F.col(column).alias("x"))), lambda s: s["x"])
+
+
 def union_all(*parts: DataFrame, distinct: bool = False) -> DataFrame:
     """Rows of all parts by position, names from the first."""
     whole = reduce(DataFrame.union, parts)

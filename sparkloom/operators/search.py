@@ -7,8 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.storage import materialised
+
 # The stop words of the search dialect.
-STOP_WORDS = ("the", "a", "an", "is", "in", "of", "and", "or", "to", "for", "der", "die", "das", "und", "ist", "ein", "eine", "von", "zu", "auf", "mit", "on", "at", "by", "with", "as")
+STOP_WORDS = ("der", "die", "das", "und", "oder", "in", "ist", "ein", "eine", "the", "a", "an", "of", "to", "and", "or", "is", "for", "with", "mit", "fuer", "fur", "von", "auf", "im", "zu")
 K1, B = 1.5, 0.75
 
 
@@ -28,21 +30,17 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.select(id_col, "doc_len", F.explode("_t").alias("term")).groupBy("term", id_col, "doc_len").agg(F.count("*").alias("tf"))
 
 
-def _is(term: str):
-    return lambda word: word == term
-
-
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     """(id, score) of documents with a score above 0.
 
-    A query names its terms, so one pass over the texts counts them per document inside the row; only
-    the totals of the corpus (a row) are joined back, and nothing is exploded or shuffled by term.
+    A query names its terms, so one pass over the texts counts them per document inside the row, by lengths
+    with and without a term, which is compiled code.  These few numbers a document are materialised, as
+    both the totals of the corpus (a row) and the scores read them; nothing is shuffled.
     """
     terms = query_tokens(query)
     split = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
-    counted = split.select(id_col, F.greatest(F.size("_t"), F.lit(1)).alias("_len"), *(F.size(F.filter("_t", _is(t))).alias(f"_tf{i}") for i, t in enumerate(terms)))
-    # Both the totals and the scores read these few numbers a document: one shuffle of them, used twice.
-    counted = counted.repartition(F.col(id_col))
+    times = [(F.size("_t") - F.size(F.array_remove("_t", t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
+    counted = materialised(split.select(id_col, F.greatest(F.size("_t"), F.lit(1)).alias("_len"), *times))
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
     both = counted.crossJoin(F.broadcast(totals))
     score = F.lit(0.0)

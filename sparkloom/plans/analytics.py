@@ -23,6 +23,14 @@ sql_operator("a7_rollup", "SELECT n_regionkey, c_mktsegment, COUNT(*) AS n, CAST
 sql_operator("a8_cube", "SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS q FROM lineitem GROUP BY CUBE(l_returnflag, l_linestatus)")
 sql_operator("a9_grouping_sets", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())")
 sql_operator("a10_array_agg", "SELECT n_regionkey, ARRAY_JOIN(SORT_ARRAY(COLLECT_LIST(n_name)), '|') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, ARRAY_TO_STRING(LIST(n_name ORDER BY n_name), '|') AS names FROM nation GROUP BY n_regionkey")
+@operator("a10_array_agg_nulls", "SELECT lang, LEN(LIST(quality)) AS n, LEN(LIST(quality) FILTER (WHERE quality IS NULL)) AS nulls, ARRAY_TO_STRING(LIST(COALESCE(CAST(quality AS VARCHAR), '?') ORDER BY quality NULLS FIRST), '') AS items FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def array_agg_nulls(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
+    items = rows.groupBy("lang").agg(R.array_agg("quality").alias("q"))
+    shown = F.array_join(F.transform(F.array_sort("q", lambda a, b: F.coalesce(a, F.lit(-1)) - F.coalesce(b, F.lit(-1))), lambda x: x.cast("string")), "", "?")
+    return items.select("lang", F.size("q").cast("long").alias("n"), F.size(F.filter("q", F.isnull)).cast("long").alias("nulls"), shown.alias("items"))
+
+
 sql_operator("a10_string_agg", "SELECT n_regionkey, LISTAGG(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, STRING_AGG(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 sql_operator("a11_first_last", "SELECT user_id, MIN_BY(value, STRUCT(ts, event_id)) AS first_value, MAX_BY(value, STRUCT(ts, event_id)) AS last_value FROM events GROUP BY user_id", "SELECT user_id, ARG_MIN(value, ROW(ts, event_id)) AS first_value, ARG_MAX(value, ROW(ts, event_id)) AS last_value FROM events GROUP BY user_id")
 
@@ -87,8 +95,8 @@ def _nearest(distance, name, oracle_distance):
 
     def query(spark, sf_dir):
         vectors = read_table(spark, sf_dir, "embeddings")
-        probe = V.literal(vectors.filter("vec_id = 0").first()["embedding"])
-        ranked = vectors.select("vec_id", distance(F.col("embedding"), probe).alias("d")).orderBy("d", "vec_id").limit(10)
+        probe = vectors.filter("vec_id = 0").select(F.col("embedding").alias("e")).limit(1)  # a row
+        ranked = vectors.crossJoin(F.broadcast(probe)).select("vec_id", distance(F.col("embedding"), F.col("e")).alias("d")).orderBy("d", "vec_id").limit(10)
         return ranked.withColumn("d", F.round("d", 5))
 
     operator(name, oracle)(query)
@@ -96,10 +104,10 @@ def _nearest(distance, name, oracle_distance):
 
 _nearest(V.l2_distance, "so5_knn_l2", "SQRT(list_sum(list_transform(list_zip(embedding, e), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))))")
 _nearest(V.cosine_distance, "so5_knn_cosine", "(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])))")
-_nearest(lambda a, b: -V.inner_product(a, b), "so5_knn_inner_product", "(-list_inner_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])))")
+_nearest(V.inner_product_distance, "so5_knn_inner_product", "(-list_inner_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])))")
 
-# Full-text search
-STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
+# Full-text search; the stop words stand here as the survey lists them
+STOP = ", ".join(f"'{w}'" for w in "der die das und oder in ist ein eine the a an of to and or is for with mit fuer fur von auf im zu".split())
 TOKENS = f"list_filter(string_split_regex(lower(text), '[^a-z0-9+]+'), lambda w: w <> '' AND w NOT IN ({STOP}))"
 
 
@@ -201,9 +209,10 @@ def most_common(spark, sf_dir):
     return P.most_common(read_table(spark, sf_dir, "customer"), "c_mktsegment")
 
 
-@operator("in3_equi_depth")
+@operator("in3_equi_depth", "SELECT UNNEST(range(11)) AS bucket, UNNEST(QUANTILE_DISC(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS bound FROM orders")
 def equi_depth(spark, sf_dir):
-    return P.equi_depth(read_table(spark, sf_dir, "orders"), "o_totalprice")
+    bounds = P.equi_depth(read_table(spark, sf_dir, "orders"), "o_totalprice", accuracy=1_000_000)
+    return bounds.select(F.posexplode("bounds").alias("bucket", "bound")).withColumn("bucket", F.col("bucket").cast("long"))
 
 
 @operator("w15_sessions", """WITH g AS (SELECT *, CASE WHEN LAG(ts) OVER w IS NULL OR ts - LAG(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import jsons as J
@@ -24,8 +27,11 @@ sql_operator("fs7_pad", "SELECT n_nationkey, LPAD(n_name, 10, '*') AS a, RPAD(n_
 sql_operator("fs8_ascii", "SELECT n_nationkey, ASCII(n_name) AS a FROM nation")
 sql_operator("fs9_regexp", "SELECT page_id, REGEXP_REPLACE(url, '[0-9]+', '#') AS a, REGEXP_EXTRACT(url, '[a-z]+://[^/]+', 0) AS b FROM pages", "SELECT page_id, REGEXP_REPLACE(url, '[0-9]+', '#', 'g') AS a, REGEXP_EXTRACT(url, '[a-z]+://[^/]+') AS b FROM pages")
 sql_operator("fs10_levenshtein", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, LEVENSHTEIN(a.n_name, b.n_name) AS d FROM nation a CROSS JOIN nation b", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, LEVENSHTEIN(a.n_name, b.n_name)::INT AS d FROM nation a CROSS JOIN nation b")
-sql_operator("fs11_soundex", "SELECT n_nationkey, SOUNDEX(n_name) AS s FROM nation", None)
-sql_operator("fs12_initcap", "SELECT p_partkey, INITCAP(p_name) AS a FROM part", None)
+SOUND = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', '0123012-02245501262301-2020'"
+sql_operator("fs11_soundex", "SELECT n_nationkey, SOUNDEX(n_name) AS s FROM nation", f"""SELECT n_nationkey, rpad(left(n_name, 1) || left(array_to_string(list_transform(list_filter(range(2, len(c) + 1), lambda i: c[i] <> '0' AND c[i] <> c[i - 1]), lambda i: c[i]), ''), 3), 4, '0') AS s
+    FROM (SELECT n_nationkey, n_name, list_prepend(translate(left(n_name, 1), {SOUND}), string_split(replace(translate(regexp_replace(substring(n_name, 2), '[^A-Z]', ' ', 'g'), {SOUND}), '-', ''), '')) AS c FROM nation)""")
+sql_operator("fs12_initcap", "SELECT p_partkey, INITCAP(p_name) AS a FROM part", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substring(w, 2))), ' ') AS a FROM part")
+sql_operator("fs18_positions", "SELECT p_partkey, LOCATE('E', p_type, 4) AS a, SUBSTRING(p_name, -3) AS b, SUBSTRING(p_name, 0, 2) AS c, p_type ILIKE '%steel' AS d, p_name LIKE '%#%' ESCAPE '!' AS e FROM part", "SELECT p_partkey, CASE WHEN strpos(substring(p_type, 4), 'E') > 0 THEN strpos(substring(p_type, 4), 'E') + 3 ELSE 0 END::INT AS a, right(p_name, 3) AS b, left(p_name, 2) AS c, p_type ILIKE '%steel' AS d, contains(p_name, '#') AS e FROM part")
 sql_operator("fs13_hashes", "SELECT n_nationkey, MD5(n_name) AS m, SHA1(n_name) AS s1, SHA2(n_name, 256) AS s2 FROM nation", "SELECT n_nationkey, MD5(n_name) AS m, SHA1(n_name) AS s1, SHA256(n_name) AS s2 FROM nation")
 sql_operator("fs14_base64", "SELECT n_nationkey, BASE64(CAST(n_name AS BINARY)) AS e, CAST(UNBASE64(BASE64(CAST(n_name AS BINARY))) AS STRING) AS d FROM nation", "SELECT n_nationkey, BASE64(encode(n_name)) AS e, n_name AS d FROM nation")
 sql_operator("fs15_uuid", "SELECT n_nationkey, UUID() RLIKE '^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$' AS valid FROM nation", "SELECT n_nationkey, TRUE AS valid FROM nation")
@@ -39,9 +45,10 @@ def similarity(spark, sf_dir):
     return read_table(spark, sf_dir, "nation").select("n_nationkey", F.round(X.similarity(F.col("n_name"), F.lit("ARGENTINA")), 6).alias("s"))
 
 
-@operator("ft7_snippet", "SELECT doc_id, substring(text, GREATEST(1, COALESCE(NULLIF(strpos(lower(text), 'tion'), 0), 1) - 20)::INT, 60) AS s FROM documents")
+@operator("ft7_snippet", """SELECT doc_id, CASE WHEN a > 1 THEN '...' ELSE '' END || substring(text, a, 60) || CASE WHEN a + 59 < length(text) THEN '...' ELSE '' END AS s
+    FROM (SELECT doc_id, text, GREATEST(1, COALESCE(NULLIF(LEAST(CASE strpos(lower(text), 'tion') WHEN 0 THEN 1000000000 ELSE strpos(lower(text), 'tion') END, CASE strpos(lower(text), 'zz') WHEN 0 THEN 1000000000 ELSE strpos(lower(text), 'zz') END), 1000000000), 1) - 30)::INT AS a FROM documents)""")
 def snippet(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text"), "tion", 60).alias("s"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text"), "+tion -zz", 60).alias("s"))
 
 
 # Numbers
@@ -91,9 +98,13 @@ def json_facts(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", J.json_type(p).alias("t"), J.json_valid(p).alias("v"), J.json_length(p).alias("n"), F.array_join(F.json_object_keys(p), ",").alias("ks"), J.json_type(F.get_json_object(p, "$.k")).alias("kt"))
 
 
-@operator("fj3_json_set", "SELECT event_id, '{\"k\":\"' || json_extract_string(props, '$.k') || '\",\"z\":\"1\"}' AS j FROM events")
+@operator("fj3_json_set", """SELECT event_id, CAST(json_merge_patch(CAST(json_object('k', CAST(json_extract_string(props, '$.k') AS BIGINT)) AS JSON), '{"z":{"w":[1,"two",null],"y":true}}') AS VARCHAR) AS j,
+    '{"k":"new"}' AS own, props AS same FROM (SELECT event_id, json_object('k', CAST(json_extract_string(props, '$.k') AS BIGINT))::VARCHAR AS props FROM events)""")
 def json_set(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").select("event_id", J.json_set(F.col("props"), "z", F.lit(1)).alias("j"))
+    plain = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k")))
+    deep = J.json_set(J.json_set(J.json_set(plain, "$.z", '{"w":[1,2,null]}'), "$.z.w[1]", "two"), "$.z.y", "true")
+    nowhere = J.json_set(J.json_set(plain, "$.a.b", "1"), "$.k[0]", "1")
+    return read_table(spark, sf_dir, "events").select("event_id", deep.alias("j"), J.json_set(plain, "$.k", "new").alias("own"), nowhere.alias("same"))
 
 
 @operator("fj4_json_contains", "SELECT event_id, COALESCE(json_extract_string(props, '$.k') = '5', FALSE) AS c FROM events")
@@ -131,10 +142,10 @@ def distances(spark, sf_dir):
     return _points(spark, sf_dir).select("c_custkey", F.round(G.haversine_km(*here), 4).alias("km"), G.within_km(*here, 5000).alias("near"), F.round(G.bearing(*here), 4).alias("course"))
 
 
-@operator("fg2_bbox", f"SELECT c_custkey, ROUND(lat - 100 / 6371.0 * 57.29577951308232, 6) AS low, ROUND(lng + 100 / 6371.0 * 57.29577951308232 / COS(RADIANS(lat)), 6) AS east FROM ({POINTS})")
+@operator("fg2_bbox", f"SELECT c_custkey, ROUND(lat - 100 / 6371.0 * 57.29577951308232, 6) AS low, ROUND(lng + 100 / 6371.0 * 57.29577951308232 / COS(RADIANS(lat)), 6) AS east, ROUND(lat + 100 / 6371.0 * 57.29577951308232, 6) AS high, ROUND(lng - 100 / 6371.0 * 57.29577951308232 / COS(RADIANS(lat)), 6) AS west FROM ({POINTS})")
 def boxes(spark, sf_dir):
     box = G.bbox(F.col("lat"), F.col("lng"), 100.0)
-    return _points(spark, sf_dir).select("c_custkey", F.round(box["min_lat"], 6).alias("low"), F.round(box["max_lng"], 6).alias("east"))
+    return _points(spark, sf_dir).select("c_custkey", F.round(box["min_lat"], 6).alias("low"), F.round(box["max_lng"], 6).alias("east"), F.round(box["max_lat"], 6).alias("high"), F.round(box["min_lng"], 6).alias("west"))
 
 
 @operator("fg3_destination", f"SELECT c_custkey, ROUND(DEGREES(ASIN(SIN(RADIANS(lat)) * COS(500 / 6371.0) + COS(RADIANS(lat)) * SIN(500 / 6371.0) * COS(RADIANS(45)))), 6) AS lat2 FROM ({POINTS})")
@@ -142,25 +153,33 @@ def destinations(spark, sf_dir):
     return _points(spark, sf_dir).select("c_custkey", F.round(G.destination(F.col("lat"), F.col("lng"), 500.0, 45.0)["lat"], 6).alias("lat2"))
 
 
-@operator("fg4_geohash")
+@operator("fg4_geohash", f"""SELECT c_custkey, array_to_string(list_transform(range(6), lambda d: substring('0123456789bcdefghjkmnpqrstuvwxyz', 1 + CAST(list_sum(list_transform(range(5), lambda i:
+    (CASE WHEN (d * 5 + i) % 2 = 0 THEN x >> (14 - (d * 5 + i) // 2) ELSE y >> (14 - (d * 5 + i) // 2) END & 1) << (4 - i))) AS INT), 1)), '') AS hash, 'POINT(' || CAST(CAST(lat AS DOUBLE) AS VARCHAR) || ' ' || CAST(CAST(lng AS DOUBLE) AS VARCHAR) || ')' AS point
+    FROM (SELECT c_custkey, lat, lng, CAST(FLOOR((lng + 180) / 360 * 32768) AS BIGINT) AS x, CAST(FLOOR((lat + 90) / 180 * 32768) AS BIGINT) AS y FROM ({POINTS}))""")
 def geohashes(spark, sf_dir):
     return _points(spark, sf_dir).select("c_custkey", G.geohash(F.col("lat"), F.col("lng"), 6).alias("hash"), G.as_text(F.col("lat"), F.col("lng")).alias("point"))
 
 
 # Documents
-@operator("do2_find", "SELECT event_id AS _id FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50")
+FOUND = {"=": "= 50", "!=": "<> 50", ">": "> 50", ">=": ">= 50", "<": "< 50", "<=": "<= 50"}
+K = "json_extract_string(props, '$.k')"
+
+
+@operator("do2_find", " UNION ALL ".join(f"SELECT '{op}' AS op, event_id AS _id FROM events WHERE CAST({K} AS DOUBLE) {how}" for op, how in FOUND.items()) + f" UNION ALL SELECT 'CONTAINS', event_id FROM events WHERE contains({K}, '5')")
 def find(spark, sf_dir):
     docs = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("_id"), F.col("props").alias("json"))
-    return D.find(docs, "k", ">", 50).select("_id")
+    parts = [D.find(docs, "k", op, 50 if op != "CONTAINS" else "5").select(F.lit(op).alias("op"), "_id") for op in (*FOUND, "CONTAINS")]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@operator("do3_replace_delete", "SELECT event_id AS _id, CASE WHEN json_extract_string(props, '$.k') = '7' THEN '{}' ELSE props END AS json FROM events WHERE NOT contains(json_extract_string(props, '$.k'), '9')")
+@operator("do3_replace_delete", """SELECT event_id AS _id, CASE WHEN json_extract_string(props, '$.k') = '7' THEN '{"_id":' || event_id || ', "n":[1]}' ELSE props END AS json FROM events WHERE NOT contains(json_extract_string(props, '$.k'), '9')""")
 def replace_delete(spark, sf_dir):
     docs = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("_id"), F.col("props").alias("json"))
-    return D.replace(D.delete(docs, D.condition("k", "CONTAINS", "9")), D.condition("k", "=", "7"), "{}")
+    return D.replace(D.delete(docs, D.condition("k", "CONTAINS", "9")), D.condition("k", "=", "7"), '{"n":[1]}')
 
 
-@operator("do1_insert_documents", "SELECT n_nationkey AS _id, '{\"_id\":\"' || n_nationkey || '\",\"name\":\"' || n_name || '\"}' AS json FROM nation")
+@operator("do1_insert_documents", """SELECT n_nationkey AS _id, '{"_id":' || n_nationkey || ', "name":"' || n_name || '","place":{"region":' || n_regionkey || '}}' AS json FROM nation""")
 def insert_documents(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"))).alias("json"))
+    place = F.struct(F.col("n_regionkey").alias("region"))
+    docs = read_table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), place.alias("place"))).alias("json"))
     return D.with_ids(docs, "n_nationkey")

@@ -9,7 +9,7 @@ from sparkloom.registry import operator, sql_operator
 from sparkloom.session import read_table
 
 # Scans
-sql_operator("sc1_full_scan", "SELECT * FROM nation")
+sql_operator("sc1_full_scan", "SELECT * FROM lineitem")
 sql_operator("sc2_filtered_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 sql_operator("sc3_range_scan", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
 sql_operator("sc3_point_lookup", "SELECT * FROM customer WHERE c_custkey = 42")
@@ -77,7 +77,7 @@ def row_security(spark, sf_dir):
 sql_operator("sq1_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 sql_operator("sq2_not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 sql_operator("sq3_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 20)")
-sql_operator("sq3_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+sql_operator("sq3_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 sql_operator("sq4_scalar_where", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT AVG(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
 sql_operator("sq5_scalar_select", "SELECT c_custkey, (SELECT COUNT(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n_orders FROM customer c")
 sql_operator("sq6_cte", "WITH totals AS (SELECT o_custkey, SUM(o_totalprice) AS t FROM orders GROUP BY o_custkey), rich AS (SELECT * FROM totals WHERE t > 500000) SELECT c_name, ROUND(t, 2) AS total FROM rich JOIN customer ON o_custkey = c_custkey")
@@ -101,6 +101,7 @@ sql_operator("j10_join_count", "SELECT COUNT(*) AS n FROM lineitem JOIN orders O
 sql_operator("j11_semi_join", "SELECT d.doc_id FROM documents d LEFT SEMI JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1", "SELECT d.doc_id FROM documents d SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id")
 sql_operator("j11_anti_join", "SELECT d.doc_id FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id", "SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
 sql_operator("j12_multi_key_join", "SELECT COUNT(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_quantity <= b.l_quantity")
+sql_operator("j13_natural", "SELECT doc_id, lang, toxic FROM documents NATURAL JOIN labels")
 sql_operator("j13_using", "SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")
 
 
@@ -134,5 +135,5 @@ sql_operator("se1_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL S
 sql_operator("se2_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT r_regionkey + 100 FROM region")
 sql_operator("se3_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
 sql_operator("se3_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
-sql_operator("se4_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+sql_operator("se4_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 sql_operator("se4_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")

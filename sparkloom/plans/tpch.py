@@ -55,11 +55,11 @@ def shipping_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j10_tpch_q5",
     """SELECT n_name, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
        JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-       WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1995-01-01' GROUP BY n_name""",
+       WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY n_name""",
 )
 def local_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: read_table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem", "supplier", "nation", "region")}
-    year = (F.col("o_orderdate") >= F.lit("1994-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"))
+    year = (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
     places = t["nation"].join(t["region"].filter("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
     sellers = t["supplier"].join(places, F.col("s_nationkey") == F.col("n_nationkey"))
     bought = t["orders"].filter(year).join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
@@ -69,10 +69,10 @@ def local_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @operator(
     "a2_tpch_q6",
-    """SELECT ROUND(SUM(l_extendedprice * l_discount), 2) AS revenue, COUNT(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate < TIMESTAMP '1995-01-01'
+    """SELECT ROUND(SUM(l_extendedprice * l_discount), 2) AS revenue, COUNT(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'
        AND l_discount >= 0.05 AND l_discount <= 0.07 AND l_quantity < 24""",
 )
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = (F.col("l_shipdate") >= F.lit("1994-01-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz"))
+    year = (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
     rows = read_table(spark, sf_dir, "lineitem").filter(year & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
     return rows.agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("revenue"), F.count("*").alias("n"))
