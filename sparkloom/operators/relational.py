@@ -70,7 +70,7 @@ def row_filtered(df: DataFrame, policy: Column) -> DataFrame:
     return df.filter(policy)
 
 
-def reference_ntile(n: int, order: list[Column], keys: list[str] | None = None) -> Column:
-    """floor(row * n / rows) + 1, which spreads larger tiles over the range."""
-    w = W.partitionBy(*(keys or [F.lit(1)]))
+def reference_ntile(n: int, order: list[Column], keys: list[str]) -> Column:
+    """floor(row * n / rows) + 1 by key, which spreads larger tiles over the range; ranks.tiles does a whole table."""
+    w = W.partitionBy(*keys)
     return (F.floor((F.row_number().over(w.orderBy(*order)) - 1) * n / F.count("*").over(w)) + 1).cast("int")

@@ -9,6 +9,7 @@ from sparkloom.functions import timeseries as T
 from sparkloom.functions import vector as V
 from sparkloom.operators import graph as G
 from sparkloom.operators import profile as P
+from sparkloom.operators import ranks as K
 from sparkloom.operators import relational as R
 from sparkloom.operators import search as S
 from sparkloom.registry import operator, sql_operator
@@ -81,7 +82,20 @@ sql_operator("w11_rows_frame", "SELECT event_id, ROUND(SUM(value) OVER (PARTITIO
 sql_operator("w12_frame_bounds", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING) AS back FROM events")
 sql_operator("w12_range_frame", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM orders")
 sql_operator("w13_multi_column_window", "SELECT l_orderkey, l_linenumber, CAST(ROW_NUMBER() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS BIGINT) AS w FROM lineitem")
-sql_operator("w14_mixed_items", "SELECT o_orderkey, UPPER(o_orderpriority) AS p, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS big, CAST(RANK() OVER (ORDER BY o_totalprice DESC) AS BIGINT) AS price_rank, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders")
+
+
+@operator("w14_mixed_items", "SELECT o_orderkey, UPPER(o_orderpriority) AS p, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS big, CAST(RANK() OVER (ORDER BY o_totalprice DESC) AS BIGINT) AS price_rank, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders")
+def mixed_items(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    rows = K.ranked(orders, [F.desc("o_totalprice"), F.col("o_orderkey")], ["o_totalprice"], "price_rank")
+    prev = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return rows.select("o_orderkey", F.upper("o_orderpriority").alias("p"), (F.col("o_totalprice") > 100000).cast("int").alias("big"), "price_rank", prev.alias("prev"))
+
+
+@operator("w6_ntile_whole_table", "SELECT c_custkey, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY c_acctbal, c_custkey) - 1) * 10 / (SELECT COUNT(*) FROM customer)) + 1 AS INT) AS w FROM customer")
+def whole_tiles(spark, sf_dir):
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return K.tiles(customers, 10, [F.col("c_acctbal"), F.col("c_custkey")], "w").select("c_custkey", "w")
 
 
 @operator("w6_reference_ntile", "SELECT c_custkey, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) * 4.0 / COUNT(*) OVER (PARTITION BY c_nationkey)) + 1 AS INT) AS w FROM customer")

@@ -8,10 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.aggregates import user_aggregate
+from sparkloom.operators.ranks import Cursor
 from sparkloom.registry import operator, sql_operator
-from sparkloom.session import read_table
+from sparkloom.session import read_table, register_views
 from sparkloom.sources import tables as S
-from sparkloom.sources.snapshots import Constraints, SnapshotTable, diff
+from sparkloom.sources.catalogs import Catalog
+from sparkloom.sources.security import Policy, SecuredTable
+from sparkloom.sources.snapshots import Constraints, SnapshotTable, diff, signal_if
 from sparkloom.storage import work_folder
 from sparkloom.streaming import windows as St
 
@@ -40,6 +44,25 @@ def foreign_csv(spark, sf_dir):
     return S.foreign_csv(spark, path, {"n_name": "string", "n_regionkey": "int", "missing": "double"})
 
 
+@operator("sc14_foreign_json_array", "SELECT r_regionkey, r_name FROM region")
+def foreign_json_array(spark, sf_dir):
+    """All objects in one array, as a web service gives them."""
+    path = _folder(spark, "array")
+    one = read_table(spark, sf_dir, "region").agg(F.to_json(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("value"))
+    one.write.text(path)
+    return S.foreign_json(spark, path, "r_regionkey int, r_name string", array=True)
+
+
+@operator("sc12_copy_csv", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
+def copy_csv(spark, sf_dir):
+    """COPY (SELECT ...) TO with a delimiter and a header, and COPY FROM into a table."""
+    rows = read_table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select("s_suppkey", "s_name")
+    path = S.copy_to(rows, _folder(spark, "copy"), "csv", delimiter="|", header=True)
+    table = SnapshotTable(spark, _folder(spark, "dml"), "supplier", "s_suppkey int, s_name string")
+    table.insert(S.load_csv(spark, path, "s_suppkey int, s_name string", "|"))
+    return table.read()
+
+
 @operator("sc14_foreign_json", "SELECT r_regionkey, r_name FROM region")
 def foreign_json(spark, sf_dir):
     path = _folder(spark, "json")
@@ -59,6 +82,16 @@ def range_partitions(spark, sf_dir):
     return spark.read.parquet(path).filter("part = 'mid'").select("o_orderkey", "part")
 
 
+@operator("sc16_written_partitions", "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'heavy' ELSE 'light' END AS part, 'p' || (c_custkey % 4) AS h FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 4 = 1")
+def written_partitions(spark, sf_dir):
+    """LIST, and HASH below it, as folders: the filters read one folder of eight."""
+    others = ["AUTOMOBILE", "FURNITURE", "HOUSEHOLD"]
+    rows = read_table(spark, sf_dir, "customer").withColumn("h", S.hash_partition(F.col("c_custkey"), 4)).withColumn("part", S.list_partition(F.col("c_mktsegment"), {"heavy": ["BUILDING", "MACHINERY"], "light": others}))
+    path = _folder(spark, "parts")
+    rows.repartition("part", "h").write.partitionBy("part", "h").parquet(path)
+    return spark.read.parquet(path).filter("part = 'heavy' AND h = 'p1'").select("c_custkey", "part", "h")
+
+
 @operator("sc16_list_hash_partitions", "SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'heavy' ELSE 'light' END AS l, 'p' || (c_custkey % 4) AS h, COUNT(*) AS n FROM customer GROUP BY 1, 2")
 def list_hash(spark, sf_dir):
     others = ["AUTOMOBILE", "FURNITURE", "HOUSEHOLD"]
@@ -78,14 +111,31 @@ def materialized(spark, sf_dir):
     return S.materialized_view(spark, "mv_status", "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus", work_folder(spark))
 
 
+LISTED = ("nation", "region", "orders", "events")
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    register_views(spark, sf_dir, LISTED)
+    return Catalog(spark, keys={"nation": ["n_nationkey"]}, indexes=[("orders", "by_customer", "o_custkey", False)])
+
+
 @operator("sc18_information_schema", "SELECT table_name, column_name, CAST(ordinal_position AS INT) AS ordinal_position FROM information_schema.columns WHERE table_name IN ('nation', 'region')")
 def information_schema(spark, sf_dir):
-    return S.catalog_columns({t: read_table(spark, sf_dir, t) for t in ("nation", "region")}).select("table_name", "column_name", "ordinal_position")
+    found = _catalog(spark, sf_dir).information_schema("columns").filter(F.col("TABLE_NAME").isin("nation", "region"))
+    return found.select(F.col("TABLE_NAME").alias("table_name"), F.col("COLUMN_NAME").alias("column_name"), F.col("ORDINAL_POSITION").alias("ordinal_position"))
+
 
+@operator("sc18_table_rows", "SELECT 'nation' AS t, COUNT(*) AS n FROM nation UNION ALL SELECT 'region', COUNT(*) FROM region UNION ALL SELECT 'orders', COUNT(*) FROM orders UNION ALL SELECT 'events', COUNT(*) FROM events")
+def table_rows(spark, sf_dir):
+    return _catalog(spark, sf_dir).information_schema("tables").filter(F.col("TABLE_NAME").isin(*LISTED)).select(F.col("TABLE_NAME").alias("t"), F.col("TABLE_ROWS").alias("n"))
 
-@operator("sc19_pg_catalog", "SELECT table_name, CAST(COUNT(*) AS INT) AS n_columns FROM information_schema.columns WHERE table_name IN ('nation', 'orders', 'events') GROUP BY table_name")
+
+@operator("sc19_pg_catalog", "SELECT table_name AS relname, column_name AS attname, CAST(ordinal_position AS INT) AS attnum, table_name IN ('nation', 'orders') AS indexed FROM information_schema.columns WHERE table_name IN ('nation', 'region', 'orders', 'events')")
 def pg_catalog(spark, sf_dir):
-    return S.catalog_tables({t: read_table(spark, sf_dir, t) for t in ("nation", "orders", "events")})
+    catalog = _catalog(spark, sf_dir)
+    tables = catalog.pg_catalog("pg_tables").filter(F.col("tablename").isin(*LISTED))
+    joined = catalog.pg_catalog("pg_attribute").join(tables, F.col("attrelid") == F.col("tablename"))
+    return joined.select(F.col("tablename").alias("relname"), "attname", "attnum", (F.col("hasindexes") == "t").alias("indexed"))
 
 
 @operator("sc20_backup_restore", "SELECT * FROM region")
@@ -93,11 +143,18 @@ def backup_restore(spark, sf_dir):
     return S.restore(spark, S.backup({"region": read_table(spark, sf_dir, "region")}, _folder(spark, "backup")), ["region"])["region"]
 
 
-@operator("sc21_compression", "SELECT COUNT(*) AS n, ROUND(SUM(s_acctbal), 2) AS total FROM supplier")
+CODECS = ("zstd", "lz4_raw", "gzip", "none")
+
+
+@operator("sc21_compression", " UNION ALL ".join(f"SELECT '{c}' AS codec, COUNT(*) AS n, ROUND(SUM(s_acctbal), 2) AS total FROM supplier" for c in CODECS))
 def compression(spark, sf_dir):
-    path = _folder(spark, "zstd")
-    read_table(spark, sf_dir, "supplier").write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total"))
+    """Runs and dictionaries are Parquet's encodings of columns, whatever compresses its pages."""
+    suppliers, parts = read_table(spark, sf_dir, "supplier"), []
+    for codec in CODECS:
+        path = _folder(spark, codec)
+        suppliers.write.option("compression", codec).parquet(path)
+        parts.append(spark.read.parquet(path).agg(F.lit(codec).alias("codec"), F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total")))
+    return S.federated(*parts)
 
 
 def _nations(spark: SparkSession, sf_dir: str, constraints: Constraints | None = None) -> SnapshotTable:
@@ -153,6 +210,15 @@ def prepared(spark, sf_dir):
     return spark.sql("SELECT o_orderkey FROM orders WHERE o_custkey = ? AND o_totalprice > ?", args=[7, 1000])
 
 
+@operator("m10_cursor_fetch", """WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS n, COUNT(*) OVER () AS total FROM customer)
+    SELECT 'next' AS how, c_custkey FROM r WHERE n <= 3 UNION ALL SELECT 'relative', c_custkey FROM r WHERE n = 13 UNION ALL SELECT 'prior', c_custkey FROM r WHERE n = 12
+    UNION ALL SELECT 'absolute', c_custkey FROM r WHERE n = total - 4 UNION ALL SELECT 'last', c_custkey FROM r WHERE n = total UNION ALL SELECT 'first', c_custkey FROM r WHERE n = 1""")
+def cursor_fetch(spark, sf_dir):
+    cursor = Cursor(read_table(spark, sf_dir, "customer"), [F.col("c_acctbal"), F.col("c_custkey")])
+    steps = {"next": cursor.next(3), "relative": cursor.relative(10), "prior": cursor.prior(), "absolute": cursor.absolute(-5), "last": cursor.last(), "first": cursor.first()}
+    return S.federated(*(page.select(F.lit(how).alias("how"), "c_custkey") for how, page in steps.items()))
+
+
 @operator("m10_cursor_page", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 20")
 def cursor_page(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").orderBy("c_custkey").offset(20).limit(10).select("c_custkey", "c_name")
@@ -163,6 +229,26 @@ def script(spark, sf_dir):
     return spark.sql("BEGIN DECLARE i INT = 0; DECLARE total INT = 0; WHILE i < 10 DO SET i = i + 1; SET total = total + i; END WHILE; SELECT total AS total; END")
 
 
+@operator("m8_procedure", "SELECT n_nationkey, n_regionkey * 10 AS v FROM nation WHERE n_regionkey BETWEEN 1 AND 3 UNION ALL SELECT -1, -1")
+def procedure(spark, sf_dir):
+    """A loop over a query's rows with LEAVE and ITERATE, and a handler that goes on after an error."""
+    register_views(spark, sf_dir, ("nation", "region"))
+    return spark.sql("""BEGIN
+        DECLARE wanted STRING = '';
+        DECLARE failed INT = 0;
+        keys: FOR r AS SELECT r_regionkey FROM region ORDER BY r_regionkey DO
+            IF r.r_regionkey = 0 THEN ITERATE keys; END IF;
+            IF r.r_regionkey > 3 THEN LEAVE keys; END IF;
+            SET wanted = wanted || ',' || CAST(r.r_regionkey AS STRING);
+        END FOR keys;
+        BEGIN
+            DECLARE EXIT HANDLER FOR DIVIDE_BY_ZERO BEGIN SET failed = -1; END;
+            SET failed = 1 / 0;
+        END;
+        SELECT n_nationkey, n_regionkey * 10 AS v FROM nation WHERE array_contains(split(wanted, ','), CAST(n_regionkey AS STRING)) UNION ALL SELECT failed, failed;
+    END""")
+
+
 @operator("u1_sql_function", "SELECT p_partkey, ROUND(p_retailprice * 1.19, 7) AS gross FROM part")
 def sql_function(spark, sf_dir):
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION gross_price(x DOUBLE) RETURNS DOUBLE RETURN ROUND(x * 1.19, 7)")
@@ -170,6 +256,45 @@ def sql_function(spark, sf_dir):
     return spark.sql("SELECT p_partkey, gross_price(p_retailprice) AS gross FROM part")
 
 
+@operator("st1_change_log", "SELECT 'U' AS op, n_nationkey AS k, UPPER(n_name) || '!' AS name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'D', n_nationkey, NULL FROM nation WHERE n_regionkey = 2")
+def change_log(spark, sf_dir):
+    """What was logged after the first sequence numbers, those of the rows inserted at first."""
+    table = SnapshotTable(spark, _folder(spark, "dml"), "nation", NATION, Constraints(primary_key=["n_nationkey"]))
+    table.enable_cdc()
+    table.insert(read_table(spark, sf_dir, "nation"))
+    seen = table.change_log().agg(F.max("seq")).first()[0]
+    table.update("n_regionkey = 1", {"n_name": "UPPER(n_name) || '!'"})
+    table.delete("n_regionkey = 2")
+    found = table.change_log(after=seen)
+    key = F.get_json_object(F.coalesce("new_data", "old_data"), "$.n_nationkey").cast("int")
+    return found.select("op", key.alias("k"), F.get_json_object("new_data", "$.n_name").alias("name"))
+
+
+@operator("m3_returning", "SELECT 'updated' AS what, n_nationkey, n_regionkey + 10 AS r FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'deleted', n_nationkey, n_regionkey FROM nation WHERE n_regionkey = 3")
+def update_returning(spark, sf_dir):
+    table = _nations(spark, sf_dir)
+    changed, gone = table.update("n_regionkey = 1", {"n_regionkey": "n_regionkey + 10"}), table.delete("n_regionkey = 3")
+    show = lambda df, what: df.select(F.lit(what).alias("what"), "n_nationkey", F.col("n_regionkey").alias("r"))
+    return S.federated(show(changed, "updated"), show(gone, "deleted"))
+
+
+@operator("m5_transaction", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 4")
+def transaction(spark, sf_dir):
+    """A transaction that fails midway leaves nothing, one that ends counts, and a table opened anew is where it was."""
+    folder = _folder(spark, "dml")
+    table = SnapshotTable(spark, folder, "nation", NATION, Constraints(checks={"region": "n_regionkey >= 0"}))
+    table.insert(read_table(spark, sf_dir, "nation"))
+    try:
+        with table.transaction():
+            table.delete("n_regionkey = 1")
+            table.update("true", {"n_regionkey": "-1"})
+    except ValueError:
+        pass
+    with table.transaction():
+        table.delete("n_regionkey = 4")
+    return SnapshotTable(spark, folder, "nation", NATION).read()
+
+
 @operator("st1_cdc_diff", "SELECT CASE WHEN n_nationkey < 3 THEN 'D' ELSE 'U' END AS op, n_nationkey FROM nation WHERE n_nationkey < 3 OR n_regionkey = 2 UNION ALL SELECT 'I', 500")
 def cdc(spark, sf_dir):
     old = read_table(spark, sf_dir, "nation")
@@ -261,13 +386,35 @@ def alter(spark, sf_dir):
     return table.read()
 
 
-@operator("m7_trigger_audit", "SELECT 'I' AS op, COUNT(*) AS n FROM nation")
+@operator("m7_trigger_audit", "SELECT 'I' AS op, n_nationkey AS k FROM nation UNION ALL SELECT 'U', n_nationkey FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'D', n_nationkey FROM nation WHERE n_regionkey = 2 AND n_nationkey > 9")
 def trigger_audit(spark, sf_dir):
-    table = SnapshotTable(spark, _folder(spark, "dml"), "nation", NATION)
+    """Triggers after each kind of change write to another table; one before deletes spares some rows, one before inserts may stop them."""
+    folder = _folder(spark, "dml")
+    table, audit = SnapshotTable(spark, folder, "nation", NATION), SnapshotTable(spark, folder, "audit", "op string, k int")
+    for event in ("insert", "update", "delete"):
+        table.on(f"after {event}", lambda rows, op=event[0].upper(): audit.insert(rows.select(F.lit(op).alias("op"), F.col("n_nationkey").alias("k"))))
+    table.on("before delete", lambda gone: gone.filter("n_nationkey > 9"))
+    table.on("before insert", signal_if("n_name IS NULL", "a nation needs a name"))
     table.insert(read_table(spark, sf_dir, "nation"))
-    return table.changes(0, ["n_nationkey"]).groupBy("op").agg(F.count("*").alias("n"))
+    table.update("n_regionkey = 1", {"n_name": "lower(n_name)"})
+    table.delete("n_regionkey = 2")
+    return audit.read()
 
 
+@operator("fi11_row_policies", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 300000 THEN 'F' ELSE o_orderstatus END AS status FROM orders WHERE o_custkey = 7 OR o_orderstatus <> 'P'")
+def row_policies(spark, sf_dir):
+    """User 7 meets its own orders and those that are not pending, and changes only the latter."""
+    folder = _folder(spark, "dml")
+    table = SnapshotTable(spark, folder, "orders", "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    table.insert(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    own = Policy("own", "o_custkey = CAST(CURRENT_USER_ID() AS BIGINT) OR o_orderstatus <> 'P'", command="select")
+    change = Policy("change", "o_orderstatus = 'O'", "o_orderstatus = 'F'", command="update")
+    seen = SecuredTable(table, "7", [own, change], {"select", "update"})
+    seen.update("o_totalprice > 300000", {"o_orderstatus": "'F'"})
+    return seen.read().select("o_orderkey", F.col("o_orderstatus").alias("status"))
+
+
+# The next two stand for functions that only Python has; a column expression would do for these bodies.
 @operator("u2_vectorised_function", "SELECT p_partkey, ROUND(p_retailprice * 2 + 1, 4) AS y FROM part")
 def vectorised(spark, sf_dir):
     @F.pandas_udf("double")
@@ -277,11 +424,17 @@ def vectorised(spark, sf_dir):
     return read_table(spark, sf_dir, "part").select("p_partkey", F.round(twice("p_retailprice"), 4).alias("y"))
 
 
-@operator("u3_aggregate_function", "SELECT p_brand, MAX(p_retailprice) - MIN(p_retailprice) AS spread FROM part GROUP BY p_brand")
+@operator("u3_aggregate_function", "SELECT p_brand, ROUND(MAX(p_retailprice) - MIN(p_retailprice), 4) AS spread, ROUND(EXP(AVG(LN(p_retailprice))), 4) AS middle FROM part GROUP BY p_brand")
 def aggregate_function(spark, sf_dir):
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION spread_of(high DOUBLE, low DOUBLE) RETURNS DOUBLE RETURN high - low")
-    read_table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql("SELECT p_brand, spread_of(MAX(p_retailprice), MIN(p_retailprice)) AS spread FROM part GROUP BY p_brand")
+    """Spread and geometric mean as an aggregate of the user's own."""
+    import numpy as np
+
+    partial = lambda g: {"high": g.p_retailprice.max(), "low": g.p_retailprice.min(), "logs": np.log(g.p_retailprice).sum(), "n": len(g)}
+    merge = lambda s: {"high": s.high.max(), "low": s.low.min(), "logs": s.logs.sum(), "n": s.n.sum()}
+    finish = lambda s: {"spread": s["high"] - s["low"], "middle": float(np.exp(s["logs"] / s["n"]))}
+    parts = read_table(spark, sf_dir, "part").select("p_brand", "p_retailprice")
+    found = user_aggregate(parts, ["p_brand"], "high double, low double, logs double, n long", partial, merge, "spread double, middle double", finish)
+    return found.select("p_brand", F.round("spread", 4).alias("spread"), F.round("middle", 4).alias("middle"))
 
 
 @operator("u4_table_function", "SELECT n_nationkey, UNNEST(string_split(n_name, 'A')) AS part FROM nation")
@@ -301,8 +454,11 @@ def table_function(spark, sf_dir):
 
 @operator("in4_explain")
 def explain(spark, sf_dir):
-    plan = read_table(spark, sf_dir, "orders").filter("o_custkey = 7").select("o_orderkey")._jdf.queryExecution().toString()
-    return spark.createDataFrame([(i, line) for i, line in enumerate(plan.splitlines())], "line_number int, line string")
+    """The plan of a query by each mode of EXPLAIN, and that its filter reaches the scan."""
+    register_views(spark, sf_dir, ("orders",))
+    query = "SELECT o_orderkey FROM orders WHERE o_custkey = 7"
+    plans = [spark.sql(f"EXPLAIN {mode} {query}").select(F.lit(mode).alias("mode"), "plan") for mode in ("", "EXTENDED", "FORMATTED", "COST", "CODEGEN")]
+    return S.federated(*plans).withColumn("pushed", F.rlike("plan", F.lit(r"PushedFilters: \[[^\]]*EqualTo\(o_custkey,7\)")))
 
 
 @operator("st6_scheduled_run", "SELECT COUNT(*) AS n FROM events")

@@ -88,15 +88,3 @@ def backup(tables: dict[str, DataFrame], folder: str) -> str:
 
 def restore(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
-
-
-def catalog_columns(tables: dict[str, DataFrame]) -> DataFrame:
-    """information_schema.columns of some tables."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(t, f.name, i + 1, f.dataType.simpleString(), f.nullable) for t, df in tables.items() for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position int, data_type string, is_nullable boolean")
-
-
-def catalog_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame([(t, len(df.columns)) for t, df in tables.items()], "table_name string, n_columns int")
