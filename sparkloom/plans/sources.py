@@ -478,6 +478,31 @@ def session_windows(spark, sf_dir):
     return found.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
+@operator("st8_session_stream", """WITH g AS (SELECT *, CASE WHEN LAG(ts) OVER w IS NULL OR ts - LAG(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, MIN(ts) AS session_start, COUNT(*) AS n FROM s GROUP BY user_id, s.n""")
+def session_stream(spark, sf_dir):
+    """Sessions of a stream in files: all events, one far later, and the events again, which by then are too late."""
+    events, folder = read_table(spark, sf_dir, "events"), _folder(spark, "late")
+    far = events.limit(1).withColumns({"user_id": F.lit(-1).cast(events.schema["user_id"].dataType), "ts": F.lit("2100-01-01").cast(events.schema["ts"].dataType)})
+    for part in (events, far, far, events.unionByName(far)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = St.stream_parquet(spark, folder, events.schema, files=1)
+    found = St.run_to_parquet(St.sessions(stream, "ts", "6 hours", "1 hour", ["user_id"], F.count("*").alias("n")), _folder(spark, "sessions"), _folder(spark, "state"))
+    return found.select("user_id", F.col("window_start").alias("session_start"), "n")
+
+
+@operator("st8_keyed_state", "SELECT user_id, COUNT(value) AS n, ROUND(SUM(value), 4) AS total, MAX(value) AS greatest FROM events GROUP BY user_id")
+def keyed_state(spark, sf_dir):
+    """State that runs on over micro-batches of one file each: each user's last row is the whole."""
+    events, folder, out = read_table(spark, sf_dir, "events"), _folder(spark, "files"), _folder(spark, "running")
+    events.repartition(3, "event_id").write.parquet(folder)
+    stream = St.running(St.stream_parquet(spark, folder, events.schema, files=1), ["user_id"], "value")
+    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+    stream.writeStream.trigger(availableNow=True).outputMode("update").option("checkpointLocation", _folder(spark, "state")).foreachBatch(write).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("user_id").agg(F.max_by(F.struct("n", "total", "greatest"), "batch").alias("s"))
+    return last.select("user_id", "s.n", F.round("s.total", 4).alias("total"), "s.greatest")
+
+
 @operator("st8_stream_stream_join", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR AND a.event_type = 'click' AND b.event_type = 'purchase'")
 def stream_join(spark, sf_dir):
     clicks = St.event_time(_events(spark, sf_dir).filter("event_type = 'click'"), "ts", "1 hour").select(F.col("event_id").alias("a"), F.col("user_id").alias("ua"), F.col("ts").alias("ta"))

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
-def stream_parquet(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None) -> DataFrame:
+def stream_parquet(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None, files: int | None = None) -> DataFrame:
+    """A stream of the files in a folder, the oldest first, ``files`` of them a micro-batch."""
     reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(folder)
 
 
@@ -44,6 +48,28 @@ def continuous_aggregate(events: DataFrame, time: str, width: str, delay: str, k
     return run_to_parquet(windowed(event_time(events, time, delay), F.window(time, width), keys, *aggregates), out, checkpoint, "complete")
 
 
+def sessions(events: DataFrame, time: str, gap: str, delay: str, keys: list[str], *aggregates: Column) -> DataFrame:
+    """Session windows by key, given out once the watermark is past their end; rows behind the watermark are dropped."""
+    return windowed(event_time(events, time, delay), F.session_window(time, gap), keys, *aggregates)
+
+
+def running(events: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, total, greatest) of all values of a key so far, kept as state: a row a key and micro-batch with news."""
+    own = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
+
+    def step(key: tuple, batches, state):
+        n, total, greatest = state.get if state.exists else (0, 0.0, float("-inf"))
+        for b in batches:
+            values = b[value].dropna()
+            n, total = n + len(values), total + float(values.sum())
+            greatest = max(greatest, float(values.max())) if len(values) else greatest
+        state.update((n, total, greatest))
+        yield pd.DataFrame([(*key, n, total, greatest)], columns=[*keys, "n", "total", "greatest"])
+
+    state = "n long, total double, greatest double"
+    return events.groupBy(*keys).applyInPandasWithState(step, f"{own}, {state}", state, "update", GroupStateTimeout.NoTimeout)
+
+
 def deduplicated(events: DataFrame, time: str, delay: str, keys: list[str]) -> DataFrame:
     return event_time(events, time, delay).dropDuplicatesWithinWatermark(keys)
 
