@@ -130,10 +130,11 @@ def members(f, start: int, end: int, chunk: int = 1 << 20, whole: bool = False):
                 return
             at = len(data) - tail if len(data) < tail else max(0, end - base - tail)
             continue
-        if base + at >= end:
+        own = base + at < end
+        if not own and not due:
             return
         inflate, out, head, fed, sound = zlib.decompressobj(31), [], b"", at, True
-        while sound and not inflate.eof:
+        while sound and not inflate.eof and (own or len(head) < 7):  # the next range's first record: its front alone
             if fed >= len(data) and not more():
                 sound = False
                 break
@@ -146,6 +147,8 @@ def members(f, start: int, end: int, chunk: int = 1 << 20, whole: bool = False):
             fed += len(piece)
             head += out[-1][: 7 - len(head)]
             sound = VERSION.startswith(head[:7])
+        if sound and head == VERSION and not own:
+            return
         if sound and head == VERSION:
             yield b"".join(out)
             at, due = fed - len(inflate.unused_data), whole
