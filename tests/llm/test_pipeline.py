@@ -7,7 +7,8 @@ import public_tokenizers as P
 from sparkloom.llm import op5_byte_bpe as op5
 from sparkloom.llm.common import new_folder, table
 
-from test_texts import PLAIN, plain_components, plain_contamination, plain_simhash
+from test_near_copies import plain_stay
+from test_texts import PLAIN, plain_contamination
 
 
 def plain_redacted(text):
@@ -29,9 +30,8 @@ def test_stages(spark):
     labels = {r.doc_id: (r.quality, r.toxic) for r in table(spark, sf, "labels").collect()}
     good = [i for i, q in labels.items() if q == (1, 0)]
     assert all(i in first for i in good)
-    named = plain_components([(i, plain_simhash(t)) for i, t in first.items()], 2)
     second = {r.doc_id: r.text for r in outs[1].collect()}
-    assert second == {i: first[i] for i, _, c in named if i == c}
+    assert second == {i: first[i] for i in plain_stay(list(first.items()))}
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
     clean = {r[0] for r in plain_contamination(second.items(), items) if not r[-1]}
     third = {r.doc_id: r.text for r in outs[2].collect()}
