@@ -14,8 +14,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from sparkloom.registry import all_queries  # noqa: E402
-from sparkloom.session import build_session  # noqa: E402
+from sparkloom.registry import all_oracles, all_queries  # noqa: E402
+from sparkloom.session import TABLES, build_session  # noqa: E402
 
 HEADLINE = (
     "a3_tpch_q1", "j10_tpch_q3", "j10_tpch_q5", "a2_tpch_q6", "sc1_full_scan", "sc2_filtered_scan", "sc3_point_lookup", "sc3_range_scan",
@@ -25,6 +25,25 @@ HEADLINE = (
 )
 
 
+def single_node(sf: str, cpus: int) -> dict[str, float]:
+    """Median seconds of the same queries, as their SQL, in an engine of one process on the same files and cores."""
+    import duckdb
+
+    con, out = duckdb.connect(config={"threads": cpus}), {}
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    for name in HEADLINE:
+        if name in all_oracles():
+            runs = []
+            for _ in range(4):
+                began = time.perf_counter()
+                con.execute(all_oracles()[name]).arrow()
+                runs.append(time.perf_counter() - began)
+            out[name] = round(statistics.median(runs[1:]), 4)
+    return out
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -40,7 +59,8 @@ def main() -> None:
             queries[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
         took[name] = round(statistics.median(runs[1:]), 4)
-    print(json.dumps({"metric": "headline queries, sum of median seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
+    beside = single_node(sf, int(cpus))
+    print(json.dumps({"metric": "headline queries, sum of median seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "duckdb": beside, "sf": sf}))
     spark.stop()
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions import extensions as E
 from sparkloom.functions import jsons as J
 from sparkloom.functions import spatial as G
 from sparkloom.functions import text as X
@@ -35,6 +36,19 @@ sql_operator("fs18_positions", "SELECT p_partkey, LOCATE('E', p_type, 4) AS a, S
 sql_operator("fs13_hashes", "SELECT n_nationkey, MD5(n_name) AS m, SHA1(n_name) AS s1, SHA2(n_name, 256) AS s2 FROM nation", "SELECT n_nationkey, MD5(n_name) AS m, SHA1(n_name) AS s1, SHA256(n_name) AS s2 FROM nation")
 sql_operator("fs14_base64", "SELECT n_nationkey, BASE64(CAST(n_name AS BINARY)) AS e, CAST(UNBASE64(BASE64(CAST(n_name AS BINARY))) AS STRING) AS d FROM nation", "SELECT n_nationkey, BASE64(encode(n_name)) AS e, n_name AS d FROM nation")
 sql_operator("fs15_uuid", "SELECT n_nationkey, UUID() RLIKE '^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$' AS valid FROM nation", "SELECT n_nationkey, TRUE AS valid FROM nation")
+MARKED = "substring(m, 1, 8) || '-' || substring(m, 9, 4) || '-' || substring(m, 13, 4) || '-' || substring(m, 17, 4) || '-' || substring(m, 21)"
+
+
+@operator("fs19_extensions", f"""SELECT n_nationkey, SHA256(n_name) AS hash, TRUE AS made, n_nationkey % 2 = 0 AS valid, '1' AS version, CASE WHEN n_nationkey % 3 > 0 THEN 100 % (n_nationkey % 3) END AS rest FROM nation""")
+def extensions(spark, sf_dir):
+    """Packages loaded by name: identifiers made and checked, digests, a remainder that is null for a divisor of 0."""
+    for package in E.PACKAGES:
+        E.load(spark, package)
+    read_table(spark, sf_dir, "nation").selectExpr("*", "md5(n_name) AS m").createOrReplaceTempView("marked")
+    return spark.sql(f"""SELECT n_nationkey, sha256(n_name) AS hash, is_valid_uuid(gen_random_uuid()) AND is_valid_uuid(uuid_generate_v1()) AS made,
+        is_valid_uuid(CASE WHEN n_nationkey % 2 = 0 THEN {MARKED} ELSE m END) AS valid, substring(uuid_generate_v1(), 15, 1) AS version, safe_mod(100, n_nationkey % 3) AS rest FROM marked""")
+
+
 sql_operator("fs16_substring_index", "SELECT page_id, SUBSTRING_INDEX(url, '/', 3) AS host FROM pages", "SELECT page_id, array_to_string(string_split(url, '/')[1:3], '/') AS host FROM pages")
 
 
@@ -82,6 +96,11 @@ def date_format(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", X.mysql_date_format(F.col("ts"), "%Y/%m/%d at %H:%i:%s, %j %W %a %M %b %%").alias("f"))
 
 
+@operator("fd6_date_format_short", "SELECT event_id, STRFTIME(ts, '%-m.%-d.%y %I:%M %p') AS f FROM events")
+def date_format_short(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").select("event_id", X.mysql_date_format(F.col("ts"), "%c.%e.%y %h:%i %p").alias("f"))
+
+
 @operator("fd7_time_bucket", "SELECT event_id, TIME_BUCKET(INTERVAL '15 minutes', ts) AS q, TIME_BUCKET(INTERVAL '6 hours', ts) AS h, DATE_TRUNC('day', ts)::TIMESTAMP AS d, DATE_TRUNC('week', ts)::TIMESTAMP AS w, DATE_TRUNC('month', ts)::TIMESTAMP AS m FROM events")
 def time_bucket(spark, sf_dir):
     ts = F.col("ts")
@@ -112,7 +131,11 @@ def json_contains(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", J.json_contains(F.col("props"), "5", "$.k").alias("c"))
 
 
+NESTED = "'{\"a\":{\"b\":[' || n_nationkey || ',{\"c\":\"' || n_name || '\"}]},\"n\":null}'"
+sql_operator("fj5_nested_paths", f"SELECT n_nationkey, GET_JSON_OBJECT(j, '$.a.b[0]') AS x, GET_JSON_OBJECT(j, '$.a.b[1].c') AS y, GET_JSON_OBJECT(j, '$.a.z') AS z FROM (SELECT n_nationkey, {NESTED} AS j FROM nation)", f"SELECT n_nationkey, json_extract_string(j, '$.a.b[0]') AS x, json_extract_string(j, '$.a.b[1].c') AS y, json_extract_string(j, '$.a.z') AS z FROM (SELECT n_nationkey, {NESTED} AS j FROM nation)")
+
 # Arrays
+sql_operator("fa3_unnest_empty", "SELECT p_partkey, EXPLODE(FILTER(SPLIT(p_type, ' '), w -> CONTAINS(w, 'A'))) AS word FROM part", "SELECT p_partkey, UNNEST(list_filter(string_split(p_type, ' '), lambda w: contains(w, 'A'))) AS word FROM part")
 sql_operator("fa1_array_functions", "SELECT p_partkey, SIZE(a) AS n, ARRAY_JOIN(ARRAY_APPEND(a, 'x'), ',') AS app, ARRAY_JOIN(ARRAY_REMOVE(a, 'STEEL'), ',') AS rem, ARRAY_CONTAINS(a, 'STEEL') AS has, TRY_ELEMENT_AT(a, 2) AS second, TRY_ELEMENT_AT(a, 9) AS ninth FROM (SELECT p_partkey, SPLIT(p_type, ' ') AS a FROM part)", "SELECT p_partkey, len(a)::INT AS n, array_to_string(list_append(a, 'x'), ',') AS app, array_to_string(list_filter(a, lambda x: x <> 'STEEL'), ',') AS rem, list_contains(a, 'STEEL') AS has, a[2] AS second, a[9] AS ninth FROM (SELECT p_partkey, string_split(p_type, ' ') AS a FROM part)")
 sql_operator("fa2_unnest", "SELECT p_partkey, EXPLODE_OUTER(SPLIT(p_type, ' ')) AS word FROM part", "SELECT p_partkey, UNNEST(string_split(p_type, ' ')) AS word FROM part")
 
@@ -126,6 +149,13 @@ def vector_functions(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings").select("vec_id", V.dims(e).alias("n"), F.round(V.norm(e), 5).alias("norm"), F.round(V.inner_product(e, V.add(e, e)), 5).alias("ip2"), F.round(V.norm(V.subtract(V.scale(e, 1.0), e)), 5).alias("self"), F.round(V.cosine_similarity(e, V.scale(e, 3.0)), 5).alias("cos"))
 
 
+@operator("fv2_vector_arithmetic", "SELECT vec_id, UNNEST(range(len(embedding))) AS pos, UNNEST(list_transform(embedding, lambda x, i: ROUND(CAST(x AS DOUBLE) * 3 - CAST(embedding[len(embedding) + 1 - i] AS DOUBLE), 5))) AS x FROM embeddings")
+def vector_arithmetic(spark, sf_dir):
+    e = F.col("embedding")
+    found = V.subtract(V.add(e, V.scale(e, 2.0)), F.reverse(e))
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(found).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
+
+
 # Places: keys of customers make points
 POINTS = "SELECT c_custkey, (c_custkey * 7 % 160) - 80.0 AS lat, (c_custkey * 13 % 340) - 170.0 AS lng FROM customer"
 HAVERSINE = "2 * 6371.0 * ASIN(LEAST(1.0, SQRT(POW(SIN(RADIANS(52.52 - lat) / 2), 2) + COS(RADIANS(lat)) * COS(RADIANS(52.52)) * POW(SIN(RADIANS(13.405 - lng) / 2), 2))))"
@@ -148,9 +178,10 @@ def boxes(spark, sf_dir):
     return _points(spark, sf_dir).select("c_custkey", F.round(box["min_lat"], 6).alias("low"), F.round(box["max_lng"], 6).alias("east"), F.round(box["max_lat"], 6).alias("high"), F.round(box["min_lng"], 6).alias("west"))
 
 
-@operator("fg3_destination", f"SELECT c_custkey, ROUND(DEGREES(ASIN(SIN(RADIANS(lat)) * COS(500 / 6371.0) + COS(RADIANS(lat)) * SIN(500 / 6371.0) * COS(RADIANS(45)))), 6) AS lat2 FROM ({POINTS})")
+@operator("fg3_destination", f"SELECT c_custkey, ROUND(DEGREES(ASIN(SIN(RADIANS(lat)) * COS(500 / 6371.0) + COS(RADIANS(lat)) * SIN(500 / 6371.0) * COS(RADIANS(45)))), 6) AS lat2, ROUND(lng + DEGREES(ATAN2(SIN(RADIANS(45)) * SIN(500 / 6371.0) * COS(RADIANS(lat)), COS(500 / 6371.0) - SIN(RADIANS(lat)) * (SIN(RADIANS(lat)) * COS(500 / 6371.0) + COS(RADIANS(lat)) * SIN(500 / 6371.0) * COS(RADIANS(45))))), 6) AS lng2 FROM ({POINTS})")
 def destinations(spark, sf_dir):
-    return _points(spark, sf_dir).select("c_custkey", F.round(G.destination(F.col("lat"), F.col("lng"), 500.0, 45.0)["lat"], 6).alias("lat2"))
+    there = G.destination(F.col("lat"), F.col("lng"), 500.0, 45.0)
+    return _points(spark, sf_dir).select("c_custkey", F.round(there["lat"], 6).alias("lat2"), F.round(there["lng"], 6).alias("lng2"))
 
 
 @operator("fg4_geohash", f"""SELECT c_custkey, array_to_string(list_transform(range(6), lambda d: substring('0123456789bcdefghjkmnpqrstuvwxyz', 1 + CAST(list_sum(list_transform(range(5), lambda i:
