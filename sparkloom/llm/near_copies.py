@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,15 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, tenths: int, most_bits:
     side = lambda s: plain.select("key", F.col("node").alias(s))
     found = verified(side("a").join(side("b"), "key").filter("a < b"))
     members = shared.filter(F.col("m") > hot).select("key", "node")
+    return linked(members, found, verified, rounds)
+
+
+def linked(members: DataFrame, found: DataFrame, verified: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    """found (a, b) with links that also connect what keys with many members (key, node) propose.
+
+    Members are compared with one leader a key, ``rounds`` times, then those that components still part with each
+    other.  ``verified`` gives the true ones of some pairs (a, b), materialised.
+    """
     if members.isEmpty():
         return found
     for n in range(rounds + 1):

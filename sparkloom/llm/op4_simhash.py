@@ -7,9 +7,10 @@ proposes pairs and the number of differing bits verifies them.  Only distinct fi
 copies come back through their fingerprint.
 
 Keys that more than ``hot`` fingerprints share are not joined, as their pairs grow with the square.
-Their fingerprints go a second, exact way: each is indexed with every ``max_distance`` of its 64
+Their fingerprints go a second, exact way: up to 3 bits, each is indexed with every ``max_distance`` of its 64
 bits replaced by wildcards.  Such a key holds 2 ** max_distance fingerprints at most, which are all
-linked to each other, so one star a key says all.
+linked to each other, so one star a key says all.  Beyond 3 bits they are compared with leaders of their key, and
+then with what components still part.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any other;
 rows with a null id keep their fingerprint and get the component of it; repeated rows give repeated
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, table, texts_of
 from .components import components
+from .near_copies import linked
 
 BITS = 64
 
@@ -98,6 +100,12 @@ def links(fps: DataFrame, max_distance: int = 2, hot: int = 256) -> DataFrame:
     if crowded.isEmpty():
         return _joined(keys, max_distance)
     plain = keys.join(crowded, ["slot", "key"], "left_anti")
+    if max_distance > 3:
+        own = keys.join(crowded, ["slot", "key"], "left_semi").select(F.struct("slot", "key").alias("key"), F.col("fp").alias("node"))
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
+        found = cut(_joined(plain, max_distance).select(F.col("fp").alias("a"), F.col("other").alias("b")))
+        whole = linked(own, found, lambda pairs: cut(pairs.filter(near & (F.col("a") != F.col("b"))).distinct()), 3)
+        return whole.select(F.col("a").alias("fp"), F.col("b").alias("other"))
     members = keys.join(crowded, ["slot", "key"], "left_semi").select("fp").distinct()
     return _joined(plain, max_distance).unionByName(_neighbourhoods(_spread(members), max_distance))
 
@@ -111,8 +119,6 @@ def _joined(keys: DataFrame, max_distance: int) -> DataFrame:
 
 def _neighbourhoods(fps: DataFrame, max_distance: int) -> DataFrame:
     """Stars over fingerprints that are equal but for max_distance wildcard bits; max_distance is 1, 2 or 3."""
-    if max_distance > 3:
-        raise ValueError("crowded keys have an exact way for a distance of 3 bits at most")
     bit = [F.lit(_signed(1 << i)) for i in range(BITS)]
     single = F.array(*bit)
     blanked = F.col("fp")

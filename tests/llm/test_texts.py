@@ -104,7 +104,7 @@ def test_simhash_of_odd_texts(spark):
     assert op4.near_duplicates(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("distance", "hot"), [(1, 256), (2, 256), (2, 1), (3, 256), (1, 1)])
+@pytest.mark.parametrize(("distance", "hot"), [(1, 256), (2, 256), (2, 1), (3, 256), (1, 1), (6, 256), (6, 2), (4, 1)])
 def test_links_connect_all(spark, distance, hot):
     rng = random.Random(distance)
     fps = set()
