@@ -54,10 +54,17 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: st
 
 
 def bucketed_range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: float) -> DataFrame:
-    """Points joined to the half-open ranges that hold them, by an equality join on buckets of a given width."""
-    p = points.withColumn("_bucket", F.floor(F.col(point) / width))
-    r = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return p.join(r, "_bucket").filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_bucket")
+    """Points joined to the half-open ranges that hold them, by an equality join on buckets.
+
+    A range goes to the buckets of its own level, which are ``width`` times a power of two wide and no shorter than
+    it, so to two at most, however wide it is; a point goes to one bucket of each level that some range has.
+    """
+    r = ranges.filter(F.col(end) > F.col(start)).withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(start)) / width))).cast("int"))
+    levels = sorted(x[0] for x in r.select("_level").distinct().collect())  # a few dozen at most, as lengths are doubles
+    wide = F.lit(float(width)) * F.pow(F.lit(2.0), "_level")
+    r = r.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / wide), F.floor(F.col(end) / wide))))
+    p = points.withColumn("_level", F.explode(F.array(*(F.lit(x) for x in levels)) if levels else F.array().cast("array<int>"))).withColumn("_bucket", F.floor(F.col(point) / wide))
+    return p.join(r, ["_level", "_bucket"]).filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_level", "_bucket")
 
 
 def inherited(parent: DataFrame, *children: DataFrame) -> DataFrame:

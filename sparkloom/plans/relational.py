@@ -114,10 +114,10 @@ def as_of(spark, sf_dir):
     return R.as_of_join(views, bought, ["user_id"], "ts", "ts", ["last_value"]).select("event_id", "user_id", "last_value")
 
 
-@operator("j12_range_join", """SELECT p_partkey, s_suppkey FROM part JOIN (SELECT s_suppkey, s_acctbal AS low, s_acctbal + 50 AS high FROM supplier) s ON p_retailprice >= low AND p_retailprice < high""")
+@operator("j12_range_join", """SELECT p_partkey, s_suppkey FROM part JOIN (SELECT s_suppkey, s_acctbal AS low, s_acctbal + 5 * POWER(10, s_suppkey % 4) AS high FROM supplier) s ON p_retailprice >= low AND p_retailprice < high""")
 def range_join(spark, sf_dir):
-    ranges = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 50).alias("high"))
-    return R.bucketed_range_join(read_table(spark, sf_dir, "part"), ranges, "p_retailprice", "low", "high", 50.0).select("p_partkey", "s_suppkey")
+    ranges = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 5 * F.pow(F.lit(10.0), F.col("s_suppkey") % 4)).alias("high"))
+    return R.bucketed_range_join(read_table(spark, sf_dir, "part"), ranges, "p_retailprice", "low", "high", 10.0).select("p_partkey", "s_suppkey")
 
 
 # Sort, limit, sets
