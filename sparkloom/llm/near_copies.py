@@ -2,17 +2,17 @@
 
 The general form of operator 4, for links that a word shingle similarity defines.  The fingerprint is made of
 a text's different words, as one changed word breaks ``width`` shingles but stays one word: at a similarity of
-0.8 the fingerprints of 192 bits differ in about 10 bits and seldom in more than 20.  They are cut into
+0.8 the fingerprints of 224 bits differ in about 12 bits and seldom in more than 22.  They are cut into
 8 segments, fewer than the bits that may differ, so that at 15 or fewer differing bits some segment differs by at
-most one; at more, it does with a probability that the README gives as measured recall.  Each segment of 24 bits is
-indexed with each of its bits blanked, an equality join on these keys proposes pairs of different shingle sets, of
-which those go on that differ in ``most_bits`` at most, and the similarity of the whole sets verifies them.  Only distinct
-sets are joined.
+most one; at more, it does with a probability that the README gives as measured recall.  Each segment of 28 bits is
+indexed with each of its bits blanked, and an equality join on these keys proposes pairs of different shingle sets, of
+which those go on that differ in ``most_bits`` at most; the similarity of the whole sets verifies them.  Fingerprints with
+equal segments share all keys of it, so a key counts for the first bit, or where both values of its bit occur.
 
-Keys that more than ``hot`` sets share are not joined at once, as their pairs grow with the square.
-Their sets are first compared with one leader a key, ``rounds`` times with another leader, and
-components follow; then every pair of a key that two components still part is compared.  So nothing
-that a key proposes is left out, and a group of near copies costs few comparisons a member.
+Keys that more than ``hot`` sets share are not joined, as their pairs grow with the square.  Their sets stream through
+a task in the order of keys: those outside a key's largest component so far are held, ``held`` shingles at a time,
+with an index of their shingles, and the others pass by, so that every pair of a key that components still part is
+compared and no pair is ever a row.  What comes out are links that join components, less than one a set.
 
 Null texts count as empty; texts without words are copies of each other; texts of fewer words than
 ``width`` have one shingle; rows with a null id link others and are never left out; no rows give no rows; other
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Callable
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import BoundedCache, cut, fresh, held, slices, texts_of
 from .components import components
 
-SEGMENTS, SEGMENT_BITS = 8, 24
+SEGMENTS, SEGMENT_BITS = 8, 28
+FREQUENT = 512  # shingles of held sets that have a bit of their own
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -93,15 +94,15 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 
 def variant_keys(nodes: DataFrame) -> DataFrame:
-    """(node, key): a row for each segment and blanked bit; a key holds both and the rest of the segment's bits."""
+    """(node, key, bit): a row for each segment and blanked bit; a key holds both and the rest of the segment's bits."""
 
-    def key(segment: int, bit: int):
-        place = (segment * SEGMENT_BITS + bit) << SEGMENT_BITS
-        blanked = F.element_at("segments", segment + 1).bitwiseAND(F.lit(~(1 << bit)))
-        return blanked.bitwiseOR(F.lit(place - (1 << 32) if place >> 31 else place).cast("int"))
+    def variant(segment: int, bit: int):
+        place, whole = segment * SEGMENT_BITS + bit, F.element_at("segments", segment + 1)
+        key = whole.bitwiseAND(F.lit(~(1 << bit))).cast("long").bitwiseOR(F.lit(place << SEGMENT_BITS).cast("long"))
+        return F.struct(key.alias("key"), (whole.bitwiseAND(F.lit(1 << bit)) != 0).alias("bit"))
 
-    keys = F.array(*(key(s, b) for s in range(SEGMENTS) for b in range(SEGMENT_BITS)))
-    return nodes.filter(F.size("segments") > 0).select("node", F.explode(keys).alias("key"))
+    variants = F.array(*(variant(s, b) for s in range(SEGMENTS) for b in range(SEGMENT_BITS)))
+    return nodes.filter(F.size("segments") > 0).select("node", F.explode(variants).alias("v")).select("node", "v.key", "v.bit")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -136,51 +137,112 @@ def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return joined.filter(both * (10 + tenths) >= (F.size("own_a") + F.size("own_b")) * tenths).select("a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame, width: int, tenths: int, most_bits: int, hot: int, rounds: int, id_col: str, text_col: str) -> DataFrame:
+class Held:
+    """Sets of one key with an index: bits for frequent shingles, lists of places for the others."""
+
+    def __init__(self, nodes: list[int], parts: list[int], sets: list[np.ndarray]):
+        self.nodes, self.parts, self.sizes = nodes, parts, np.array(list(map(len, sets)))
+        often = Counter(itertools.chain.from_iterable(s.tolist() for s in sets))
+        self.bits = {x: i for i, (x, _) in enumerate(often.most_common(FREQUENT))}
+        self.places: dict[int, list[int]] = {}
+        masks = np.zeros((len(sets), FREQUENT), bool)
+        for n, own in enumerate(sets):
+            for x in own.tolist():
+                if x in self.bits:
+                    masks[n, self.bits[x]] = True
+                else:
+                    self.places.setdefault(x, []).append(n)
+        self.masks = np.packbits(masks, axis=1).view(np.uint64)
+        self.up: dict[int, int] = {}
+
+    def root(self, part: int) -> int:
+        while (above := self.up.get(part, part)) != part:
+            part = above
+        return part
+
+    def meet(self, node: int, part: int, own: np.ndarray, tenths: int):
+        """Links (node, held node) that join two components, for a set that passes by."""
+        mask, found = np.zeros(FREQUENT, bool), []
+        for x in own.tolist():
+            if (bit := self.bits.get(x)) is not None:
+                mask[bit] = True
+            elif x in self.places:
+                found += self.places[x]
+        both = np.bitwise_count(self.masks & np.packbits(mask).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        if found:
+            both += np.bincount(found, minlength=len(both))
+        for n in np.flatnonzero(both * (10 + tenths) >= (self.sizes + len(own)) * tenths).tolist():
+            a, b = self.root(part), self.root(self.parts[n])
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                yield node, self.nodes[n]
+
+
+def _streamed(rows: DataFrame, tenths: int) -> DataFrame:
+    """(a, b): links that join components, of rows (key, block, held, node, part, own) in that order within a partition."""
+
+    def run(batches):
+        place, held, index, out = None, [], None, []
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
+            for i, (key, block, first, node, part) in enumerate(keys):
+                own = b.column(5)[i].values.to_numpy()
+                if (key, block) != place:
+                    place, held, index = (key, block), [], None
+                if first:  # held ones come first; they meet each other once all are there
+                    held.append((node, part, own))
+                    continue
+                if index is None:
+                    index = Held(*map(list, zip(*held, strict=True))) if held else Held([], [], [])
+                    held = []
+                out += index.meet(node, part, own, tenths)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _crowded(members: DataFrame, nodes: DataFrame, found: DataFrame, sets, parts: int, tenths: int, held: int) -> DataFrame:
+    """Links between components that share a crowded key; members (key, node)."""
+    component = components(found).withColumnRenamed("component", "part")
+    parted = cut(members.join(nodes.select("node", "n"), "node").join(component, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    sizes = parted.groupBy("key", "part").agg(F.sum("n").alias("m"))
+    largest = sizes.groupBy("key").agg(F.max_by("part", F.struct("m", "part")).alias("most"), F.sum("m").alias("all"), F.max("m").alias("m"))
+    open_keys = cut(largest.filter("all > m").withColumn("blocks", F.ceil((F.col("all") - F.col("m")) / held).cast("int")).select("key", "most", "blocks"))
+    rows = cut(parted.drop("n").join(open_keys, "key"))
+    own = sets(rows.select("node").distinct())
+    # Every member passes by each block of a key; those outside the largest component are also held in one.
+    rest, own_block = F.col("part") != F.col("most"), F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    passing = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("first"), "node", "part")
+    holding = rows.filter(rest).select("key", own_block.alias("block"), F.lit(True).alias("first"), "node", "part")
+    whole = passing.unionByName(holding).join(own, "node").select("key", "block", "first", "node", "part", "own")
+    return _streamed(whole.repartition(parts, "key", "block").sortWithinPartitions("key", "block", F.desc("first"), "node"), tenths)
+
+
+def links(docs: DataFrame, nodes: DataFrame, width: int, tenths: int, most_bits: int, hot: int, held: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b) with links enough to connect all distinct sets of proposed pairs that are similar enough."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Small rows of which many are made: over all tasks first, by a hash, as dealing out by node counts as done.
     # The keys are dealt out once, both to be counted and to be joined to what is shared.
     keys = variant_keys(nodes.select("node", "segments").repartition(parts, F.xxhash64("node"))).repartition(parts, "key")
-    counts = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = cut(keys.join(counts, "key"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(_near(pairs, nodes, tenths, most_bits))
-        wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        return cut(_verified(pairs, _sets(docs, nodes, wanted, width, id_col, text_col), tenths))
-
+    first_bit = F.shiftright("key", SEGMENT_BITS) % SEGMENT_BITS == 0
+    counts = keys.groupBy("key").agg(F.count("*").alias("m"), F.count_if("bit").alias("ones")).filter((F.col("m") > 1) & (first_bit | (F.col("ones") > 0) & (F.col("ones") < F.col("m"))))
+    shared = cut(keys.join(counts.select("key", "m"), "key"))
+    sets = lambda wanted: _sets(docs, nodes, wanted, width, id_col, text_col)
     plain = shared.filter(F.col("m") <= hot)
-    side = lambda s: plain.select("key", F.col("node").alias(s))
-    found = verified(side("a").join(side("b"), "key").filter("a < b"))
+    side = lambda s: plain.select("key", F.col("node").alias(s), F.col("bit").alias(f"bit_{s}"))
+    pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (first_bit | (F.col("bit_a") != F.col("bit_b")))).select("a", "b")
+    near = cut(_near(pairs, nodes, tenths, most_bits))
+    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    found = cut(_verified(near, sets(wanted), tenths))
     members = shared.filter(F.col("m") > hot).select("key", "node")
-    return linked(members, found, verified, rounds)
-
-
-def linked(members: DataFrame, found: DataFrame, verified: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
-    """found (a, b) with links that also connect what keys with many members (key, node) propose.
-
-    Members are compared with one leader a key, ``rounds`` times, then those that components still part with each
-    other.  ``verified`` gives the true ones of some pairs (a, b), materialised.
-    """
     if members.isEmpty():
         return found
-    for n in range(rounds + 1):
-        parted = members.join(components(found).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        parted = cut(parted.select("key", "node", "part"))
-        if n < rounds:  # one leader a key against the members of other components
-            lead = parted.groupBy("key").agg(F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(n))).alias("l"))
-            pairs = parted.join(lead, "key").filter("part != l.part").select(F.col("node").alias("a"), F.col("l.node").alias("b"))
-        else:  # what is outside a key's largest component against all other components
-            sizes = parted.groupBy("key", "part").agg(F.count("*").alias("m"))
-            most = sizes.groupBy("key").agg(F.max_by("part", "m").alias("most"))
-            rest = parted.join(most, "key").filter("part != most").select("key", F.col("node").alias("b"), F.col("part").alias("part_b"))
-            pairs = parted.withColumnRenamed("node", "a").join(rest, "key").filter("part != part_b").select("a", "b")
-        found = cut(found.unionByName(verified(pairs)).distinct())
-    return found
-
-
-def keep_one(docs: DataFrame, width: int = 5, tenths: int = 8, most_bits: int = 48, hot: int = 16, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return cut(found.unionByName(_crowded(members, nodes, found, sets, parts, tenths, held)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, tenths: int = 8, most_bits: int = 56, hot: int = 16, held: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their component of similar sets; all columns are kept.
 
     Rows that repeat such an id all stay, and so do rows without an id.
@@ -188,7 +250,7 @@ def keep_one(docs: DataFrame, width: int = 5, tenths: int = 8, most_bits: int =
     rows = sketches(docs, width, id_col, text_col)
     once = cut(rows.groupBy(F.col("node").alias("name")).agg(F.first("n").alias("n"), F.first("segments").alias("segments"), F.min("id").alias("one")))
     nodes = once.withColumn("node", F.monotonically_increasing_id())  # short numbers for what is dealt out often
-    parts = components(links(docs, nodes, width, tenths, most_bits, hot, rounds, id_col, text_col))
+    parts = components(links(docs, nodes, width, tenths, most_bits, hot, held, id_col, text_col))
     named = nodes.select("node", "one").join(parts, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("one").alias("one"))
     stay = fresh("stays", docs.columns)
     kept = named.select(F.col("one").alias(stay)).filter(F.col(stay).isNotNull()).distinct()

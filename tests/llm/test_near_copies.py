@@ -47,8 +47,8 @@ def test_leaves_no_near_copies(spark):
     assert kept == plain_stay([(r.doc_id, r.text or "") for r in docs.collect()])
 
 
-@pytest.mark.parametrize("hot", [128, 5])
-def test_groups_of_near_copies(spark, hot):
+@pytest.mark.parametrize(("hot", "held"), [(128, 400_000), (5, 400_000), (2, 2000), (1, 1)])
+def test_groups_of_near_copies(spark, hot, held):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
     base, rows = [word() for _ in range(300)], [(0, None), (1, " "), (2, "one two"), (3, "One  two"), (4, "one three")]
@@ -59,7 +59,7 @@ def test_groups_of_near_copies(spark, hot):
         rows.append((i, " ".join(own)))
     rows += [(i, " ".join(word() for _ in range(80))) for i in range(65, 75)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in near_copies.keep_one(docs, hot=hot).collect()} == plain_stay([(i, t or "") for i, t in rows])
+    assert {r.doc_id for r in near_copies.keep_one(docs, hot=hot, held=held).collect()} == plain_stay([(i, t or "") for i, t in rows])
 
 
 def test_odd_tables(spark):
