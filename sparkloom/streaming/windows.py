@@ -44,8 +44,31 @@ def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append
 
 
 def continuous_aggregate(events: DataFrame, time: str, width: str, delay: str, keys: list[str], aggregates: list[Column], out: str, checkpoint: str) -> DataFrame:
-    """Tumbling windows kept up to date: each run adds what is new to the state and rewrites the result."""
-    return run_to_parquet(windowed(event_time(events, time, delay), F.window(time, width), keys, *aggregates), out, checkpoint, "complete")
+    """Tumbling windows kept up to date: a micro-batch appends the windows that it changed, and the last row of each counts.
+
+    So a run costs what is new, not what there is; ``compact`` rewrites the folder when old rows have piled up.
+    """
+    counted = windowed(event_time(events, time, delay), F.window(time, width), keys, *aggregates)
+    append = lambda batch, n: batch.withColumn("batch_", F.lit(n).cast("long")).write.mode("append").parquet(out)
+    counted.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode("update").foreachBatch(append).start().awaitTermination()
+    return latest(events.sparkSession.read.schema(f"{ddl(counted)}, batch_ long").parquet(out), ["window_start", "window_end", *keys])
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key the row of the last micro-batch that had it."""
+    values = [c for c in rows.columns if c not in (*keys, "batch_")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_").alias("last_"))
+    return last.select(*keys, *(F.col("last_")[v].alias(v) for v in values))
+
+
+def compact(spark: SparkSession, out: str, keys: list[str], to: str) -> str:
+    """The last rows of a folder of changes as a new folder, which later runs may append to."""
+    latest(spark.read.parquet(out), keys).withColumn("batch_", F.lit(-1).cast("long")).write.parquet(to)
+    return to
 
 
 def sessions(events: DataFrame, time: str, gap: str, delay: str, keys: list[str], *aggregates: Column) -> DataFrame:
