@@ -96,13 +96,10 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 def variant_keys(nodes: DataFrame) -> DataFrame:
     """(node, key, bit): a row for each segment and blanked bit; a key holds both and the rest of the segment's bits."""
 
-    def variant(segment: int, bit: int):
-        place, whole = segment * SEGMENT_BITS + bit, F.element_at("segments", segment + 1)
-        key = whole.bitwiseAND(F.lit(~(1 << bit))).cast("long").bitwiseOR(F.lit(place << SEGMENT_BITS).cast("long"))
-        return F.struct(key.alias("key"), (whole.bitwiseAND(F.lit(1 << bit)) != 0).alias("bit"))
-
-    variants = F.array(*(variant(s, b) for s in range(SEGMENTS) for b in range(SEGMENT_BITS)))
-    return nodes.filter(F.size("segments") > 0).select("node", F.explode(variants).alias("v")).select("node", "v.key", "v.bit")
+    places = nodes.filter(F.size("segments") > 0).select("node", "segments", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("place"))
+    parts = places.select("node", "place", F.expr(f"segments[CAST(FLOOR(place / {SEGMENT_BITS}) AS INT)]").alias("whole"), F.expr(f"shiftleft(1, place % {SEGMENT_BITS})").alias("mask"))
+    key = F.expr(f"shiftleft(CAST(place AS BIGINT), {SEGMENT_BITS}) | CAST(whole & ~mask AS BIGINT)")
+    return parts.select("node", key.alias("key"), F.expr("whole & mask <> 0").alias("bit"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
