@@ -46,7 +46,7 @@ def extensions(spark, sf_dir):
         E.load(spark, package)
     read_table(spark, sf_dir, "nation").selectExpr("*", "md5(n_name) AS m").createOrReplaceTempView("marked")
     return spark.sql(f"""SELECT n_nationkey, sha256(n_name) AS hash, is_valid_uuid(gen_random_uuid()) AND is_valid_uuid(uuid_generate_v1()) AS made,
-        is_valid_uuid(CASE WHEN n_nationkey % 2 = 0 THEN {MARKED} ELSE m END) AS valid, substring(uuid_generate_v1(), 15, 1) AS version, safe_mod(100, n_nationkey % 3) AS rest FROM marked""")
+        is_valid_uuid(CASE WHEN n_nationkey % 2 = 0 THEN {MARKED} ELSE m END) AS valid, substring(uuid_generate_v1(), 15, 1) AS version, CAST(safe_mod(100, n_nationkey % 3) AS INT) AS rest FROM marked""")
 
 
 sql_operator("fs16_substring_index", "SELECT page_id, SUBSTRING_INDEX(url, '/', 3) AS host FROM pages", "SELECT page_id, array_to_string(string_split(url, '/')[1:3], '/') AS host FROM pages")
