@@ -95,7 +95,6 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 def variant_keys(nodes: DataFrame) -> DataFrame:
     """(node, key, bit): a row for each segment and blanked bit; a key holds both and the rest of the segment's bits."""
-
     places = nodes.filter(F.size("segments") > 0).select("node", "segments", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("place"))
     parts = places.select("node", "place", F.expr(f"segments[CAST(FLOOR(place / {SEGMENT_BITS}) AS INT)]").alias("whole"), F.expr(f"shiftleft(1, place % {SEGMENT_BITS})").alias("mask"))
     key = F.expr(f"shiftleft(CAST(place AS BIGINT), {SEGMENT_BITS}) | CAST(whole & ~mask AS BIGINT)")
