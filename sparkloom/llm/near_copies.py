@@ -9,8 +9,10 @@ indexed with each of its bits blanked, and an equality join on these keys propos
 which those go on that differ in ``most_bits`` at most; the similarity of the whole sets verifies them.  Fingerprints with
 equal segments share all keys of it, so a key counts for the first bit, or where both values of its bit occur.
 
-Keys that more than ``hot`` sets share are not joined, as their pairs grow with the square.  Their sets stream through
-a task in the order of keys: those outside a key's largest component so far are held, ``held`` shingles at a time,
+Keys that more than ``hot`` sets share are not joined, as their pairs grow with the square.  Such a key holds the sets of
+two segments that differ in its bit; it becomes part of the group around the one that more sets have, so a set
+is in one group for its own segment, and in those of more frequent neighbours.  Groups stream through a task
+one after the other: those outside a key's largest component so far are held, ``held`` shingles at a time,
 with an index of their shingles, and the others pass by, so that every pair of a key that components still part is
 compared and no pair is ever a row.  What comes out are links that join components, less than one a set.
 
@@ -178,29 +180,43 @@ def _streamed(rows: DataFrame, tenths: int) -> DataFrame:
     """(a, b): links that join components, of rows (key, block, held, node, part, own) in that order within a partition."""
 
     def run(batches):
-        place, held, index, out = None, [], None, []
+        place, waiting, index, out = None, [], None, []
+
+        def build() -> Held:
+            """An index of the held sets, which come first; they meet each other now."""
+            made = Held(*map(list, zip(*waiting, strict=True))) if waiting else Held([], [], [])
+            for one in waiting:
+                out.extend(made.meet(*one, tenths))
+            waiting.clear()
+            return made
+
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
             for i, (key, block, first, node, part) in enumerate(keys):
                 own = b.column(5)[i].values.to_numpy()
                 if (key, block) != place:
-                    place, held, index = (key, block), [], None
-                if first:  # held ones come first; they meet each other once all are there
-                    held.append((node, part, own))
+                    if waiting:
+                        build()
+                    place, index = (key, block), None
+                if first:
+                    waiting.append((node, part, own))
                     continue
                 if index is None:
-                    index = Held(*map(list, zip(*held, strict=True))) if held else Held([], [], [])
-                    held = []
+                    index = build()
                 out += index.meet(node, part, own, tenths)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-                out = []
+                out.clear()
+        if waiting:
+            build()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
 def _crowded(members: DataFrame, nodes: DataFrame, found: DataFrame, sets, parts: int, tenths: int, held: int) -> DataFrame:
-    """Links between components that share a crowded key; members (key, node)."""
+    """Links between components that share a group; members (key, node)."""
     component = components(found).withColumnRenamed("component", "part")
     parted = cut(members.join(nodes.select("node", "n"), "node").join(component, "node", "left").withColumn("part", F.coalesce("part", "node")))
     sizes = parted.groupBy("key", "part").agg(F.sum("n").alias("m"))
@@ -208,11 +224,13 @@ def _crowded(members: DataFrame, nodes: DataFrame, found: DataFrame, sets, parts
     open_keys = cut(largest.filter("all > m").withColumn("blocks", F.ceil((F.col("all") - F.col("m")) / held).cast("int")).select("key", "most", "blocks"))
     rows = cut(parted.drop("n").join(open_keys, "key"))
     own = sets(rows.select("node").distinct())
-    # Every member passes by each block of a key; those outside the largest component are also held in one.
+    # Members outside the largest component are held in one block of a group and pass by the blocks behind it; the others
+    # pass by all blocks.
     rest, own_block = F.col("part") != F.col("most"), F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    passing = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("first"), "node", "part")
-    holding = rows.filter(rest).select("key", own_block.alias("block"), F.lit(True).alias("first"), "node", "part")
-    whole = passing.unionByName(holding).join(own, "node").select("key", "block", "first", "node", "part", "own")
+    turns = F.when(rest, F.sequence(own_block, F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.select("key", F.explode(turns).alias("block"), rest.alias("rest"), own_block.alias("own_block"), "node", "part")
+    dealt = dealt.select("key", "block", (F.col("rest") & (F.col("block") == F.col("own_block"))).alias("first"), "node", "part")
+    whole = dealt.join(own, "node").select("key", "block", "first", "node", "part", "own")
     return _streamed(whole.repartition(parts, "key", "block").sortWithinPartitions("key", "block", F.desc("first"), "node"), tenths)
 
 
@@ -224,7 +242,7 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, tenths: int, most_bits:
     keys = variant_keys(nodes.select("node", "segments").repartition(parts, F.xxhash64("node"))).repartition(parts, "key")
     first_bit = F.shiftright("key", SEGMENT_BITS) % SEGMENT_BITS == 0
     counts = keys.groupBy("key").agg(F.count("*").alias("m"), F.count_if("bit").alias("ones")).filter((F.col("m") > 1) & (first_bit | (F.col("ones") > 0) & (F.col("ones") < F.col("m"))))
-    shared = cut(keys.join(counts.select("key", "m"), "key"))
+    shared = cut(keys.join(counts, "key"))
     sets = lambda wanted: _sets(docs, nodes, wanted, width, id_col, text_col)
     plain = shared.filter(F.col("m") <= hot)
     side = lambda s: plain.select("key", F.col("node").alias(s), F.col("bit").alias(f"bit_{s}"))
@@ -232,7 +250,11 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, tenths: int, most_bits:
     near = cut(_near(pairs, nodes, tenths, most_bits))
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     found = cut(_verified(near, sets(wanted), tenths))
-    members = shared.filter(F.col("m") > hot).select("key", "node")
+    crowded = shared.filter(F.col("m") > hot)
+    mask = F.expr(f"CAST(shiftleft(1, CAST(shiftright(key, {SEGMENT_BITS}) % {SEGMENT_BITS} AS INT)) AS BIGINT)")
+    segment = F.expr(f"shiftleft(CAST(FLOOR(shiftright(key, {SEGMENT_BITS}) / {SEGMENT_BITS}) AS BIGINT), {SEGMENT_BITS})")
+    centre = F.col("key").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).bitwiseOR(F.when(F.col("ones") * 2 >= F.col("m"), mask).otherwise(0))
+    members = cut(crowded.select(segment.bitwiseOR(centre).alias("key"), "node").distinct())
     if members.isEmpty():
         return found
     return cut(found.unionByName(_crowded(members, nodes, found, sets, parts, tenths, held)))
