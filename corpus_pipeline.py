@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import near_copies, op3_decontaminate, op5_byte_bpe, op6_quality, op8_pii
 from sparkloom.llm.common import new_folder, reachable, table, vocabulary_path
+from sparkloom.llm.files import remove_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,13 +65,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written and read again in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    folder = new_folder(spark, "pipeline")
+    """All stages over the documents table, each written and read again in the shared folder.
+
+    A stage's rows go once the next one's are written; those that the last stage reads stay with the result.
+    """
+    docs, folder, before = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline"), None
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             path = f"{folder}/{n}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove_folder(before)
+            before = path
     return docs
