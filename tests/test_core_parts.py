@@ -121,3 +121,23 @@ def test_profiles_and_ranges(spark):
     got = sorted((r.p, r.a) for r in relational.bucketed_range_join(points, spans, "p", "a", "b", 1.0).collect())
     assert got == sorted((float(p), a) for p in range(-5, 60) for a, b in [(0, 1), (2, 50), (-4.5, 1e9)] if a <= p < b)
     assert relational.bucketed_range_join(points, spans.limit(0), "p", "a", "b", 1.0).count() == 0
+
+
+def test_estimates_are_near(spark):
+    """What no SQL can repeat: a sample's size and an estimated number of distinct values, within five standard errors."""
+    from sparkloom.registry import all_queries
+
+    sf = "/root/testdata/sf0.01"
+    orders, lines = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
+    n, sampled = orders.count(), all_queries()["sc9_tablesample"](spark, sf)
+    assert abs(sampled.count() - n / 10) <= 5 * (n * 0.09) ** 0.5
+    assert sampled.distinct().join(orders, "o_orderkey", "left_semi").count() == sampled.count()
+    true = lines.select("l_partkey").distinct().count()
+    assert abs(all_queries()["a17_approx_distinct"](spark, sf).first().n - true) <= 5 * 0.05 * true
+
+
+def test_filters_reach_the_scan(spark):
+    from sparkloom.registry import all_queries
+
+    plans = {r.mode: r.pushed for r in all_queries()["in4_explain"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(plans) == 5 and plans["FORMATTED"]
