@@ -103,6 +103,14 @@ def variant_keys(nodes: DataFrame) -> DataFrame:
     return parts.select("node", key.alias("key"), F.expr("whole & mask <> 0").alias("bit"))
 
 
+def _group(bit):
+    """The group around the segment that a key and a value of its blanked bit make: the segment's number and bits."""
+    place = f"shiftright(key, {SEGMENT_BITS})"
+    mask = F.expr(f"CAST(shiftleft(1, CAST({place} % {SEGMENT_BITS} AS INT)) AS BIGINT)")
+    segment = F.expr(f"shiftleft(CAST(FLOOR({place} / {SEGMENT_BITS}) AS BIGINT), {SEGMENT_BITS})")
+    return segment.bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).bitwiseOR(F.when(bit, mask).otherwise(0))
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(node, own): the shingle sets of wanted nodes, made again from one of their rows' texts."""
 
@@ -242,25 +250,29 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, tenths: int, most_bits:
     keys = variant_keys(nodes.select("node", "segments").repartition(parts, F.xxhash64("node"))).repartition(parts, "key")
     first_bit = F.shiftright("key", SEGMENT_BITS) % SEGMENT_BITS == 0
     counts = keys.groupBy("key").agg(F.count("*").alias("m"), F.count_if("bit").alias("ones")).filter((F.col("m") > 1) & (first_bit | (F.col("ones") > 0) & (F.col("ones") < F.col("m"))))
-    shared = cut(keys.join(counts, "key"))
+    few = keys.join(counts.filter(F.col("m") <= hot).select("key"), "key", "left_semi").withColumn("few", F.lit(True))
+    # Of a crowded key the sets of the less frequent value of its bit go to the group around the other one.
+    many = counts.filter(F.col("m") > hot).select(F.col("key").alias("k"), (F.col("ones") * 2 >= F.col("m")).alias("centre"))
+    minor = keys.join(many, (F.col("key") == F.col("k")) & (F.col("bit") != F.col("centre"))).select("key", "node", "bit", F.lit(False).alias("few"))
+    shared = cut(few.select("key", "node", "bit", "few").unionByName(minor))
+    centres = cut(many.select(F.col("k").alias("key"), "centre").select(_group(F.col("centre")).alias("key")).distinct())
     sets = lambda wanted: _sets(docs, nodes, wanted, width, id_col, text_col)
-    plain = shared.filter(F.col("m") <= hot)
+    plain = shared.filter("few")
     side = lambda s: plain.select("key", F.col("node").alias(s), F.col("bit").alias(f"bit_{s}"))
     pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (first_bit | (F.col("bit_a") != F.col("bit_b")))).select("a", "b")
     near = cut(_near(pairs, nodes, tenths, most_bits))
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     found = cut(_verified(near, sets(wanted), tenths))
-    crowded = shared.filter(F.col("m") > hot)
-    mask = F.expr(f"CAST(shiftleft(1, CAST(shiftright(key, {SEGMENT_BITS}) % {SEGMENT_BITS} AS INT)) AS BIGINT)")
-    segment = F.expr(f"shiftleft(CAST(FLOOR(shiftright(key, {SEGMENT_BITS}) / {SEGMENT_BITS}) AS BIGINT), {SEGMENT_BITS})")
-    centre = F.col("key").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).bitwiseOR(F.when(F.col("ones") * 2 >= F.col("m"), mask).otherwise(0))
-    members = cut(crowded.select(segment.bitwiseOR(centre).alias("key"), "node").distinct())
+    own = nodes.filter(F.size("segments") > 0).select(F.posexplode("segments").alias("at", "whole"), "node")
+    own = own.select(F.expr(f"shiftleft(CAST(at AS BIGINT), {SEGMENT_BITS}) | whole").alias("key"), "node").join(centres, "key", "left_semi")
+    neighbours = shared.filter(~F.col("few")).select(_group(~F.col("bit")).alias("key"), "node")
+    members = cut(own.unionByName(neighbours).distinct())
     if members.isEmpty():
         return found
     return cut(found.unionByName(_crowded(members, nodes, found, sets, parts, tenths, held)))
 
 
-def keep_one(docs: DataFrame, width: int = 5, tenths: int = 8, most_bits: int = 56, hot: int = 16, held: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, tenths: int = 8, most_bits: int = 56, hot: int = 3, held: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their component of similar sets; all columns are kept.
 
     Rows that repeat such an id all stay, and so do rows without an id.
