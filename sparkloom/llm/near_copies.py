@@ -249,13 +249,12 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, tenths: int, most_bits:
     # The keys are dealt out once, both to be counted and to be joined to what is shared.
     keys = variant_keys(nodes.select("node", "segments").repartition(parts, F.xxhash64("node"))).repartition(parts, "key")
     first_bit = F.shiftright("key", SEGMENT_BITS) % SEGMENT_BITS == 0
-    counts = keys.groupBy("key").agg(F.count("*").alias("m"), F.count_if("bit").alias("ones")).filter((F.col("m") > 1) & (first_bit | (F.col("ones") > 0) & (F.col("ones") < F.col("m"))))
-    few = keys.join(counts.filter(F.col("m") <= hot).select("key"), "key", "left_semi").withColumn("few", F.lit(True))
+    # A node has a key once; asking for two nodes, not two rows, keeps the columns dealt out the same for both uses.
+    counts = keys.groupBy("key").agg(F.count("*").alias("m"), F.count_if("bit").alias("ones"), F.min("node").alias("low"), F.max("node").alias("high")).filter((F.col("low") < F.col("high")) & (first_bit | (F.col("ones") > 0) & (F.col("ones") < F.col("m"))))
+    counts = counts.select(F.col("key").alias("k"), (F.col("m") <= hot).alias("few"), (F.col("ones") * 2 >= F.col("m")).alias("centre"))
     # Of a crowded key the sets of the less frequent value of its bit go to the group around the other one.
-    many = counts.filter(F.col("m") > hot).select(F.col("key").alias("k"), (F.col("ones") * 2 >= F.col("m")).alias("centre"))
-    minor = keys.join(many, (F.col("key") == F.col("k")) & (F.col("bit") != F.col("centre"))).select("key", "node", "bit", F.lit(False).alias("few"))
-    shared = cut(few.select("key", "node", "bit", "few").unionByName(minor))
-    centres = cut(many.select(F.col("k").alias("key"), "centre").select(_group(F.col("centre")).alias("key")).distinct())
+    shared = cut(keys.join(counts, (F.col("key") == F.col("k")) & (F.col("few") | first_bit | (F.col("bit") != F.col("centre")))).select("key", "node", "bit", "few", "centre"))
+    neighbours = shared.filter(~F.col("few")).select(_group(F.col("centre")).alias("key"), "node")
     sets = lambda wanted: _sets(docs, nodes, wanted, width, id_col, text_col)
     plain = shared.filter("few")
     side = lambda s: plain.select("key", F.col("node").alias(s), F.col("bit").alias(f"bit_{s}"))
@@ -264,8 +263,7 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, tenths: int, most_bits:
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     found = cut(_verified(near, sets(wanted), tenths))
     own = nodes.filter(F.size("segments") > 0).select(F.posexplode("segments").alias("at", "whole"), "node")
-    own = own.select(F.expr(f"shiftleft(CAST(at AS BIGINT), {SEGMENT_BITS}) | whole").alias("key"), "node").join(centres, "key", "left_semi")
-    neighbours = shared.filter(~F.col("few")).select(_group(~F.col("bit")).alias("key"), "node")
+    own = own.select(F.expr(f"shiftleft(CAST(at AS BIGINT), {SEGMENT_BITS}) | whole").alias("key"), "node").join(neighbours.select("key").distinct(), "key", "left_semi")
     members = cut(own.unionByName(neighbours).distinct())
     if members.isEmpty():
         return found
