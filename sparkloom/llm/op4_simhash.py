@@ -134,7 +134,8 @@ def linked(members: DataFrame, found: DataFrame, verified: Callable[[DataFrame],
 
 
 def _joined(keys: DataFrame, max_distance: int) -> DataFrame:
-    a, b = keys.alias("a"), keys.alias("b")
+    # Estimates take the keys to be as small as the fingerprints they are made of, and the driver would broadcast them all.
+    a, b = keys.alias("a").hint("merge"), keys.alias("b").hint("merge")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance
     on = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near
     return a.join(b, on).select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("other"))

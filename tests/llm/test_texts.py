@@ -124,6 +124,17 @@ def test_links_connect_all(spark, distance, hot):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+@pytest.mark.parametrize("hot", [256, 1])
+def test_links_broadcast_no_keys(spark, hot):
+    """The keys are 64 times the fingerprints that their size is estimated by."""
+    rng = random.Random(7)
+    found = op4.links(spark.createDataFrame([(rng.getrandbits(64) - (1 << 63),) for _ in range(500)] + [(0,), (1,)], "fp long"), 2, hot)
+    assert [(r.fp, r.other) for r in found.distinct().collect()] == [(0, 1)]
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin .*Inner", plan)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(None, 3), (4, 4)]
