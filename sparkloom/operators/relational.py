@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.storage import materialised
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a given (total) order."""
@@ -53,18 +55,40 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: st
     return joined.select(*left.columns, *(F.col("_last")[v].alias(v) for v in values))
 
 
-def bucketed_range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: float) -> DataFrame:
+def bucketed_range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: float, across: int = 16_384, down: int = 2_048) -> DataFrame:
     """Points joined to the half-open ranges that hold them, by an equality join on buckets.
 
-    A range goes to the buckets of its own level, which are ``width`` times a power of two wide and no shorter than
-    it, so to two at most, however wide it is; a point goes to one bucket of each level that some range has.
+    A range goes to the buckets of its own level, which are ``width`` times a power of two wide and, above the lowest
+    level, an eighth of it at least, so to nine at most, however wide it is; a point goes to one bucket of each level
+    that some range has.  A bucket of more than ``across`` points or ``down`` ranges is dealt into blocks of about so
+    many of both, in which each of its points meets each of its ranges once, so that no task has a whole crowded bucket.
     """
-    r = ranges.filter(F.col(end) > F.col(start)).withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(start)) / width))).cast("int"))
+    bucket, block = ["_level", "_bucket"], ["_level", "_bucket", "_across", "_down"]
+    level = F.ceil(F.log2((F.col(end) - F.col(start)) / width)) - 3
+    r = ranges.filter(F.col(end) > F.col(start)).withColumn("_level", F.greatest(F.lit(0), level).cast("int"))
     levels = sorted(x[0] for x in r.select("_level").distinct().collect())  # a few dozen at most, as lengths are doubles
     wide = F.lit(float(width)) * F.pow(F.lit(2.0), "_level")
     r = r.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / wide), F.floor(F.col(end) / wide))))
     p = points.withColumn("_level", F.explode(F.array(*(F.lit(x) for x in levels)) if levels else F.array().cast("array<int>"))).withColumn("_bucket", F.floor(F.col(point) / wide))
-    return p.join(r, ["_level", "_bucket"]).filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_level", "_bucket")
+
+    # Estimates see neither the buckets of a range nor the blocks, so what looks small enough to broadcast may not be.
+    sizes = p.groupBy(*bucket).agg(F.count("*").alias("_p")).join(r.groupBy(*bucket).agg(F.count("*").alias("_r")).hint("merge"), bucket)
+    # How many parts a crowded bucket's points and ranges make: a row for each ``across`` points or ``down`` ranges at most.
+    crowded = sizes.filter((F.col("_p") > across) | (F.col("_r") > down)).select(*bucket, F.ceil(F.col("_p") / across).alias("_ps"), F.ceil(F.col("_r") / down).alias("_rs"))
+    crowded = materialised(crowded)
+
+    def dealt(rows: DataFrame, own: str, owns: str, other: str, others: str) -> DataFrame:
+        """rows with a part of their own side, once for each part of the other side."""
+        rows = rows.join(F.broadcast(crowded), bucket, "left").withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(owns, F.lit(1))))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1))).drop("_ps", "_rs")
+        # By a fixed number: tasks would be put together by their bytes, which do not tell how many rows come out of a block.
+        return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *block)
+
+    if crowded.isEmpty():
+        block = bucket
+    else:
+        p, r = dealt(p, "_across", "_ps", "_down", "_rs"), dealt(r, "_down", "_rs", "_across", "_ps")
+    return p.join(r.hint("merge"), block).filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop(*block)
 
 
 def inherited(parent: DataFrame, *children: DataFrame) -> DataFrame:

@@ -123,6 +123,29 @@ def test_profiles_and_ranges(spark):
     assert relational.bucketed_range_join(points, spans.limit(0), "p", "a", "b", 1.0).count() == 0
 
 
+def test_crowded_ranges_come_in_blocks(spark):
+    """All points lie in one bucket of all ranges, whose pairs are more than one task's share."""
+    points = spark.range(3000).selectExpr("id AS p", "900 + (id % 100) * 1D AS v")
+    spans = spark.range(300).selectExpr("id AS s", "id * 1D AS a", "id + 700D AS b").unionByName(spark.createDataFrame([(-1, 950.0, 950.5), (None, None, 1e9)], "s long, a double, b double"))
+    joined = relational.bucketed_range_join(points, spans, "v", "a", "b", 10.0, 256, 32)
+    want = sorted((p, s) for p in range(3000) for s, a, b in [(-1, 950, 950.5), *((s, s, s + 700) for s in range(300))] if a <= 900 + p % 100 < b)
+    assert sorted((r.p, r.s) for r in joined.collect()) == want
+
+
+def test_a_crowded_bucket_is_shared_by_tasks(spark):
+    points = spark.range(0, 200_000, 1, 1).selectExpr("900 + id % 100 * 1D AS v")  # one small file, so to say
+    joined = relational.bucketed_range_join(points, spark.range(20).selectExpr("id * 1D AS a", "id + 5000D AS b"), "v", "a", "b", 10.0)
+    made = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 200_000 * 20 and max(made) < sum(made) / 2
+
+
+def test_wide_ranges_are_not_broadcast(spark):
+    joined = relational.bucketed_range_join(spark.range(50).selectExpr("id * 1D AS v"), spark.range(50).selectExpr("id * 1D AS a", "id + 9D AS b"), "v", "a", "b", 1.0)
+    assert joined.count() == sum(a <= v < a + 9 for v in range(50) for a in range(50))
+    joined.collect()
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_estimates_are_near(spark):
     """What no SQL can repeat: a sample's size and an estimated number of distinct values, within five standard errors."""
     from sparkloom.registry import all_queries
