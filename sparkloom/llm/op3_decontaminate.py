@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, held, new_folder, slices, table, texts_of
+from .common import cut, held, new_folder, slices, table, texts_of, with_text
 from .files import AttemptFile, open_input, remove_folder
 
 # Fixed values of the contract: bytes that are no part of a word, after A-Z became a-z.
@@ -156,10 +156,11 @@ def contamination(
     """
     paths = write_blocks(items, folder or new_folder(docs.sparkSession, "benchmark"), item_id_col, item_text_col, block_bytes)
     kept = [id_col, *(c for c in keep if c.lower() not in OWN and c != id_col)]
+    sent, at = with_text(docs, text_col, kept)
 
     def scan(held: list):
         """Result batches for some input batches, a file of items after the other."""
-        words = [[words_of(t) for t in texts_of(b.column(0))] for b in held]
+        words = [[words_of(t) for t in texts_of(b.column(at))] for b in held]
         ranges: list[list] = [[[] for _ in own] for own in words]
         ids: list[list] = [[set() for _ in own] for own in words]
         for path in paths:
@@ -171,16 +172,16 @@ def contamination(
                     i[n] |= names
         for b, own, r, i in zip(held, words, ranges, ids, strict=True):
             rows = []
-            for text, w, found, names in zip(texts_of(b.column(0)), own, r, i, strict=True):
+            for text, w, found, names in zip(texts_of(b.column(at)), own, r, i, strict=True):
                 hit = merged(found)
                 rows.append((len(w), sum(e - s for s, e in hit), [{"start": s, "end": e} for s, e in byte_ranges(text, hit)], sorted(names)))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True))], [*kept, *OWN])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True))], [*kept, *OWN])
 
     def run(batches):
         held, size = [], 0
         for b in slices(batches):
             held.append(b)
-            size += b.column(0).nbytes
+            size += b.column(at).nbytes
             if size >= (batch_bytes if len(paths) > 1 else 1):
                 yield from scan(held)
                 held, size = [], 0
@@ -188,8 +189,7 @@ def contamination(
             yield from scan(held)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    read = docs.select(F.col(text_col).alias(fresh("text_", kept)), *kept)
-    return read.mapInArrow(run, f"{schema}, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<string>")
+    return sent.mapInArrow(run, f"{schema}, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<string>")
 
 
 def digests(found: DataFrame) -> DataFrame:

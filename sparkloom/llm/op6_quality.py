@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, cut, fresh, held, slices, table, texts_of
+from .common import BoundedCache, cut, held, slices, table, texts_of, with_text
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 FAMILIES = 3
@@ -182,16 +182,17 @@ class Weights:
         """The kept columns of docs, the log weight of each row (_weight) and whether it has a toxic word (_toxic)."""
         shared, bits = docs.sparkSession.sparkContext.broadcast((self.ratios, self.toxic)), self.bits
         keep = tuple(c for c in keep if c.lower() not in OWN)
+        sent, at = with_text(docs, text_col, keep)
 
         def run(batches):
             for b in slices(batches):
                 ratios, toxic = shared.value
-                found = [weigh(t, ratios, bits, toxic) for t in texts_of(b.column(0))]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([w for w, _ in found], pa.float64()), pa.array([x for _, x in found], pa.bool_())], [*keep, "_weight", "_toxic"])
+                found = [weigh(t, ratios, bits, toxic) for t in texts_of(b.column(at))]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([w for w, _ in found], pa.float64()), pa.array([x for _, x in found], pa.bool_())], [*keep, "_weight", "_toxic"])
 
         fields = [docs.schema[c] for c in keep]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _weight double, _toxic boolean"
-        return docs.select(F.col(text_col).alias(fresh("text_", keep)), *keep).mapInArrow(run, schema)
+        return sent.mapInArrow(run, schema)
 
 
 def gumbel_key(weight: Column, identity: Column, temperature: float, seed: int) -> Column:
